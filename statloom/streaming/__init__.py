@@ -1,0 +1 @@
+"""Nothing here: every analysis this package covers is a batch computation."""
