@@ -49,8 +49,8 @@ def _numeric(df: DataFrame, name: str) -> Column:
 
 def running(df: DataFrame, keys: list[str], order: str, sums: list[str] = (),
             products: list[str] = (), reverse: bool = False, chunk: str | None = None,
-            chunks: int = 256) -> DataFrame:
-    """Inclusive running sums (``cum_*``) and products (``cumprod_*``) along ``order``.
+            chunks: int = 256, inclusive: bool = True) -> DataFrame:
+    """Running sums (``cum_*``) and products (``cumprod_*``) along ``order``, with or without the own row.
 
     ``df`` has one row per (keys, order).  ``chunk`` names an existing column that
     ascends with ``order``; without it the order range is cut into equal widths.
@@ -78,10 +78,10 @@ def running(df: DataFrame, keys: list[str], order: str, sums: list[str] = (),
         *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__s_{c}") for c in sums],
         *[F.coalesce(F.product(f"__p_{c}").over(before), F.lit(1.0)).alias(f"__p_{c}") for c in products])
     inside = (Window.partitionBy(*keys, chunk).orderBy(along(order))
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
     out = join_null_safe(df, offsets, [*keys, chunk]).withColumns({
-        **{f"cum_{c}": F.col(f"__s_{c}") + F.sum(c).over(inside) for c in sums},
-        **{f"cumprod_{c}": F.col(f"__p_{c}") * F.product(c).over(inside) for c in products}})
+        **{f"cum_{c}": F.col(f"__s_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums},
+        **{f"cumprod_{c}": F.col(f"__p_{c}") * F.coalesce(F.product(c).over(inside), F.lit(1.0)) for c in products}})
     return out.drop(*[f"__s_{c}" for c in sums], *[f"__p_{c}" for c in products],
                     *([chunk] if own else []))
 
@@ -99,35 +99,61 @@ def long_values(df: DataFrame, cols: list[str], keys: list[str] = (), weight: Co
             .groupBy(*keys, "variable", "bin", "value").agg(F.sum("__w").alias("w")))
 
 
-def distribution(df: DataFrame, cols: list[str], keys: list[str] = (), weight: Column | None = None,
-                 n_bins: int = 256) -> DataFrame:
-    """Empirical distribution: (keys, variable, value, w, cum_w, total_w)."""
-    keys = list(keys)
-    values = long_values(df, cols, keys, weight, n_bins)
-    totals = values.groupBy(*keys, "variable").agg(F.sum("w").alias("total_w"))
-    return join_null_safe(running(values, [*keys, "variable"], "value", sums=["w"], chunk="bin"),
-                          totals, [*keys, "variable"])
+def _wanted_bins(values: DataFrame, keys: list[str], probs) -> DataFrame:
+    """(keys, bin, off, bin_w, total_w, prob...) for every wanted probability and every bin.
+
+    Works on the per-bin totals, at most ``n_bins`` rows per key.
+    """
+    per_bin = values.groupBy(*keys, "bin").agg(F.sum("w").alias("bin_w"))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = per_bin.withColumns({"off": F.coalesce(F.sum("bin_w").over(before), F.lit(0)),
+                                "total_w": F.sum("bin_w").over(whole)})
+    if isinstance(probs, DataFrame):
+        return join_null_safe(bins, probs, [k for k in keys if k in probs.columns])
+    return bins.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+
+
+def _inside_bins(values: DataFrame, targets: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
+    """Values of the wanted bins with their running weight, counted from the start of the group."""
+    rows = join_null_safe(targets, values, [*keys, "bin"])
+    inside = (Window.partitionBy(*keys, "bin", *extra).orderBy("value")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("cum_w", F.col("off") + F.sum("w").over(inside))
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], keys: list[str] = (),
               n_bins: int = 256) -> DataFrame:
     """Exact interpolated quantiles (position ``(n-1)p``): (keys, variable, prob, q).
 
-    Only the values around the wanted positions leave the per-bin tasks.
+    Only values of the bins that hold a wanted position are ordered.
     """
-    keys = list(keys)
-    dist = distribution(df, cols, keys, None, n_bins)
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    first = F.col("cum_w") - F.col("w")
+    groups = [*keys, "variable"]
+    values = long_values(df, cols, keys, None, n_bins)
     pos = (F.col("total_w") - 1) * F.col("prob")
-    hits = (dist.select(*keys, "variable", "value", "w", "cum_w", "total_w", wanted)
-            .withColumns({"__pos": pos, "__lo": F.floor(pos), "__hi": F.ceil(pos)})
-            .filter((first <= F.col("__hi")) & (F.col("cum_w") > F.col("__lo"))))
-    return (hits.groupBy(*keys, "variable", "prob")
-            .agg(F.max(F.col("__pos") - F.col("__lo")).alias("__f"),
-                 F.min("value").alias("__a"), F.max("value").alias("__b"))
-            .select(*keys, "variable", "prob",
-                    (F.col("__a") + F.col("__f") * (F.col("__b") - F.col("__a"))).alias("q")))
+    targets = (_wanted_bins(values, groups, probs)
+               .withColumns({"lo": F.floor(pos), "hi": F.ceil(pos), "frac": pos - F.floor(pos)})
+               .filter((F.col("off") <= F.col("hi")) & (F.col("off") + F.col("bin_w") > F.col("lo"))))
+    hits = (_inside_bins(values, targets, groups, ["prob"])
+            .filter((F.col("cum_w") - F.col("w") <= F.col("hi")) & (F.col("cum_w") > F.col("lo"))))
+    return (hits.groupBy(*groups, "prob")
+            .agg(F.max("frac").alias("f"), F.min("value").alias("a"), F.max("value").alias("b"))
+            .select(*groups, "prob", (F.col("a") + F.col("f") * (F.col("b") - F.col("a"))).alias("q")))
+
+
+def weighted_quantiles(values: DataFrame, keys: list[str], probs) -> DataFrame:
+    """Smallest value whose cumulative weight reaches ``prob`` of the total: (keys, prob, ..., q).
+
+    ``values`` comes from :func:`long_values`; ``probs`` is a list, or a table that
+    holds ``prob`` (and label columns) per key.
+    """
+    labels = [c for c in probs.columns if c not in keys] if isinstance(probs, DataFrame) else ["prob"]
+    goal = F.greatest(F.col("prob") * F.col("total_w"), F.lit(5e-324))
+    targets = (_wanted_bins(values, keys, probs).withColumn("goal", goal)
+               .filter((F.col("off") < F.col("goal")) & (F.col("off") + F.col("bin_w") >= F.col("goal"))))
+    rows = _inside_bins(values, targets, keys, labels)
+    return rows.groupBy(*keys, *labels).agg(
+        F.coalesce(F.min(F.when(F.col("cum_w") >= F.col("goal"), F.col("value"))), F.max("value")).alias("q"))
 
 
 def quantiles_wide(df: DataFrame, cols: list[str], named_probs: dict[str, float],

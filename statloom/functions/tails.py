@@ -6,7 +6,7 @@ import math
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import functions as F
+from statloom.functions.vectors import vector_udf
 
 
 def _gamma_upper(a: float, x: float) -> float:
@@ -93,26 +93,26 @@ def _series(fn, *args):
     return pd.Series([fn(*row) for row in zip(*args)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@vector_udf("double")
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _series(chi2_sf, x, df)
 
 
-@F.pandas_udf("double")
+@vector_udf("double")
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _series(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@vector_udf("double")
 def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _series(f_sf, f, d1, d2)
 
 
-@F.pandas_udf("double")
+@vector_udf("double")
 def z_p(z: pd.Series) -> pd.Series:
     return _series(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)), z)
 
 
-@F.pandas_udf("double")
+@vector_udf("double")
 def normal_score(p: pd.Series) -> pd.Series:
     return _series(lambda v: None if pd.isna(v) or not 0 < v < 1 else norm_quantile(v), p)
