@@ -47,6 +47,15 @@ def _numeric(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def with_chunks(df: DataFrame, order: str, out: str, chunks: int = 256) -> DataFrame:
+    """Cut the range of ``order`` into equal widths, numbered upwards."""
+    num = _numeric(df, order)
+    span = df.agg(F.min(num).alias("__lo"), F.max(num).alias("__hi"))
+    width = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(1.0)
+    return (df.crossJoin(F.broadcast(span))
+            .withColumn(out, F.floor((num - F.col("__lo")) / width * chunks).cast("int")).drop("__lo", "__hi"))
+
+
 def running(df: DataFrame, keys: list[str], order: str, sums: list[str] = (),
             products: list[str] = (), reverse: bool = False, chunk: str | None = None,
             chunks: int = 256, inclusive: bool = True) -> DataFrame:
@@ -58,12 +67,7 @@ def running(df: DataFrame, keys: list[str], order: str, sums: list[str] = (),
     own = chunk is None
     if own:
         chunk = "__chunk"
-        num = _numeric(df, order)
-        span = df.agg(F.min(num).alias("__lo"), F.max(num).alias("__hi"))
-        width = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(1.0)
-        df = (df.crossJoin(F.broadcast(span))
-              .withColumn(chunk, F.floor((num - F.col("__lo")) / width * chunks).cast("int"))
-              .drop("__lo", "__hi"))
+        df = with_chunks(df, order, chunk, chunks)
     totals = df.groupBy(*keys, chunk).agg(
         *[F.sum(c).alias(f"__s_{c}") for c in sums],
         *[F.product(c).alias(f"__p_{c}") for c in products])

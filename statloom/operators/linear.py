@@ -7,16 +7,20 @@ that array without touching the rows again.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from statloom.functions.vectors import vector_udf
 
-EXPRESSION_LIMIT = 140  # cross products kept as plain sum expressions; beyond it Arrow batches
+EXPRESSION_LIMIT = 55  # cross products kept as plain sum expressions; beyond it Arrow batches
+HELD_GROUPS = 4000  # groups a task sums up before it hands them on
 
 
 def pack(matrix: np.ndarray) -> list[float]:
@@ -36,34 +40,63 @@ def gram(df: DataFrame, cols: list[Column], keys: list[str] = (), weight: Column
 
     Rows with a null in any column are left out.
     """
-    names = [f"__x{i}" for i in range(len(cols))]
+    # The columns stay unnamed expressions: a projection with many aliases of the same
+    # inputs makes the optimizer's constraint inference grow out of hand.
+    cols = [c.cast("double") for c in cols]
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    rows = df.select(*keys, w.alias("__w"), *[c.cast("double").alias(n) for c, n in zip(cols, names)])
-    rows = rows.dropna(subset=names)
     k = len(cols)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     if len(pairs) <= EXPRESSION_LIMIT:
-        sums = [F.sum(F.col("__w") * F.col(names[i]) * F.col(names[j])) for i, j in pairs]
-        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("__w").alias("w"),
-                                       F.array(*sums).alias("g"))
+        rows = df.filter(reduce(lambda a, b: a & b, [c.isNotNull() for c in cols]))
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"),
+                                       F.array(*[F.sum(w * cols[i] * cols[j]) for i, j in pairs]).alias("g"))
+    rows = df.select(*keys, w.alias("__w"), F.array(*cols).alias("__x"))
     keys = list(keys)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
     schema = (fields + ", " if fields else "") + "n bigint, w double, g array<double>"
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    upper = np.triu_indices(k)
+
+    key_types = {f.name: to_arrow_type(f.dataType) for f in rows.schema.fields if f.name in keys}
+
+    def table(held: dict) -> pa.RecordBatch:
+        labels = list(zip(*held.keys())) if keys else []
+        n, ws, g = zip(*held.values())
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array([None if pd.isna(v) else v for v in c], key_types[name]) for name, c in zip(keys, labels)],
+             pa.array(n, pa.int64()), pa.array(ws, pa.float64()), pa.array([v.tolist() for v in g], pa.list_(pa.float64()))],
+            names=[*keys, "n", "w", "g"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for batch in batches:
-            groups = batch.groupby(keys, dropna=False, sort=False) if keys else [((), batch)]
-            for key, part in groups:
-                x = part[names].to_numpy(dtype=float)
-                wt = part["__w"].to_numpy(dtype=float)
-                n0, w0, g0 = held.get(key, (0, 0.0, 0.0))
-                held[key] = (n0 + len(x), w0 + wt.sum(), g0 + x.T @ (x * wt[:, None]))
-        for key, (n, ws, g) in held.items():
-            key = key if isinstance(key, tuple) else (key,)
-            yield pd.DataFrame([{**dict(zip(keys, key)), "n": n, "w": ws, "g": pack(g)}])
-
-    parts = rows.mapInPandas(partial, schema)
+        for arrow in batches:
+            x = arrow.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            whole = ~np.isnan(x).any(axis=1)
+            if not whole.any():
+                continue
+            x = x[whole]
+            wt = arrow.column("__w").to_numpy(zero_copy_only=False)[whole]
+            batch = arrow.select(keys).to_pandas()[whole] if keys else pd.DataFrame(index=range(len(x)))
+            groups = batch.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(batch), int)
+            order = np.argsort(groups, kind="stable")
+            starts = np.flatnonzero(np.diff(groups[order], prepend=-1))
+            x, wt = x[order], wt[order]
+            if len(starts) == 1:
+                cross = (x.T @ (x * wt[:, None]))[upper][None, :]
+            else:
+                cross = np.add.reduceat(x[:, upper[0]] * x[:, upper[1]] * wt[:, None], starts)
+            labels = batch[keys].iloc[order[starts]].itertuples(index=False, name=None) if keys else [()]
+            sizes, wsum = np.diff(np.append(starts, len(x))), np.add.reduceat(wt, starts)
+            for label, n, ws, g in zip(labels, sizes, wsum, cross):
+                n0, w0, g0 = held.get(label, (0, 0.0, 0.0))
+                held[label] = (n0 + int(n), w0 + float(ws), g0 + g)
+            if len(held) > HELD_GROUPS:
+                yield table(held)
+                held = {}
+        if held:
+            yield table(held)
+
+    parts = rows.mapInArrow(partial, schema)
     cells = (parts.select(*keys, "n", "w", F.posexplode("g").alias("pos", "val"))
              .groupBy(*keys, "pos").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("val").alias("val")))
     return cells.groupBy(*keys).agg(

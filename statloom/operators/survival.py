@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.nulls import join_null_safe
-from statloom.functions.ordered import quantiles, running, with_bins
+from statloom.functions.ordered import quantiles, running, with_bins, with_chunks
 from statloom.functions.scalars import cloglog
 from statloom.functions.tails import chi2_p, z_p
 from statloom.functions.vectors import vector_udf
-from statloom.operators.linear import gram, linear_predictor, pack, quadratic_form, unpack
+from statloom.operators.linear import gram, unpack
 from statloom.operators.recode import levels_of
 
 Z95 = 1.959963984540054
@@ -31,12 +31,16 @@ Z95 = 1.959963984540054
 
 def risk_table(df: DataFrame, time: str, event: str, by: list[str] = ()) -> DataFrame:
     """(by, time, n_risk, n_event, n_censor) at every observed time."""
+    return _risk_lines(df, time, event, by).drop("chunk")
+
+
+def _risk_lines(df: DataFrame, time: str, event: str, by: list[str]) -> DataFrame:
     by = list(by)
     lines = df.dropna(subset=[time, event]).groupBy(*by, time).agg(
         F.sum(F.col(event).cast("bigint")).alias("n_event"),
         F.sum(1 - F.col(event).cast("bigint")).alias("n_censor"), F.count(F.lit(1)).alias("n"))
-    out = running(lines, by, time, sums=["n"], reverse=True)
-    return out.select(*by, time, F.col("cum_n").alias("n_risk"), "n_event", "n_censor")
+    out = running(with_chunks(lines, time, "chunk"), by, time, sums=["n"], reverse=True, chunk="chunk")
+    return out.select(*by, time, F.col("cum_n").alias("n_risk"), "n_event", "n_censor", "chunk")
 
 
 def risk_at(table: DataFrame, time: str, breaks: list[float], by: list[str] = ()) -> DataFrame:
@@ -51,11 +55,11 @@ def kaplan_meier(df: DataFrame, time: str, event: str, by: list[str] = (), z: fl
     """Survival with Greenwood error and log-scale interval, cumulative hazards and cloglog."""
     by = list(by)
     n, d = F.col("n_risk"), F.col("n_event")
-    steps = risk_table(df, time, event, by).withColumns({
+    steps = _risk_lines(df, time, event, by).withColumns({
         "keep": 1 - d / n, "gw": F.when(n > d, d / (n * (n - d)).cast("double")),
         "dn": d / n, "gone": F.when(n == d, 1).otherwise(0)})
     steps = steps.withColumn("gw", F.coalesce("gw", F.lit(0.0)))
-    out = running(steps, by, time, sums=["gw", "dn", "gone"], products=["keep"])
+    out = running(steps, by, time, sums=["gw", "dn", "gone"], products=["keep"], chunk="chunk")
     s = F.col("cumprod_keep")
     root = F.when(F.col("cum_gone") == 0, F.sqrt("cum_gw"))
     return out.select(*by, time, "n_risk", "n_event", "n_censor", s.alias("surv"), (s * root).alias("std_err"),
@@ -136,27 +140,29 @@ def _digamma_gap(a: np.ndarray, d: np.ndarray):
 EFRON = "a1 double, a2 double, b0 double, b1 double, b2 double, lg double"
 
 
-@vector_udf(EFRON)
-def _efron(s0: pd.Series, d0: pd.Series, d: pd.Series) -> pd.DataFrame:
-    """Sums over the tied events of a time: with u = l/d and phi = s0 - u d0,
-    a1 = sum 1/phi, a2 = sum u/phi, b0..b2 = sum u^k/phi^2, lg = sum log phi."""
+def _tie_sums(s0, d0, d) -> np.ndarray:
+    """Per event time, with u = l/d and phi = s0 - u d0 over its ties l:
+    sum 1/phi, sum u/phi, sum u^k/phi^2 for k = 0, 1, 2, and sum log phi."""
+    s0, d0, d = (np.asarray(v, dtype=float) for v in (s0, d0, d))
     out = np.zeros((len(s0), 6))
-    big = []
-    for i, (s, e, k) in enumerate(zip(s0, d0, d)):
-        if k > 5000:
-            big.append(i)
-            continue
-        u = np.arange(int(k)) / max(int(k), 1)
-        phi = s - u * e
+    for i in np.flatnonzero(d <= 5000):
+        u = np.arange(int(d[i])) / max(d[i], 1.0)
+        phi = s0[i] - u * d0[i]
         out[i] = [(1 / phi).sum(), (u / phi).sum(), (1 / phi ** 2).sum(), (u / phi ** 2).sum(),
                   (u * u / phi ** 2).sum(), np.log(phi).sum()]
-    if big:
-        s, e, k = (np.asarray(x, dtype=float)[big] for x in (s0, d0, d))
+    big = np.flatnonzero(d > 5000)
+    if len(big):
+        s, e, k = s0[big], d0[big], d[big]
         a = np.maximum(k * s / e, k)
         h1, h2, hl = _digamma_gap(a, k)
         out[big] = np.column_stack([k / e * h1, (a * h1 - k) / e, (k / e) ** 2 * h2, k / e ** 2 * (a * h2 - h1),
                                     (a * a * h2 - 2 * a * h1 + k) / e ** 2, k * np.log(e / k) + hl])
-    return pd.DataFrame(out, columns=["a1", "a2", "b0", "b1", "b2", "lg"])
+    return out
+
+
+@vector_udf(EFRON)
+def _efron(s0: pd.Series, d0: pd.Series, d: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(_tie_sums(s0, d0, d), columns=["a1", "a2", "b0", "b1", "b2", "lg"])
 
 
 @dataclass
@@ -206,11 +212,22 @@ def _eta(beta, xs) -> Column:
     return sum((F.lit(float(b)) * F.col(x) for b, x in zip(beta, xs)), F.lit(0.0))
 
 
+def _risk_parts(rows: DataFrame, xs: list[str], beta) -> DataFrame:
+    """Weighted cross products per (stratum, time, event).
+
+    The coefficients ride along as a one-row table: the plan stays the same in every
+    iteration, and with it the generated code.
+    """
+    b = F.broadcast(rows.sparkSession.createDataFrame([([float(v) for v in beta],)], "__beta array<double>"))
+    eta = sum((F.col("__beta")[i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
+    return gram(rows.crossJoin(b), [F.lit(1.0), *[F.col(x) for x in xs]], ["st", "time", "ev"], F.exp(eta))
+
+
 def _per_time(rows: DataFrame, xs: list[str], beta) -> DataFrame:
     """Event times with risk-set sums ``cum_s*``, event sums ``d*`` and the tie sums."""
     p = len(xs)
     m = (p + 1) * (p + 2) // 2
-    parts = gram(rows, [F.lit(1.0), *[F.col(x) for x in xs]], ["st", "time", "ev"], F.exp(_eta(beta, xs)))
+    parts = _risk_parts(rows, xs, beta)
     on = F.col("ev") == 1
     lines = parts.groupBy("st", "time").agg(
         F.sum(F.when(on, F.col("n")).otherwise(0)).alias("nd"),
@@ -220,6 +237,39 @@ def _per_time(rows: DataFrame, xs: list[str], beta) -> DataFrame:
     return at.withColumn("t", _efron("cum_s0", "d0", "nd"))
 
 
+def _stratum_derivatives(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Likelihood terms of one stratum from its (time, event) lines."""
+    times, at = np.unique(pdf["time"].to_numpy(), return_inverse=True)
+    g = np.vstack(pdf["g"].to_numpy())
+    on = pdf["ev"].to_numpy() == 1
+    s, d, nd = np.zeros((len(times), g.shape[1])), np.zeros((len(times), g.shape[1])), np.zeros(len(times))
+    np.add.at(s, at, g)
+    np.add.at(d, at[on], g[on])
+    np.add.at(nd, at[on], pdf["n"].to_numpy()[on])
+    s = np.cumsum(s[::-1], axis=0)[::-1]
+    live = nd > 0
+    s, d, nd = s[live], d[live], nd[live]
+    size = int((np.sqrt(8 * g.shape[1] + 1) - 1) / 2)
+    i, j = np.triu_indices(size - 1)
+    tie = _tie_sums(s[:, 0], d[:, 0], nd)
+    a1, a2, b0, b1, b2 = (tie[:, c:c + 1] for c in range(5))
+    s1, d1, s2, d2 = s[:, 1:size], d[:, 1:size], s[:, size:], d[:, size:]
+    info = (s2 * a1 - d2 * a2 - s1[:, i] * s1[:, j] * b0 + (s1[:, i] * d1[:, j] + d1[:, i] * s1[:, j]) * b1
+            - d1[:, i] * d1[:, j] * b2)
+    return pd.DataFrame({"lg": [float(tie[:, 5].sum())], "mean": [(s1 * a1 - d1 * a2).sum(axis=0).tolist()],
+                         "info": [info.sum(axis=0).tolist()]})
+
+
+DRIVER_LINES = 100_000  # most (stratum, time) lines for the one-task-per-stratum form
+
+
+def _small_derivatives(rows: DataFrame, xs: list[str], beta) -> tuple[float, np.ndarray, np.ndarray]:
+    found = _risk_parts(rows, xs, beta).groupBy("st").applyInPandas(
+        _stratum_derivatives, "lg double, mean array<double>, info array<double>").collect()
+    return (sum(r["lg"] for r in found), np.sum([r["mean"] for r in found], axis=0),
+            unpack(np.sum([r["info"] for r in found], axis=0)))
+
+
 def _derivatives(at: DataFrame, p: int) -> tuple[float, np.ndarray, np.ndarray]:
     """sum log phi, expected covariate sums and information, as one collected row."""
     t = lambda name: F.col(f"t.{name}")
@@ -246,9 +296,11 @@ def cox_fit(df: DataFrame, time: str, event: str, cols: dict[str, Column], strat
     moved = rows.filter("ev = 1").agg(F.array(*[F.sum(x) for x in xs]).alias("x")).first()["x"]
     event_x = np.array([v or 0.0 for v in moved])
     pen = np.zeros((p, p)) if penalty is None else np.asarray(penalty) / np.outer(scale, scale)
+    lines = rows.select("st", "time").distinct().groupBy("st").count().agg(F.sum("count"), F.count("st")).first()
+    small = lines[0] <= DRIVER_LINES and lines[1] <= 1000
     beta, best, start = np.zeros(p), -math.inf, None
     for step in range(1, max_iter + 1):
-        lg, mean, info = _derivatives(_per_time(rows, xs, beta), p)
+        lg, mean, info = _small_derivatives(rows, xs, beta) if small else _derivatives(_per_time(rows, xs, beta), p)
         loglik = float(beta @ event_x - lg)
         score = event_x - mean
         if start is None:
@@ -354,8 +406,8 @@ def _zph_table(fit: CoxFit) -> DataFrame:
     xs, p = _xs(fit), len(fit.beta)
     at = _per_time(fit.rows, xs, _std_beta(fit))
     moved = fit.rows.filter("ev = 1").groupBy("st", "time").agg(*[F.sum(x).alias(f"e{i}") for i, x in enumerate(xs)])
-    keep = risk_table(fit.rows, "time", "ev").select("time", (1 - F.col("n_event") / F.col("n_risk")).alias("keep"))
-    g = running(keep, [], "time", products=["keep"], inclusive=False).select("time", (1 - F.col("cumprod_keep")).alias("g"))
+    keep = _risk_lines(fit.rows, "time", "ev", []).select("time", "chunk", (1 - F.col("n_event") / F.col("n_risk")).alias("keep"))
+    g = running(keep, [], "time", products=["keep"], chunk="chunk", inclusive=False).select("time", (1 - F.col("cumprod_keep")).alias("g"))
     joined = at.join(moved, ["st", "time"]).join(g, "time")
     resid = {f"r{i}": F.col(f"e{i}") - (_at("cum_s", p, 0, i + 1) * F.col("t.a1") - _at("d", p, 0, i + 1) * F.col("t.a2"))
              for i in range(p)}
