@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from statloom.functions.ordered import long_values, quantiles_wide, weighted_quantiles
 from statloom.functions.nulls import join_null_safe
 from statloom.functions.scalars import regression_metrics, sse_metrics
-from statloom.functions.tails import f_p, f_sf, t_p
+from statloom.functions.tails import chi2_p, f_p, f_sf, t_p
 from statloom.functions.vectors import vector_udf
-from statloom.operators.linear import gram, least_squares, linear_predictor, quadratic_form, unpack
+from statloom.operators.linear import gram, least_squares, linear_predictor, pack, quadratic_form, unpack
 from statloom.operators.windows import t_scores
 
 
@@ -437,8 +437,6 @@ def resid_diag(df: DataFrame, y: Column, cols: dict[str, Column]) -> DataFrame:
 
 def breusch_pagan(df: DataFrame, y: Column, cols: dict[str, Column], studentize: bool = True) -> DataFrame:
     """n R2 of the squared residuals on the predictors, with df and p."""
-    from statloom.functions.tails import chi2_p
-
     rows = with_fit(df, y, cols)
     e2 = F.col("resid") * F.col("resid")
     if studentize:
@@ -455,8 +453,6 @@ def breusch_pagan(df: DataFrame, y: Column, cols: dict[str, Column], studentize:
 
 @vector_udf("mean array<double>, inv array<double>")
 def _mean_and_precision(n: pd.Series, g: pd.Series) -> pd.DataFrame:
-    from statloom.operators.linear import pack
-
     out = []
     for count, flat in zip(n, g):
         m = unpack(flat)
