@@ -34,10 +34,10 @@ def test(spark, d):
     return panel(spark, d).filter(F.col("day") >= F.lit("2001-01-01").cast("date"))
 
 
-@query("ts_resample", """SELECT o_orderpriority AS key, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS day, round(sum(o_totalprice) / 1000, 4) AS y
+@query("ts_resample", """SELECT o_orderpriority AS key, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS day, round(sum(o_totalprice) / 1000, 6) AS y
 FROM orders GROUP BY 1, 2""")
 def ts_resample_query(spark, d):
-    return rounded(series.resample(daily(spark, d), K, T, Y, "quarter"), 4, "y")
+    return rounded(series.resample(daily(spark, d), K, T, Y, "quarter"), 6, "y")
 
 
 @query("ts_key_check", f"WITH {DAILY} SELECT key, count(*) AS n FROM o GROUP BY key")
@@ -51,9 +51,9 @@ def ts_duplicates_query(spark, d):
     return series.duplicates(o, K, T)
 
 
-@query("fill_gaps", f"WITH {PANEL} SELECT key, day, round(y, 4) AS y FROM p")
+@query("fill_gaps", f"WITH {PANEL} SELECT key, day, round(y, 6) AS y FROM p")
 def fill_gaps_query(spark, d):
-    return rounded(panel(spark, d), 4, "y")
+    return rounded(panel(spark, d), 6, "y")
 
 
 ACF = f"""{PANEL}, m AS (SELECT key, avg(y) AS m, count(*) AS n FROM p GROUP BY key),
@@ -129,9 +129,9 @@ def nsdiffs_query(spark, d):
     return rounded(series.nsdiffs(panel(spark, d), K, T, Y, F.dayofweek("day"), 7), 7, "strength")
 
 
-@query("lag_table", f"WITH {PANEL} SELECT key, day, round(y, 4) AS y, round(lag(y, 1) OVER w, 4) AS lag1, round(lag(y, 2) OVER w, 4) AS lag2 FROM p WINDOW w AS (PARTITION BY key ORDER BY day)")
+@query("lag_table", f"WITH {PANEL} SELECT key, day, round(y, 6) AS y, round(lag(y, 1) OVER w, 6) AS lag1, round(lag(y, 2) OVER w, 6) AS lag2 FROM p WINDOW w AS (PARTITION BY key ORDER BY day)")
 def lag_table_query(spark, d):
-    return rounded(series.lagged(panel(spark, d), K, T, Y, 2), 4, "y", "lag1", "lag2")
+    return rounded(series.lagged(panel(spark, d), K, T, Y, 2), 6, "y", "lag1", "lag2")
 
 
 @query("subseries_means", f"WITH {PANEL} SELECT key, CAST(month(day) AS INTEGER) AS season, round(avg(y), 5) AS mean, count(*) AS n FROM p GROUP BY 1, 2")

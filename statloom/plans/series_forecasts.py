@@ -159,10 +159,10 @@ e AS (SELECT p.key, day, y, m, y - m AS e, lag(y - m) OVER (PARTITION BY p.key O
 g AS (SELECT key, sum(e * e1) / sum(e * e) AS r FROM e GROUP BY key)"""
 
 
-@query("model_outputs", f"WITH {AR1} SELECT key, day, round(y, 4) AS y, round(m + r * e1, 4) AS fitted, round(y - m - r * e1, 4) AS resid FROM e JOIN g USING (key)")
+@query("model_outputs", f"WITH {AR1} SELECT key, day, round(y, 6) AS y, round(m + r * e1, 6) AS fitted, round(y - m - r * e1, 6) AS resid FROM e JOIN g USING (key)")
 def model_outputs_query(spark, d):
     rows = panel(spark, d)
-    return rounded(fc.augment(rows, K, T, Y, fc.ar_fit(rows, K, T, Y, order=1)), 4, "y", "fitted", "resid")
+    return rounded(fc.augment(rows, K, T, Y, fc.ar_fit(rows, K, T, Y, order=1)), 6, "y", "fitted", "resid")
 
 
 @query("model_tidy", f"WITH {AR1} SELECT key, 'ar1' AS term, round(r, 8) AS estimate FROM g UNION ALL SELECT key, 'mean', round(m, 5) FROM m")
@@ -190,9 +190,9 @@ def three(rows):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("forecast_h", f"WITH {TRAIN}, {ALL} SELECT key, model, h, day, round(mean, 4) AS mean, round(sd, 4) AS sd FROM allf")
+@query("forecast_h", f"WITH {TRAIN}, {ALL} SELECT key, model, h, day, round(mean, 6) AS mean, round(sd, 6) AS sd FROM allf")
 def forecast_h_query(spark, d):
-    return short(three(train(spark, d)), 4)
+    return short(three(train(spark, d)), 6)
 
 
 @query("intervals", f"""WITH {TRAIN}, {ALL} SELECT key, model, h, round(mean - 1.2815515655446004 * sd, 4) AS lower_80, round(mean + 1.2815515655446004 * sd, 4) AS upper_80,
