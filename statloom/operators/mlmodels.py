@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -25,6 +26,11 @@ def assemble(df: DataFrame, cols: dict[str, Column], keep: dict[str, Column]) ->
     return VectorAssembler(inputCols=names, outputCol="features").transform(rows).drop(*names)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Even partitions for a table that many passes will read."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _local(spark, rows: list[tuple], schema: str) -> DataFrame:
     """Coefficient-sized table."""
     return spark.createDataFrame(rows, schema)
@@ -97,7 +103,7 @@ def forest(train: DataFrame, test: DataFrame, y: Column, cols: dict[str, Column]
     """(test rows with ``label`` and ``prediction``, importance table sorted from the top)."""
     keep = {"label": y.cast("double")}
     model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0,
-                                  featureSubsetStrategy="onethird").fit(assemble(train, cols, keep))
+                                  featureSubsetStrategy="onethird").fit(spread(assemble(train, cols, keep)))
     weights = model.featureImportances.toArray()
     table = _local(train.sparkSession, [(n, float(w)) for n, w in zip(cols, weights)], "term string, importance double")
     return model.transform(assemble(test, cols, keep)).select("label", "prediction"), table.orderBy(F.col("importance").desc())
@@ -167,7 +173,8 @@ def tree_tune(df: DataFrame, y: Column, cols: dict[str, Column], keys: list[str]
     Each fold grows one tree at the smallest value; the larger ones are its prunings,
     and their test errors follow from per-leaf sums.
     """
-    ready = assemble(df, cols, {"label": y.cast("double"), "fold": fold_column(keys, folds, seed)}).persist()
+    ready = assemble(df, cols, {"label": y.cast("double"), "fold": fold_column(keys, folds, seed)})
+    ready = spread(ready).persist()
     found: dict[float, list[float]] = {c: [0.0, 0.0] for c in grid}
     for k in range(folds):
         model = _grow(ready.filter(F.col("fold") != k), min(grid) / 10, depth)
@@ -193,13 +200,13 @@ def tree_tune(df: DataFrame, y: Column, cols: dict[str, Column], keys: list[str]
 
 def kmeans_fit(ready: DataFrame, k: int, starts: int = 30, seed: int = 1):
     """Best of several seeded starts by training cost."""
-    fits = (KMeans(k=k, seed=seed + i, maxIter=50, tol=1e-6).fit(ready) for i in range(starts))
+    fits = (KMeans(k=k, seed=seed + i, maxIter=10).fit(ready) for i in range(starts))
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
 def kmeans(df: DataFrame, cols: dict[str, Column], ks: list[int], starts: int = 30, seed: int = 1) -> DataFrame:
     """(k, cluster, size, centre...) for each k."""
-    ready = assemble(df, cols, {}).persist()
+    ready = spread(assemble(df, cols, {})).persist()
     lines = []
     for k in ks:
         model = kmeans_fit(ready, k, starts, seed)
@@ -216,7 +223,7 @@ def total_ss(df: DataFrame, cols: dict[str, Column]) -> Column:
 
 def kmeans_wss(df: DataFrame, cols: dict[str, Column], max_k: int = 10, starts: int = 1, seed: int = 1) -> DataFrame:
     """Within-cluster sum of squares for k = 1..max_k."""
-    ready = assemble(df, cols, {}).persist()
+    ready = spread(assemble(df, cols, {})).persist()
     lines = [(1, float(df.agg(total_ss(df, cols)).first()[0]))]
     lines += [(k, float(kmeans_fit(ready, k, starts, seed).summary.trainingCost)) for k in range(2, max_k + 1)]
     ready.unpersist()
@@ -225,7 +232,7 @@ def kmeans_wss(df: DataFrame, cols: dict[str, Column], max_k: int = 10, starts:
 
 def kmeans_silhouette(df: DataFrame, cols: dict[str, Column], max_k: int = 10, starts: int = 1, seed: int = 1) -> DataFrame:
     """Average silhouette (squared distances) for k = 2..max_k."""
-    ready = assemble(df, cols, {}).persist()
+    ready = spread(assemble(df, cols, {})).persist()
     judge = ClusteringEvaluator(featuresCol="features", metricName="silhouette", distanceMeasure="squaredEuclidean")
     lines = [(k, float(judge.evaluate(kmeans_fit(ready, k, starts, seed).transform(ready)))) for k in range(2, max_k + 1)]
     ready.unpersist()
@@ -240,7 +247,7 @@ def kmeans_gap(df: DataFrame, cols: dict[str, Column], max_k: int = 10, referenc
 
     def log_costs(table: DataFrame, at: int) -> list[float]:
         plain = {n: F.col(n) for n in names}
-        ready = assemble(table, plain, {}).persist()
+        ready = spread(assemble(table, plain, {})).persist()
         out = [math.log(table.agg(total_ss(table, plain)).first()[0])]
         out += [math.log(kmeans_fit(ready, k, 1, at).summary.trainingCost) for k in range(2, max_k + 1)]
         ready.unpersist()
@@ -264,22 +271,31 @@ def kmeans_gap(df: DataFrame, cols: dict[str, Column], max_k: int = 10, referenc
 def gmm_models(df: DataFrame, cols: dict[str, Column], ks: list[int], seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(k, loglik, df, bic, icl per line; rows with the class of the best model by BIC)."""
     names = list(cols)
-    spread = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols.values())],
+    units = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols.values())],
                     *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols.values())]).first()
-    scaled = {n: (c - spread[f"m{i}"]) / (spread[f"s{i}"] or 1.0) for i, (n, c) in enumerate(cols.items())}
-    ready = assemble(df, scaled, {n: c.cast("double") for n, c in cols.items()}).persist()
+    scaled = {n: (c - units[f"m{i}"]) / (units[f"s{i}"] or 1.0) for i, (n, c) in enumerate(cols.items())}
+    ready = assemble(df, scaled, {n: c.cast("double") for n, c in cols.items()})
+    ready = spread(ready).persist()
     n, d = ready.count(), len(names)
-    shift = n * sum(math.log(spread[f"s{i}"] or 1.0) for i in range(d))  # back to the original units
+    shift = n * sum(math.log(units[f"s{i}"] or 1.0) for i in range(d))  # back to the original units
     lines, best = [], None
     for k in ks:
-        model = GaussianMixture(k=k, seed=seed, maxIter=100, tol=1e-4).fit(ready)
-        ll = float(model.summary.logLikelihood) - shift
         free = k - 1 + k * d + k * d * (d + 1) // 2
+        if k == 1:  # one normal: the likelihood follows from the correlation matrix, and no class is uncertain
+            r = ready.agg(F.array(*[F.corr(a, b) for a in names for b in names]).alias("r")).first()["r"]
+            det = np.linalg.slogdet(np.array(r).reshape(d, d))[1] + d * math.log((n - 1) / n)
+            model, ll, entropy = None, -n / 2 * (d * math.log(2 * math.pi) + det + d) - shift, 0.0
+        else:
+            model = GaussianMixture(k=k, seed=seed, maxIter=100, tol=1e-4).fit(ready)
+            ll = float(model.summary.logLikelihood) - shift
+            top = F.array_max(vector_to_array("probability"))
+            entropy = model.transform(ready).agg(F.sum(F.log(F.greatest(top, F.lit(1e-300))))).first()[0]
         bic = 2 * ll - free * math.log(n)
-        top = F.array_max(vector_to_array("probability"))
-        entropy = model.transform(ready).agg(F.sum(F.log(F.greatest(top, F.lit(1e-300))))).first()[0]
         lines.append((k, ll, free, bic, bic + 2 * float(entropy)))
         if best is None or bic > best[0]:
             best = (bic, model)
-    labelled = best[1].transform(ready).select(*names, F.col("prediction").cast("int").alias("mclust"))
+    if best[1] is None:
+        labelled = ready.select(*names, F.lit(0).alias("mclust"))
+    else:
+        labelled = best[1].transform(ready).select(*names, F.col("prediction").cast("int").alias("mclust"))
     return _local(df.sparkSession, lines, "k int, loglik double, df int, bic double, icl double"), labelled
