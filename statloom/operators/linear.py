@@ -22,6 +22,8 @@ from statloom.functions.vectors import vector_udf
 EXPRESSION_LIMIT = 55  # cross products kept as plain sum expressions; beyond it Arrow batches
 HELD_GROUPS = 4000  # groups a task sums up before it hands them on
 
+RESERVED = {"n", "w", "g", "f", "beta", "se", "rss", "df", "sigma2", "inv"}  # result columns of a fit
+
 
 def pack(matrix: np.ndarray) -> list[float]:
     return matrix[np.triu_indices(matrix.shape[0])].tolist()
@@ -40,6 +42,9 @@ def gram(df: DataFrame, cols: list[Column], keys: list[str] = (), weight: Column
 
     Rows with a null in any column are left out.
     """
+    taken = RESERVED & set(keys)
+    if taken:
+        raise ValueError(f"rename the grouping columns {sorted(taken)}")
     # The columns stay unnamed expressions: a projection with many aliases of the same
     # inputs makes the optimizer's constraint inference grow out of hand.
     cols = [c.cast("double") for c in cols]

@@ -284,7 +284,7 @@ def gmm_models(df: DataFrame, cols: dict[str, Column], ks: list[int], seed: int
         if k == 1:  # one normal: the likelihood follows from the correlation matrix, and no class is uncertain
             r = ready.agg(F.array(*[F.corr(a, b) for a in names for b in names]).alias("r")).first()["r"]
             det = np.linalg.slogdet(np.array(r).reshape(d, d))[1] + d * math.log((n - 1) / n)
-            model, ll, entropy = None, -n / 2 * (d * math.log(2 * math.pi) + det + d) - shift, 0.0
+            model, ll, entropy = None, float(-n / 2 * (d * math.log(2 * math.pi) + det + d)) - shift, 0.0
         else:
             model = GaussianMixture(k=k, seed=seed, maxIter=100, tol=1e-4).fit(ready)
             ll = float(model.summary.logLikelihood) - shift

@@ -50,11 +50,13 @@ def test_ols_and_diagnostics(spark, data):
 
 
 def test_grouped_fit_equals_filtered_fit(spark, data):
-    df = spark.createDataFrame(data).withColumn("g", (F.col("id") % 3).cast("int"))
-    got = regress.ols(df, Y, {"a": F.col("a")}, ["g"]).toPandas()
+    df = spark.createDataFrame(data).withColumn("part", (F.col("id") % 3).cast("int"))
+    got = regress.ols(df, Y, {"a": F.col("a")}, ["part"]).toPandas()
     part = data[data.id % 3 == 1]
     want = np.polyfit(part.a, part.y, 1)
-    assert np.allclose(got[got.g == 1].sort_values("term").estimate, [want[1], want[0]])
+    assert np.allclose(got[got.part == 1].sort_values("term").estimate, [want[1], want[0]])
+    with pytest.raises(ValueError, match="rename"):
+        regress.ols(df.withColumn("g", F.lit(1)), Y, {"a": F.col("a")}, ["g"])
 
 
 def test_ridge_at_zero_and_lasso_conditions(spark, data):
