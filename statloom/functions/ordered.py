@@ -8,6 +8,8 @@ spread over as many tasks as it has chunks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,35 +94,51 @@ def running(df: DataFrame, keys: list[str], order: str, sums: list[str] = (),
 
 def long_values(df: DataFrame, cols: list[str], keys: list[str] = (), weight: Column | None = None,
                 n_bins: int = 256) -> DataFrame:
-    """Distinct non-null values per (keys, variable) with total weight and a range bin."""
+    """Non-null cells (keys, variable, bin, value, w) of the listed columns, each with its range bin."""
     base = df.select(*keys, *cols, (F.lit(1) if weight is None else weight).alias("__w"))
     binned = with_bins(base, cols, [f"__bin{i}" for i in range(len(cols))], n_bins)
     cells = F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"),
                  F.col(f"__bin{i}").alias("bin")) for i, c in enumerate(cols)]))
     return (binned.select(*keys, "__w", cells.alias("__cell"))
-            .select(*keys, "__cell.*", "__w").filter(F.col("value").isNotNull())
-            .groupBy(*keys, "variable", "bin", "value").agg(F.sum("__w").alias("w")))
+            .select(*keys, "__cell.*", F.col("__w").alias("w")).filter(F.col("value").isNotNull()))
 
 
-def _wanted_bins(values: DataFrame, keys: list[str], probs) -> DataFrame:
-    """(keys, bin, off, bin_w, total_w, prob...) for every wanted probability and every bin.
+FEW_GROUPS = 2000  # groups up to which the list of wanted bins may be broadcast
 
-    Works on the per-bin totals, at most ``n_bins`` rows per key.
-    """
-    per_bin = values.groupBy(*keys, "bin").agg(F.sum("w").alias("bin_w"))
+
+def _histogram(cells: DataFrame, groups: list[str], keyed: bool) -> tuple[DataFrame, bool]:
+    """Weight per bin, and whether there are few enough groups to broadcast their wanted bins."""
+    hist = cells.groupBy(*groups, "bin").agg(F.sum("w").alias("bin_w"))
+    if not keyed:
+        return hist, True
+    hist = hist.persist()
+    return hist, hist.select(*groups).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+
+
+def _wanted_bins(hist: DataFrame, keys: list[str], probs) -> DataFrame:
+    """(keys, bin, off, bin_w, total_w, prob...) for every wanted probability and every bin."""
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
     before = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = per_bin.withColumns({"off": F.coalesce(F.sum("bin_w").over(before), F.lit(0)),
-                                "total_w": F.sum("bin_w").over(whole)})
+    bins = hist.withColumns({"off": F.coalesce(F.sum("bin_w").over(before), F.lit(0)),
+                             "total_w": F.sum("bin_w").over(whole)})
     if isinstance(probs, DataFrame):
         return join_null_safe(bins, probs, [k for k in keys if k in probs.columns])
     return bins.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
 
 
-def _inside_bins(values: DataFrame, targets: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
-    """Values of the wanted bins with their running weight, counted from the start of the group."""
-    rows = join_null_safe(targets, values, [*keys, "bin"])
+def _inside_bins(cells: DataFrame, targets: DataFrame, keys: list[str], extra: list[str], few: bool) -> DataFrame:
+    """Distinct values of the wanted bins with their running weight, counted from the start of the group.
+
+    With few groups the wanted bins (at most two per group and probability) are broadcast
+    into a second read of the column, so that only their rows are shuffled.
+    """
+    if few:
+        wanted = targets.select(*keys, "bin").distinct().withColumnsRenamed({k: f"__{k}" for k in [*keys, "bin"]})
+        cond = reduce(lambda a, b: a & b, [cells[k].eqNullSafe(wanted[f"__{k}"]) for k in [*keys, "bin"]])
+        cells = cells.join(F.broadcast(wanted), cond, "left_semi")
+    values = cells.groupBy(*keys, "bin", "value").agg(F.sum("w").alias("w"))
+    rows = join_null_safe(values, F.broadcast(targets) if few else targets, [*keys, "bin"])
     inside = (Window.partitionBy(*keys, "bin", *extra).orderBy("value")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn("cum_w", F.col("off") + F.sum("w").over(inside))
@@ -133,29 +151,31 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], keys: list[str
     Only values of the bins that hold a wanted position are ordered.
     """
     groups = [*keys, "variable"]
-    values = long_values(df, cols, keys, None, n_bins)
+    cells = long_values(df, cols, keys, None, n_bins)
+    hist, few = _histogram(cells, groups, bool(keys))
     pos = (F.col("total_w") - 1) * F.col("prob")
-    targets = (_wanted_bins(values, groups, probs)
+    targets = (_wanted_bins(hist, groups, probs)
                .withColumns({"lo": F.floor(pos), "hi": F.ceil(pos), "frac": pos - F.floor(pos)})
                .filter((F.col("off") <= F.col("hi")) & (F.col("off") + F.col("bin_w") > F.col("lo"))))
-    hits = (_inside_bins(values, targets, groups, ["prob"])
+    hits = (_inside_bins(cells, targets, groups, ["prob"], few)
             .filter((F.col("cum_w") - F.col("w") <= F.col("hi")) & (F.col("cum_w") > F.col("lo"))))
     return (hits.groupBy(*groups, "prob")
             .agg(F.max("frac").alias("f"), F.min("value").alias("a"), F.max("value").alias("b"))
             .select(*groups, "prob", (F.col("a") + F.col("f") * (F.col("b") - F.col("a"))).alias("q")))
 
 
-def weighted_quantiles(values: DataFrame, keys: list[str], probs) -> DataFrame:
+def weighted_quantiles(cells: DataFrame, keys: list[str], probs) -> DataFrame:
     """Smallest value whose cumulative weight reaches ``prob`` of the total: (keys, prob, ..., q).
 
-    ``values`` comes from :func:`long_values`; ``probs`` is a list, or a table that
+    ``cells`` comes from :func:`long_values`; ``probs`` is a list, or a table that
     holds ``prob`` (and label columns) per key.
     """
     labels = [c for c in probs.columns if c not in keys] if isinstance(probs, DataFrame) else ["prob"]
+    hist, few = _histogram(cells, keys, bool(keys))
     goal = F.greatest(F.col("prob") * F.col("total_w"), F.lit(5e-324))
-    targets = (_wanted_bins(values, keys, probs).withColumn("goal", goal)
+    targets = (_wanted_bins(hist, keys, probs).withColumn("goal", goal)
                .filter((F.col("off") < F.col("goal")) & (F.col("off") + F.col("bin_w") >= F.col("goal"))))
-    rows = _inside_bins(values, targets, keys, labels)
+    rows = _inside_bins(cells, targets, keys, labels, few)
     return rows.groupBy(*keys, *labels).agg(
         F.coalesce(F.min(F.when(F.col("cum_w") >= F.col("goal"), F.col("value"))), F.max("value")).alias("q"))
 

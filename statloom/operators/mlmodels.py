@@ -27,7 +27,9 @@ def assemble(df: DataFrame, cols: dict[str, Column], keep: dict[str, Column]) ->
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Even partitions for a table that many passes will read."""
+    """Even partitions for a table that many passes will read, when it comes from fewer files than there are cores."""
+    if len(rows.inputFiles()) >= rows.sparkSession.sparkContext.defaultParallelism:
+        return rows
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -46,7 +48,7 @@ def logistic_model(ready: DataFrame):
 def logistic(df: DataFrame, flag: Column, cols: dict[str, Column]) -> DataFrame:
     """term, estimate, std_error, z, p_value, and the model's AIC on every line."""
     ready = assemble(df, cols, {"label": flag.cast("double")})
-    model = logistic_model(ready)
+    model = logistic_model(spread(ready))
     s = model.summary
     coef = [float(v) for v in model.coefficients] + [float(model.intercept)]
     lines = list(zip([*cols, "(Intercept)"], coef, s.coefficientStandardErrors, s.tValues, s.pValues))
@@ -58,7 +60,7 @@ def step_logistic(df: DataFrame, flag: Column, terms: dict[str, dict[str, Column
     """Stepwise selection by AIC from the full model, dropping or restoring whole terms."""
     every = {f"{t}.{n}": c for t, g in terms.items() for n, c in g.items()}
     rows = df.select(flag.cast("double").alias("label"), *[c.cast("double").alias(n.replace(".", "__")) for n, c in every.items()])
-    rows = rows.dropna().persist()
+    rows = spread(rows.dropna()).persist()
     seen: dict[tuple, float] = {}
 
     def aic(kept: tuple) -> float:
