@@ -21,7 +21,7 @@ from statloom.functions.scalars import box_cox, inv_box_cox, norm_cdf, norm_pdf
 from statloom.functions.tails import normal_score
 from statloom.functions.vectors import vector_udf
 from statloom.operators.linear import gram, least_squares, linear_predictor, quadratic_form, unpack
-from statloom.operators.series import _levinson, acf, along, autocov, lagged, portmanteau
+from statloom.operators.series import _levinson, acf, along, autocov, lagged, ndiffs, portmanteau
 from statloom.operators.tabulate import histogram
 
 
@@ -216,8 +216,6 @@ def fc_arima(df, keys, index, y, h, orders=ORDERS, lam=None, constant=False, fit
 
 def auto_arima(df, keys, index, y, h, lam=None, orders=ORDERS) -> DataFrame:
     """Differences by the stationarity test, then the order of smallest AIC per key."""
-    from statloom.operators.series import ndiffs
-
     rows = transformed(df, y, lam)
     fits = arima_fits(rows, keys, index, y, orders, constant=True)
     need = ndiffs(rows, keys, index, y, 1)

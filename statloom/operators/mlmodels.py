@@ -27,10 +27,9 @@ def assemble(df: DataFrame, cols: dict[str, Column], keep: dict[str, Column]) ->
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Even partitions for a table that many passes will read, when it comes from fewer files than there are cores."""
-    if len(rows.inputFiles()) >= rows.sparkSession.sparkContext.defaultParallelism:
-        return rows
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """One even partition per core for a table that many passes will read, when its files are fewer than the cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
 
 
 def _local(spark, rows: list[tuple], schema: str) -> DataFrame:

@@ -122,11 +122,15 @@ def with_constants(df: DataFrame, **aggs: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*[a.alias(n) for n, a in aggs.items()])))
 
 
+def _new_year(df: DataFrame, col: str, year: int) -> Column:
+    """1 January as a literal of the column's own type, so that the comparison reaches the file scan."""
+    return F.lit(f"{year}-01-01").cast(df.schema[col].dataType)
+
+
 def up_to_year(df: DataFrame, col: str, year: int) -> DataFrame:
     """Training part, written as a range so that files can be skipped."""
-    return df.filter(F.col(col) < F.lit(f"{year + 1}-01-01").cast("timestamp"))
+    return df.filter(F.col(col) < _new_year(df, col, year + 1))
 
 
 def in_year(df: DataFrame, col: str, year: int) -> DataFrame:
-    return df.filter((F.col(col) >= F.lit(f"{year}-01-01").cast("timestamp"))
-                     & (F.col(col) < F.lit(f"{year + 1}-01-01").cast("timestamp")))
+    return df.filter((F.col(col) >= _new_year(df, col, year)) & (F.col(col) < _new_year(df, col, year + 1)))

@@ -15,7 +15,7 @@ from statloom.functions.nulls import join_null_safe
 from statloom.functions.scalars import box_cox
 from statloom.functions.tails import chi2_p
 from statloom.functions.vectors import vector_udf
-from statloom.operators.linear import gram, unpack
+from statloom.operators.linear import _fit, gram, unpack
 
 
 def along(keys: list[str], index: str):
@@ -165,7 +165,6 @@ def boxcox_lambda(df: DataFrame, keys: list[str], index: str, y: str, order: int
     else:
         lag = lagged(rows, groups, index, "z", order)
         g = gram(lag, [F.lit(1.0), *[F.col(f"lag{k}") for k in range(1, order + 1)], F.col("z")], groups)
-        from statloom.operators.linear import _fit
         jac = rows.groupBy(*groups).agg(F.sum("__lg").alias("lg"))
         fits = join_null_safe(g.withColumn("f", _fit("n", "w", "g")).select(*groups, "n", (F.col("f.rss") / F.col("n")).alias("s2")), jac, groups)
     ll = fits.withColumn("loglik", -F.col("n") / 2 * F.log("s2") + (F.col("lambda") - 1) * F.col("lg"))

@@ -26,6 +26,7 @@ from statloom.functions.tails import f_p, t_p, z_p
 from statloom.functions.vectors import vector_udf
 from statloom.operators.linear import gram, pack, unpack
 from statloom.operators.recode import levels_of
+from statloom.operators.tabulate import add_share, histogram
 
 Z95 = 1.959963984540054
 
@@ -130,8 +131,6 @@ def svy_mean(df: DataFrame, design: SurveyDesign, y: Column, by: list[str] = (),
 
 def svy_table(df: DataFrame, design: SurveyDesign, cols: list[str], domain: Column | None = None) -> DataFrame:
     """Weighted counts and shares by 1-3 factors."""
-    from statloom.operators.tabulate import add_share
-
     w = F.when(_domain(domain), F.col(design.weight).cast("double")).otherwise(0.0)
     return add_share(df.dropna(subset=cols).groupBy(*cols).agg(F.sum(w).alias("n")))
 
@@ -358,8 +357,6 @@ def svy_density(df: DataFrame, design: SurveyDesign, y: Column, bandwidth: float
                 domain: Column | None = None, bins: int = 401) -> DataFrame:
     """Weighted Gaussian kernel density on an even grid; rows are binned first, so the
     grid meets at most ``bins`` points."""
-    from statloom.operators.tabulate import histogram
-
     w = F.when(_domain(domain), F.col(design.weight).cast("double")).otherwise(0.0)
     rows = df.select(y.cast("double").alias("y"), w.alias("w")).filter("w > 0")
     binned = histogram(rows, "y", bins, (), F.col("w"))

@@ -497,7 +497,7 @@ def cox_select(fit: CoxFit, terms: dict[str, list[str]]) -> tuple[list[str], lis
 
 def cox_gof(fit: CoxFit, groups: int = 10) -> DataFrame:
     """Observed against expected events in bands of the risk score."""
-    resid = cox_residuals(fit)
+    resid = cox_residuals(fit).select("eta", "event", "martingale").persist()  # read three times below
     cuts = quantiles(resid, ["eta"], [i / groups for i in range(1, groups)]).agg(
         F.sort_array(F.collect_list("q")).alias("cuts"))
     band = F.size(F.filter("cuts", lambda c: c < F.col("eta"))).cast("int") + 1

@@ -210,7 +210,7 @@ def predicted():
   round(avg(power(p - a, 2)), 0) AS model_mse FROM {PJ} WHERE l_shipdate >= TIMESTAMP '2000-01-01'""")
 def baseline_mse_query(spark, d):
     rows = lines(spark, d)
-    early = F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp")
+    early = F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp_ntz")
     out = regress.baseline_mse(rows.filter(early), rows.filter(~early), F.col(Y), predicted())
     return rounded(out, 0, "baseline_mse", "model_mse")
 

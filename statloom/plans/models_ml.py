@@ -54,7 +54,7 @@ SELECT predicted, actual, count(*) AS n, round((SELECT avg((predicted = actual):
 def predict_class_query(spark, d):
     """A factor as only predictor: scores are the training shares, which the SQL computes directly."""
     li = Tables(spark, d).lineitem
-    early = F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp")
+    early = F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp_ntz")
     cols = design_columns(li, [], ["l_returnflag"], intercept=False)
     out = mlmodels.predict_class(li.filter(early), li.filter(~early), F.col("l_linestatus") == "O", cols)
     return rounded(out, 8, "accuracy")

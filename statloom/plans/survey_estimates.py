@@ -22,7 +22,7 @@ def respondents(spark, d):
 
 
 def since_1998():
-    return F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp")
+    return F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
 
 
 def var_sql(name: str, score: str, source: str) -> str:

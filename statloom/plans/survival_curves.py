@@ -23,7 +23,7 @@ def lifetimes(spark, d):
                                               F.count(F.lit(1)).cast("double").alias("x2"))
     return spans.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("g"), (F.col("c_acctbal") / 1000).alias("x1"), "x2",
-        F.floor(F.datediff("b", "a") / 30).alias("t"), (F.col("b") < F.lit("2001-02-01").cast("timestamp")).cast("int").alias("e"))
+        F.floor(F.datediff("b", "a") / 30).alias("t"), (F.col("b") < F.lit("2001-02-01").cast("timestamp_ntz")).cast("int").alias("e"))
 
 
 KM = f"""WITH {BASE}, l AS (SELECT g, t, sum(e) AS d, count(*) AS n FROM s GROUP BY g, t),

@@ -158,14 +158,14 @@ def group_bars_query(spark, d):
 @query("hier_rollup", """
 WITH r AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, p_type, l_extendedprice * (1 - l_discount) AS v
            FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)
-SELECT month, p_type, round(sum(v), 2) AS total, grouping(p_type) = 1 AS is_aggregated
+SELECT month, p_type, round(sum(v), 4) AS total, grouping(p_type) = 1 AS is_aggregated
 FROM r GROUP BY GROUPING SETS ((month, p_type), (month))""")
 def hier_rollup_query(spark, d):
     t = Tables(spark, d)
     rows = joins.left_chain(t.lineitem, [(t.part, ["p_type"], [("l_partkey", "p_partkey")])]).withColumn(
         "month", F.to_date(F.date_trunc("month", "l_shipdate")))
     out = tabulate.hier_rollup(rows, ["month"], ["p_type"], F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return out.select("month", "p_type", F.round("total", 2).alias("total"), "is_aggregated")
+    return out.select("month", "p_type", F.round("total", 4).alias("total"), "is_aggregated")
 
 
 @query("confusion", """
@@ -236,7 +236,7 @@ SELECT o_orderkey, o_totalprice FROM orders EXCEPT ALL
 SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) <= 2000""")
 def set_minus_rows_query(spark, d):
     """Rows outside the training set: the flag is negated, no anti-join is needed."""
-    o = Tables(spark, d).orders.withColumn("train", F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp"))
+    o = Tables(spark, d).orders.withColumn("train", F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz"))
     return o.filter(~F.col("train")).select("o_orderkey", "o_totalprice")
 
 
