@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statloom.functions.nulls import member, not_member
 from statloom.operators.profile import character_columns, numeric_columns
@@ -87,15 +88,35 @@ def levels_of(df: DataFrame, col: str, reference=None, max_levels: int = 1000) -
     return found
 
 
+def all_levels(df: DataFrame, cols: list[str], max_levels: int = 1000) -> dict[str, list]:
+    """Levels of several columns in their own type and order, found in one pass."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
+    rows = df.select(cells.alias("r")).select("r.*").filter(F.col("v").isNotNull()).distinct()
+    found = rows.take(max_levels * len(cols) + 1)
+    out = {c: [r["v"] for r in found if r["c"] == c] for c in cols}
+    for c, values in out.items():
+        if len(values) > max_levels or len(found) > max_levels * len(cols):
+            raise ValueError(f"{c} or its companions have more than {max_levels} levels")
+        numeric = isinstance(df.schema[c].dataType, T.NumericType)
+        values.sort(key=float if numeric else None)
+    return out
+
+
 def design_columns(df: DataFrame, numeric: list[str], factors: dict[str, object] | list[str] = (),
                    intercept: bool = True) -> dict[str, Column]:
     """Treatment-coded design: name -> expression.  ``factors`` may map to reference levels."""
     refs = dict(factors) if isinstance(factors, dict) else {f: None for f in factors}
     cols: dict[str, Column] = {"(Intercept)": F.lit(1.0)} if intercept else {}
     cols.update({n: F.col(n).cast("double") for n in numeric})
+    levels = all_levels(df, list(refs)) if refs else {}
     for factor, reference in refs.items():
-        for level in levels_of(df, factor, reference)[1:]:
-            cols[f"{factor}{level}"] = F.when(F.col(factor).isNotNull(), (F.col(factor) == level).cast("double"))
+        names, kind = levels[factor], df.schema[factor].dataType
+        base = names[0] if reference is None else str(reference)
+        if base not in names:
+            raise ValueError(f"{reference!r} is not a level of {factor}")
+        for level in names:
+            if level != base:
+                cols[f"{factor}{level}"] = (F.col(factor) == F.lit(level).cast(kind)).cast("double")
     return cols
 
 

@@ -16,7 +16,6 @@ from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.functions.nulls import join_null_safe
 from statloom.functions.ordered import quantiles, running, with_bins, with_chunks
 from statloom.functions.scalars import cloglog
 from statloom.functions.tails import chi2_p, z_p

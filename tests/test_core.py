@@ -132,3 +132,13 @@ def test_pvalue_of_constant_table_is_null(spark):
     df = frame(spark, [("a", "x"), ("a", "y")], "r string, c string")
     row = association.chi_square(df, {"r": F.col("r")}, F.col("c")).first()
     assert row["df"] == 0 and row["p_value"] is None
+
+
+def test_design_uses_own_order_and_reference(spark):
+    df = frame(spark, [(2, "b"), (10, "a"), (None, "b"), (2, None)], "k int, f string")
+    assert list(recode.design_columns(df, [], ["k", "f"])) == ["(Intercept)", "k10", "fb"]
+    cols = recode.design_columns(df, [], {"k": 10, "f": "b"}, intercept=False)
+    assert list(cols) == ["k2", "fa"]
+    assert [r[0] for r in df.select(cols["k2"]).collect()] == [1.0, 0.0, None, 1.0]
+    with pytest.raises(ValueError, match="not a level"):
+        recode.design_columns(df, [], {"k": 7})
