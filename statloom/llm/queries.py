@@ -42,3 +42,41 @@ from documents d left join sizes s using (doc_id) join (select node, min(low) as
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     from statloom.llm.minhash import near_duplicates
     return near_duplicates(Tables(spark, folder).documents)
+
+
+MIX_SQL = r"""
+with recursive work as (
+  select {row}, coalesce('=' || source, '') as lane, md5(coalesce(cast(doc_id as varchar), '')) as mark,
+         coalesce(length(text), 0) as size from {docs}),
+totals as (select lane, sum(size)::bigint as chars, floor(sqrt(sum(size)::bigint))::bigint as weight from work group by lane),
+shares as (select lane, greatest(floor(1000 * weight / greatest((select sum(weight) from totals), 1)), 1)::bigint as parts from totals),
+cfg as (select list(lane order by lane) as lanes, list(parts order by lane) as a, sum(parts)::bigint as q from shares),
+edf as (
+  select -1::bigint as t, list_transform(a, lambda x: 0::bigint) as k, 0::bigint as pick, 0::bigint as turn from cfg
+  union all
+  select t + 1, list_transform(range(len(k)), lambda i: k[i + 1] + (case when i = p then 1 else 0 end)::bigint), p, k[p + 1]
+  from (select t, k, list_min(list_transform(range(len(k)), lambda i: case when k[i + 1] < a[i + 1] and (k[i + 1] * q) // a[i + 1] <= t + 1
+                then (((k[i + 1] + 1) * q + a[i + 1] - 1) // a[i + 1]) * 1000000 + i end)) % 1000000 as p
+        from edf, cfg where t + 1 < q)),
+slots as (select lanes[pick + 1] as lane, a[pick + 1] as parts, turn, t as slot, q from edf, cfg where t >= 0),
+placed as (select *, (coalesce(sum(size) over (partition by lane order by mark, size rows between unbounded preceding and 1 preceding), 0))::bigint as place from work)
+select {out}, place // 100000 as mix_block, ((place // 100000) // parts) * q + slot as mix_slot, place as mix_place
+from placed p join slots s on p.lane = s.lane and s.turn = (place // 100000) % parts
+"""
+
+
+@query("op3_mix_sources", MIX_SQL.format(row="doc_id, source", docs="documents", out="doc_id, source"))
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from statloom.llm.mixing import mix_sources
+    docs = Tables(spark, folder).documents.select("doc_id", "source", F.length("text").alias("size"))
+    return mix_sources(docs, size=F.col("size")).drop("size")
+
+
+@query("op7_language")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from statloom.llm import langid
+    docs = Tables(spark, folder).documents
+    held = langid.held_out("doc_id", 4, 2)
+    model = langid.fit_language_model(docs.filter(~held))
+    out = langid.identify_language(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
