@@ -80,3 +80,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.fit_language_model(docs.filter(~held))
     out = langid.identify_language(docs.select("doc_id", "text", held.alias("held_out")), model)
     return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op8_contaminated")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from statloom.llm.decontaminate import contaminated
+    tables = Tables(spark, folder)
+    return contaminated(tables.documents, tables.benchmark)
