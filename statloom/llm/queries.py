@@ -87,3 +87,23 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from statloom.llm.decontaminate import contaminated
     tables = Tables(spark, folder)
     return contaminated(tables.documents, tables.benchmark)
+
+
+WINDOW_SQL = r"""
+with words as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+runs as (select doc_id, unnest(range(1, len(w) - 18)) as s, w from words),
+late as (select doc_id, s from (select doc_id, s, row_number() over (
+  partition by array_to_string(w[s:s + 19], ' ') order by doc_id, s) as k from runs) where k > 1),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as p from late),
+flat as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from words),
+kept as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n from flat anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from words d left join kept using (doc_id)
+"""
+
+
+@query("op9_repeated_windows", WINDOW_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from statloom.llm.windows import drop_repeated_windows
+    return drop_repeated_windows(Tables(spark, folder).documents).drop("kept_text")
