@@ -107,3 +107,9 @@ from words d left join kept using (doc_id)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     from statloom.llm.windows import drop_repeated_windows
     return drop_repeated_windows(Tables(spark, folder).documents).drop("kept_text")
+
+
+@query("op2_repeated_strings")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from statloom.llm.substrings import drop_repeated_strings
+    return drop_repeated_strings(Tables(spark, folder).documents).drop("kept")

@@ -88,6 +88,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """A random 64-bit number for each byte."""
+    return _BYTE_VALUES[data]
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word ``[^\\x20\\x09-\\x0D]+`` and the row limits in the word list."""
     solid = ~_SPACE[data]

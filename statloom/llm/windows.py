@@ -28,7 +28,18 @@ def _cores(words: np.ndarray, limits: np.ndarray, window: int, core: int):
     return starts, places[starts], runs
 
 
-def _sketches(window: int, core: int, cells: int):
+def _core_values(window: int, core: int):
+    """Hashes of the cores of a text column, each place once."""
+    def values(column):
+        data, offsets = tokens.text_buffer(column)
+        for a, b in tokens.slices(offsets):
+            words, _, _, limits = tokens.word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], False)
+            _, places, runs = _cores(words, limits, window, core)
+            yield runs[np.unique(places)]
+    return values
+
+
+def _sketches(values, cells: int):
     """One partition's sketch: counts (1, or 2 for more) of the cells it touches, by shard, as packed bytes."""
     def run(batches):
         once = np.zeros(0, np.uint64)
@@ -44,13 +55,9 @@ def _sketches(window: int, core: int, cells: int):
 
         parts, held = [], 0
         for batch in batches:
-            data, offsets = tokens.text_buffer(batch.column(0))
-            for a, b in tokens.slices(offsets):
-                words, _, _, limits = tokens.word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], False)
-                _, places, runs = _cores(words, limits, window, core)
-                places = np.unique(places)
-                parts.append(runs[places] % np.uint64(cells))
-                held += len(places)
+            for found in values(batch.column(0)):
+                parts.append(found % np.uint64(cells))
+                held += len(found)
                 if held > 1 << 20:
                     once, twice = fold(parts, once, twice)
                     parts, held = [], 0
@@ -157,6 +164,22 @@ def _cut(window: int):
     return run
 
 
+def core_bits(docs: DataFrame, values, rate: float, cells: int | None = None) -> tuple[np.ndarray, int]:
+    """Bits of the cells that the hashes given by ``values`` fall into twice or more, and the number of cells.
+
+    ``values`` turns a text column into arrays of hashes; ``rate`` is how many it gives a byte, for the sketch's size.
+    """
+    if cells is None:
+        n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
+        cells = min(max(1 << int(8 * n * rate).bit_length(), SHARD), LARGEST)
+    rows = (docs.select("text").mapInArrow(_sketches(values, cells), "shard long, once binary, twice binary")
+            .repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge, "shard long, bits binary"))
+    bits = np.zeros(cells // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        bits[r["shard"] * (SHARD // 8):(r["shard"] + 1) * (SHARD // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return bits, cells
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, core: int = CORE, cells: int | None = None) -> DataFrame:
     """(doc_id, start) of every window of ``docs(doc_id, text)`` whose words also start earlier.
 
@@ -170,18 +193,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, core: int = CORE, ce
        Groups are reduced before the shuffle, and marked rows come from a join with one row a group, so the
        windows of one very common passage are never in one task.
     """
-    spark = docs.sparkSession
-    if cells is None:
-        bytes_in = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
-        # about six bytes a word, and one core in (window - core + 2) / 2 words
-        cells = 8 * (bytes_in // (3 * (window - core + 2)) + 1)
-        cells = min(max(1 << (int(cells) - 1).bit_length(), SHARD), LARGEST)
-    rows = (docs.select("text").mapInArrow(_sketches(window, core, cells), "shard long, once binary, twice binary")
-            .repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge, "shard long, bits binary"))
-    bits = np.zeros(cells // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        bits[r["shard"] * (SHARD // 8):(r["shard"] + 1) * (SHARD // 8)] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
+    # about six bytes a word, and one core in (window - core + 2) / 2 words
+    bits, cells = core_bits(docs, _core_values(window, core), 1 / (3 * (window - core + 2)), cells)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
     found = docs.select("doc_id", "text").mapInArrow(_candidates(window, core, cells, shared), "hash long, check int, doc_id long, start int")
     first = F.min(F.struct("doc_id", "start"))
     groups = keep(found.groupBy("hash", "check").agg(first.alias("first"), F.count("*").alias("n"))
