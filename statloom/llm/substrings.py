@@ -204,3 +204,24 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
     cut = source.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+
+
+def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
+    """``docs`` with the repeated strings cut out of the text; other columns stay.
+
+    Bytes of a character that was cut through go with it.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    source = docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marks = repeated_spans(source, length, **options).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("marks"))
+
+    @F.arrow_udf("string")
+    def rest(text: pa.Array, cuts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text, text, cuts], ["doc_id", "text", "marks"])
+        kept = next(_cut([batch])).column("kept").to_pylist()
+        return pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    joined = docs.select(key.alias("doc_id"), row).join(marks, "doc_id", "left")
+    text = F.when(F.col("marks").isNull(), F.col(f"row.`{text_col}`")).otherwise(rest(F.col(f"row.`{text_col}`").cast("string"), F.col("marks")))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
