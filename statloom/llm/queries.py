@@ -113,3 +113,33 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     from statloom.llm.substrings import drop_repeated_strings
     return drop_repeated_strings(Tables(spark, folder).documents).drop("kept")
+
+
+CHAT_SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+marked as (
+  select *, regexp_replace(replace(text, '\', '\\'), '(<\||</?s>|\[/?INST\]|<</?SYS>>)', '\1\\', 'g') as body,
+         regexp_replace(replace(role, '\', '\\'), '(<\||</?s>|\[/?INST\]|<</?SYS>>)', '\1\\', 'g') as head from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length(head) + length(body) + 23)::bigint as formatted_chars
+from marked group by conv_id
+"""
+
+
+@query("op4_chat", CHAT_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from statloom.llm.chat import digests, format_conversations
+    table = Tables(spark, folder).conversations.select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return digests(*format_conversations(table.unionByName(extra)))
+
+
+@query("op10_nearest_neighbours")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from statloom.llm.neighbours import nearest_neighbours
+    return nearest_neighbours(Tables(spark, folder).embeddings, F.col("vec_id") % 100 == 0)
