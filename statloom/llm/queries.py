@@ -143,3 +143,14 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     from statloom.llm.neighbours import nearest_neighbours
     return nearest_neighbours(Tables(spark, folder).embeddings, F.col("vec_id") % 100 == 0)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from statloom.llm.langid import held_out
+    from statloom.llm.toxicity import fit_toxicity, score_toxicity
+    tables = Tables(spark, folder)
+    held = held_out("doc_id", 5, 0)
+    model = fit_toxicity(tables.documents, tables.labels.filter(~held))
+    out = score_toxicity(tables.documents.select("doc_id", "text", held.alias("held_out")), model)
+    return out.select("doc_id", "held_out", "score", "predicted")
