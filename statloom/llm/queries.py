@@ -154,3 +154,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     model = fit_toxicity(tables.documents, tables.labels.filter(~held))
     out = score_toxicity(tables.documents.select("doc_id", "text", held.alias("held_out")), model)
     return out.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op6_main_text")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from statloom.llm.extract import extract_main_text, fit_labeller
+    pages = Tables(spark, folder).pages.select("page_id", "url", "html")
+    return extract_main_text(pages, fit_labeller(pages))
