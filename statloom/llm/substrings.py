@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from statloom.llm import suffix, tokens
 from statloom.llm.store import keep
-from statloom.llm.windows import LARGEST, SHARD, core_bits
+from statloom.llm.windows import core_bits, counted
 
 LENGTH = 200
 ANCHOR = 16  # bytes hashed for an anchor
-SHARD_BYTES = 6 << 20  # text a suffix array is meant to get; a larger shard spills
+SHARD_BYTES = 2 << 20  # text a suffix array is meant to get; a larger shard spills
 CROWD = 20_000  # different surroundings of one anchor beyond which its strings are grouped by hash instead
 _SEEN = 1 << 18
 
@@ -57,8 +57,7 @@ def _segments(length: int, cells: int, shared):
             for i, one, values, places in _anchors(batch.column(1), length):
                 first = np.flatnonzero(np.diff(places, prepend=-1) != 0)
                 last = np.append(first[1:], len(places)) - 1
-                cell = values[places[first]] % np.uint64(cells)
-                maybe = (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                maybe = counted(bits, values[places[first]], cells)
                 first, last = first[maybe], last[maybe]
                 if not len(first):
                     continue

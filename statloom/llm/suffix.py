@@ -180,8 +180,7 @@ def _sorted_seeds(text, small, runs, folder, memory):
     for _, _, s_suffixes, _ in _induce(text, small, runs, rough, np.zeros(len(rough), np.uint8), folder, memory):
         found.append(s_suffixes[is_seed[s_suffixes]])
     order = np.concatenate(found)[::-1]
-    if not is_seed[order].all() or len(order) < len(seeds):  # the end is a seed that nothing induces
-        order = np.concatenate((np.setdiff1d(seeds, order), order))
+    order = np.concatenate((seeds[-1:], order))  # the end, a seed that nothing induces
     number = np.full(len(text), -1, np.int64)
     number[seeds] = np.arange(len(seeds))
     until = np.append(seeds[1:], len(text) - 1) + 1
@@ -197,31 +196,37 @@ def _sorted_seeds(text, small, runs, folder, memory):
         ahead = np.zeros(len(rank), np.int64)
         ahead[:-reach] = rank[reach:]
         key = rank * (len(rank) + 1) + ahead
-        index = np.argsort(key, kind="stable")
+        index = np.argsort(key)
         new[1:] = key[index[1:]] != key[index[:-1]]
         rank = np.empty(len(seeds), np.int64)
         rank[index] = np.cumsum(new)
         reach *= 2
-    index = np.argsort(rank, kind="stable")
-    order = seeds[index]
+    order = seeds[np.argsort(rank)]
     return order, _common(text, order)
 
 
 def _common(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Length of the prefix each suffix shares with the one before it in ``order``, cut at DEPTH."""
+    """Length of the prefix each suffix shares with the one before it in ``order``, cut at DEPTH; four symbols a step."""
     out = np.zeros(len(order), np.uint8)
-    left = np.arange(1, len(order))
-    padded = np.concatenate((text, np.arange(SYMBOLS, SYMBOLS + 8, dtype=text.dtype)))
     end = len(text)
-    depth = 0
+    # beyond the end every place has symbols of its own
+    padded = np.concatenate((text, np.zeros(4, text.dtype))).astype(np.uint64)
+    packed = padded[:end] | padded[1:end + 1] << np.uint64(16) | padded[2:end + 2] << np.uint64(32) | padded[3:end + 3] << np.uint64(48)
+    left, depth = np.arange(1, len(order)), 0
     while len(left) and depth < DEPTH:
-        a = np.minimum(order[left - 1] + depth, end)
-        b = np.minimum(order[left] + depth, end)
-        same = (padded[a] == padded[b]) & (a < end) & (b < end)
-        left = left[same]
-        out[left] += 1
-        depth += 1
-    return out
+        a, b = order[left - 1] + depth, order[left] + depth
+        inside = (a < end) & (b < end)
+        left, a, b = left[inside], a[inside], b[inside]
+        differ = packed[a] ^ packed[b]
+        equal = (differ & np.uint64(0xFFFF)) == 0
+        step = equal.astype(np.uint8)
+        for k in (1, 2, 3):
+            equal &= (differ >> np.uint64(16 * k)) & np.uint64(0xFFFF) == 0
+            step += equal
+        out[left] += np.minimum(step, np.minimum(end - a, end - b)).astype(np.uint8)
+        left = left[equal]
+        depth += 4
+    return np.minimum(out, DEPTH)
 
 
 def repeated_starts(texts: list[bytes], length: int = DEPTH, folder: str | None = None, memory: int = MEMORY) -> list[np.ndarray]:
