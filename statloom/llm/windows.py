@@ -28,6 +28,20 @@ def _cores(words: np.ndarray, limits: np.ndarray, window: int, core: int):
     return starts, places[starts], runs
 
 
+def _cells(hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash's cells in the two rows of the sketch, each half of it."""
+    half = np.uint64(cells // 2)
+    return hashes % half, half + tokens.mix(hashes ^ np.uint64(CHECK_BASE)) % half
+
+
+def counted(bits: np.ndarray, hashes: np.ndarray, cells: int) -> np.ndarray:
+    """Whether the smaller of a hash's two counts is two or more."""
+    out = np.ones(len(hashes), bool)
+    for cell in _cells(hashes, cells):
+        out &= (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
 def _core_values(window: int, core: int):
     """Hashes of the cores of a text column, each place once."""
     def values(column):
@@ -56,8 +70,8 @@ def _sketches(values, cells: int):
         parts, held = [], 0
         for batch in batches:
             for found in values(batch.column(0)):
-                parts.append(found % np.uint64(cells))
-                held += len(found)
+                parts.extend(_cells(found, cells))
+                held += 2 * len(found)
                 if held > 1 << 20:
                     once, twice = fold(parts, once, twice)
                     parts, held = [], 0
@@ -122,18 +136,19 @@ def _candidates(window: int, core: int, cells: int, shared):
             for a, b in tokens.slices(offsets):
                 words, _, _, limits = tokens.word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], False)
                 starts, places, runs = _cores(words, limits, window, core)
-                cell = runs[places] % np.uint64(cells)
-                maybe = (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                starts = starts[maybe]
+                starts = starts[counted(bits, runs[places], cells)]
                 if not len(starts):
                     continue
                 first = tokens.range_hashes(words, starts, starts + window, tokens.WORD_BASE)
                 second = tokens.range_hashes(words, starts, starts + window, CHECK_BASE) >> np.uint64(32)
                 row = np.searchsorted(limits, starts, "right") - 1
+                order = np.lexsort((starts, second, first, row))
+                again = np.zeros(len(starts), bool)
+                again[order[1:]] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in (row, first, second)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(first.view(np.int64)), pa.array(second.astype(np.uint32).view(np.int32)),
-                     ids.slice(a, b - a).take(pa.array(row)), pa.array((starts - limits[row]).astype(np.int32))],
-                    ["hash", "check", "doc_id", "start"])
+                     ids.slice(a, b - a).take(pa.array(row)), pa.array((starts - limits[row]).astype(np.int32)), pa.array(again)],
+                    ["hash", "check", "doc_id", "start", "again"])
     return run
 
 
@@ -185,23 +200,24 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, core: int = CORE, ce
 
     1. A window is counted through its core, the run of ``core`` words in it with the smallest hash.  Equal windows have
        equal cores at different places, so a core occurs at least as often as the window.  Every partition sketches the
-       counts of its cores; the sketches are merged shard by shard.  A cell counts whatever falls into it, so
-       counts are never too low.  The sketch has at least eight cells a core up to ``LARGEST``; beyond it more windows
+       counts of its cores; the sketches are merged shard by shard.  A core has a cell in each of two rows; a cell
+       counts whatever falls into it, so the smaller of the two counts is never too low.  The sketch has at least eight cells a core up to ``LARGEST``; beyond it more windows
        pass, none less.
     2. The cells counted twice or more go to all tasks as bits (``LARGEST`` / 8 bytes at most).  Windows whose core is
-       in such a cell are grouped by 96 bits of hash; a group's first (doc_id, start) stays and the others are marked.
-       Groups are reduced before the shuffle, and marked rows come from a join with one row a group, so the
-       windows of one very common passage are never in one task.
+       in two such cells are grouped by 96 bits of hash.  What repeats inside a document is marked there; a window in
+       several documents stays in the smallest and is marked in the others.  Groups are reduced before the shuffle, and
+       marked rows come from a join with one row a group, so the windows of one very common passage are never in one task.
     """
     # about six bytes a word, and one core in (window - core + 2) / 2 words
     bits, cells = core_bits(docs, _core_values(window, core), 1 / (3 * (window - core + 2)), cells)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    found = docs.select("doc_id", "text").mapInArrow(_candidates(window, core, cells, shared), "hash long, check int, doc_id long, start int")
-    first = F.min(F.struct("doc_id", "start"))
-    groups = keep(found.groupBy("hash", "check").agg(first.alias("first"), F.count("*").alias("n"))
-                  .filter("n > 1").select("hash", "check", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")), "windows")
-    late = (F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))
-    return found.join(groups, ["hash", "check"]).filter(late).select("doc_id", "start")
+    found = docs.select("doc_id", "text").mapInArrow(
+        _candidates(window, core, cells, shared), "hash long, check int, doc_id long, start int, again boolean")
+    first = found.filter("not again")
+    groups = keep(first.groupBy("hash", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+                  .filter("low < high").select("hash", "check", "low"), "windows")
+    later = first.join(groups, ["hash", "check"]).filter("doc_id > low").select("doc_id", "start")
+    return later.unionByName(found.filter("again").select("doc_id", "start"))
 
 
 def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
