@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.llm import tokens
@@ -118,6 +118,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(100 * common >= least * (both - common)).select("a", "b")
 
 
+def _pairs(rows: DataFrame, one: str, two: str) -> DataFrame:
+    return rows.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+
+
+def _prefix_pairs(open_ids: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Pairs of documents in different parts that may be similar enough: none that is, is missing.
+
+    With shingles ordered from rare to frequent, similar sets share one among their first, and the first they share leaves
+    room for the whole common part behind it.  What makes a document differ from its neighbours is rare and comes first,
+    so documents of one large group that are just too different meet in few shingles.  One side of each pair stands
+    ``apart`` from the centre of its star.
+    """
+    tokens_ = sets.join(open_ids.select("id"), "id").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    counts = keep(tokens_.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    rare_first = Window.partitionBy("id").orderBy("df", "s")
+    ranked = tokens_.join(counts, "s", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", F.row_number().over(rare_first))
+    prefix = ranked.filter((F.col("df") > 1) & (100 * (F.col("n") - F.col("at") + 1) >= least * F.col("n")))
+    prefix = keep(prefix.join(open_ids, "id").select("id", "n", "s", "part", "apart", (F.col("n") - F.col("at") + 1).alias("room")), "prefix")
+    left = prefix.filter("apart").select(*[F.col(c).alias(f"{c}_") for c in ("id", "n", "s", "part", "room")])
+    fits = (100 + least) * F.least("room", "room_") >= least * (F.col("n") + F.col("n_"))
+    return _pairs(left.join(prefix, (F.col("s_") == F.col("s")) & (F.col("part_") != F.col("part")) & fits), "id_", "id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     bands: int = BANDS, rows: int = ROWS, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document id.
@@ -126,11 +149,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the whole sequence if it has fewer words.  Documents are linked if the sets share ``least`` per cent of their union.
 
     1. Documents with equal sets fall together by a 128-bit sum of their hashes; the smallest id stands for them.
-    2. Signatures of these are cut into bands.  Each bucket emits a star: a centre with every other member.
-       Links are confirmed on the full sets.  Members that are still in different components form new, twice as many
-       stars around the best-linked members that were no centre yet, until no bucket holds two components whose
-       members were not compared.  So links are as complete as the buckets, but a group of copies costs about one
-       comparison a member.
+    2. Signatures of these are cut into bands; a bucket holds the documents that agree in a band.
+    3. Shingles that no other candidate has bound what a document can share with any.  Members and pairs that cannot
+       reach the threshold for that reason are left out, exactly.
+    4. Each bucket emits a star: a centre, the member that shares most, with every other member; links are confirmed on
+       the full sets.  Members whose bucket still holds another component, which they could belong to, are
+       compared with those that share one of their rarest shingles, which misses no link.  So links are as complete as
+       the buckets, and a group of copies costs about one comparison a member.
 
     Texts that are null or without words have an empty set and no links.  Rows that repeat an id are one document with
     the links of all of them; the largest set size is reported.  A null id has no links and is kept.  Other columns are
@@ -150,41 +175,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = keep(source.join(wanted, "doc_id").mapInArrow(_sets(shingle), "id long, shingles array<long>"), "sets")
 
-    # rows that repeat an id may carry different sets: they are linked through that id
-    links = tested = None
-    labels = components(sketch.limit(0).select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
-    degrees = labels.select(F.col("node").alias("id"), F.col("label").alias("degree"))
-    turn = 0
-    while True:
-        placed = (members.join(labels.withColumnRenamed("node", "id"), "id", "left")
-                  .select("bucket", "id", "n", F.coalesce("label", "id").alias("part")))
-        spread = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
-        placed = keep(placed.join(spread.select("bucket"), "bucket").join(degrees, "id", "left").select(
-            "bucket", "id", "n", "part", F.coalesce("degree", F.lit(0)).alias("degree"),
-            F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2 ** turn)).alias("lane")), "placed")
-        if placed.isEmpty():
-            break
-        centre = F.max(F.struct("degree", (-F.col("id")).alias("back"), "n", "part")).alias("c")
-        centres = keep(placed.groupBy("bucket", "lane").agg(centre).select(
-            "bucket", (-F.col("c.back")).alias("centre"), F.col("c.n").alias("cn"), F.col("c.part").alias("cpart")), "centres")
-        alike = 100 * F.least("n", "cn") >= least * F.greatest("n", "cn")
-        pairs = (placed.join(centres, "bucket").filter((F.col("part") != F.col("cpart")) & alike)
-                 .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        new = keep(_confirmed(pairs, sets, least).distinct(), "confirmed")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        # contract: what is known so far, plus the new links
-        star = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = components(star.unionByName(new))
-        ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
-        degrees = keep(ends.groupBy("id").agg(F.count("*").alias("degree")), "degrees")
-        members = placed.select("bucket", "id", "n").join(
-            centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
-        turn += 1
-    found = plain.join(classes, prints, "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    # shingles that no other candidate has can be in no common part: the rest bounds what a document can share
+    owned = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("high"))
+    alone = owned.filter("id = high").groupBy("id").agg(F.count("*").alias("alone"))
+    members = keep(members.join(alone, "id", "left").select(
+        "bucket", "id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m")), "bounded")
+    may = lambda m, n: (100 + least) * m >= least * n  # noqa: E731  m shared of n in both sets together
+
+    # stars: every member against the one that shares most
+    best = F.max(F.struct(F.round(F.col("m") / F.col("n"), 3).alias("shares"), (-F.col("id")).alias("back"), "n", "m")).alias("c")
+    centres = keep(members.groupBy("bucket").agg(best, F.min("n").alias("shortest")).select(
+        "bucket", (-F.col("c.back")).alias("centre"), F.col("c.n").alias("cn"), F.col("c.m").alias("cm"), "shortest"), "centres")
+    star = members.join(centres, "bucket")
+    pairs = star.filter((F.col("id") != F.col("centre")) & may(F.least("m", "cm"), F.col("n") + F.col("cn")))
+    links = keep(_confirmed(_pairs(pairs, "id", "centre"), sets, least).distinct(), "stars")
+    labels = components(links)
+
+    # the rest: members whose bucket holds another component that they could still belong to
+    part = labels.select(F.col("node").alias("id"), F.col("label").alias("part"))
+    heads = part.select(F.col("id").alias("centre"), F.col("part").alias("cpart"))
+    able = star.filter(may(F.col("m"), F.col("n") + F.col("shortest"))).join(part, "id", "left").join(heads, "centre", "left")
+    able = able.select("bucket", "id", "n", F.coalesce("part", "id").alias("part"), F.coalesce("cpart", "centre").alias("cpart"))
+    spread = able.groupBy("bucket").agg(F.min(F.least("part", "cpart")).alias("low"), F.max(F.greatest("part", "cpart")).alias("high")).filter("low != high")
+    open_ids = keep(able.join(spread.select("bucket"), "bucket").groupBy("id").agg(
+        F.first("part").alias("part"), F.max(F.col("part") != F.col("cpart")).alias("apart")), "open")
+    if not open_ids.isEmpty():
+        more = keep(_confirmed(_prefix_pairs(open_ids, sets, least), sets, least).distinct(), "rest")
+        if not more.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    found = plain.join(classes, prints, "left").withColumn(
+        "id", F.when(F.col("doc_id").isNotNull(), F.col("id"))).join(labels.withColumnRenamed("node", "id"), "id", "left")
     out = found.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"),
                                       F.min(F.coalesce("label", "id", "doc_id")).alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
