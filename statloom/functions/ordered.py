@@ -50,12 +50,8 @@ def _numeric(df: DataFrame, name: str) -> Column:
 
 
 def with_chunks(df: DataFrame, order: str, out: str, chunks: int = 256) -> DataFrame:
-    """Cut the range of ``order`` into equal widths, numbered upwards."""
-    num = _numeric(df, order)
-    span = df.agg(F.min(num).alias("__lo"), F.max(num).alias("__hi"))
-    width = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(1.0)
-    return (df.crossJoin(F.broadcast(span))
-            .withColumn(out, F.floor((num - F.col("__lo")) / width * chunks).cast("int")).drop("__lo", "__hi"))
+    """Cut ``order`` at its quantiles into chunks of about equal rows, numbered upwards, wherever outliers lie."""
+    return with_bins(df.withColumn("__order", _numeric(df, order)), ["__order"], [out], chunks).drop("__order")
 
 
 def running(df: DataFrame, keys: list[str], order: str, sums: list[str] = (),
@@ -64,7 +60,7 @@ def running(df: DataFrame, keys: list[str], order: str, sums: list[str] = (),
     """Running sums (``cum_*``) and products (``cumprod_*``) along ``order``, with or without the own row.
 
     ``df`` has one row per (keys, order).  ``chunk`` names an existing column that
-    ascends with ``order``; without it the order range is cut into equal widths.
+    ascends with ``order``; without it the order is cut at its quantiles.
     """
     own = chunk is None
     if own:
@@ -104,16 +100,9 @@ def long_values(df: DataFrame, cols: list[str], keys: list[str] = (), weight: Co
             .select(*keys, "__cell.*", F.col("__w").alias("w")).filter(F.col("value").isNotNull()))
 
 
-FEW_GROUPS = 2000  # groups up to which the list of wanted bins may be broadcast
-
-
-def _histogram(cells: DataFrame, groups: list[str], keyed: bool) -> tuple[DataFrame, bool]:
-    """Weight per bin, and whether there are few enough groups to broadcast their wanted bins."""
-    hist = cells.groupBy(*groups, "bin").agg(F.sum("w").alias("bin_w"))
-    if not keyed:
-        return hist, True
-    hist = hist.persist()
-    return hist, hist.select(*groups).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+def _histogram(cells: DataFrame, groups: list[str]) -> DataFrame:
+    """Weight per bin."""
+    return cells.groupBy(*groups, "bin").agg(F.sum("w").alias("bin_w"))
 
 
 def _wanted_bins(hist: DataFrame, keys: list[str], probs) -> DataFrame:
@@ -127,18 +116,17 @@ def _wanted_bins(hist: DataFrame, keys: list[str], probs) -> DataFrame:
     return bins.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
 
 
-def _inside_bins(cells: DataFrame, targets: DataFrame, keys: list[str], extra: list[str], few: bool) -> DataFrame:
+def _inside_bins(cells: DataFrame, targets: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
     """Distinct values of the wanted bins with their running weight, counted from the start of the group.
 
-    With few groups the wanted bins (at most two per group and probability) are broadcast
-    into a second read of the column, so that only their rows are shuffled.
+    The wanted bins, at most two per group and probability, are joined with a second read of the column; where their list
+    is small the optimizer sends it to the tasks and only their rows are shuffled.
     """
-    if few:
-        wanted = targets.select(*keys, "bin").distinct().withColumnsRenamed({k: f"__{k}" for k in [*keys, "bin"]})
-        cond = reduce(lambda a, b: a & b, [cells[k].eqNullSafe(wanted[f"__{k}"]) for k in [*keys, "bin"]])
-        cells = cells.join(F.broadcast(wanted), cond, "left_semi")
+    wanted = targets.select(*keys, "bin").distinct().withColumnsRenamed({k: f"__{k}" for k in [*keys, "bin"]})
+    cond = reduce(lambda a, b: a & b, [cells[k].eqNullSafe(wanted[f"__{k}"]) for k in [*keys, "bin"]])
+    cells = cells.join(wanted, cond, "left_semi")
     values = cells.groupBy(*keys, "bin", "value").agg(F.sum("w").alias("w"))
-    rows = join_null_safe(values, F.broadcast(targets) if few else targets, [*keys, "bin"])
+    rows = join_null_safe(values, targets, [*keys, "bin"])
     inside = (Window.partitionBy(*keys, "bin", *extra).orderBy("value")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn("cum_w", F.col("off") + F.sum("w").over(inside))
@@ -152,12 +140,12 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], keys: list[str
     """
     groups = [*keys, "variable"]
     cells = long_values(df, cols, keys, None, n_bins)
-    hist, few = _histogram(cells, groups, bool(keys))
+    hist = _histogram(cells, groups)
     pos = (F.col("total_w") - 1) * F.col("prob")
     targets = (_wanted_bins(hist, groups, probs)
                .withColumns({"lo": F.floor(pos), "hi": F.ceil(pos), "frac": pos - F.floor(pos)})
                .filter((F.col("off") <= F.col("hi")) & (F.col("off") + F.col("bin_w") > F.col("lo"))))
-    hits = (_inside_bins(cells, targets, groups, ["prob"], few)
+    hits = (_inside_bins(cells, targets, groups, ["prob"])
             .filter((F.col("cum_w") - F.col("w") <= F.col("hi")) & (F.col("cum_w") > F.col("lo"))))
     return (hits.groupBy(*groups, "prob")
             .agg(F.max("frac").alias("f"), F.min("value").alias("a"), F.max("value").alias("b"))
@@ -171,11 +159,11 @@ def weighted_quantiles(cells: DataFrame, keys: list[str], probs) -> DataFrame:
     holds ``prob`` (and label columns) per key.
     """
     labels = [c for c in probs.columns if c not in keys] if isinstance(probs, DataFrame) else ["prob"]
-    hist, few = _histogram(cells, keys, bool(keys))
+    hist = _histogram(cells, keys)
     goal = F.greatest(F.col("prob") * F.col("total_w"), F.lit(5e-324))
     targets = (_wanted_bins(hist, keys, probs).withColumn("goal", goal)
                .filter((F.col("off") < F.col("goal")) & (F.col("off") + F.col("bin_w") >= F.col("goal"))))
-    rows = _inside_bins(cells, targets, keys, labels, few)
+    rows = _inside_bins(cells, targets, keys, labels)
     return rows.groupBy(*keys, *labels).agg(
         F.coalesce(F.min(F.when(F.col("cum_w") >= F.col("goal"), F.col("value"))), F.max("value")).alias("q"))
 

@@ -39,7 +39,8 @@ def cloglog(s: Column) -> Column:
 
 
 def logit(p: Column) -> Column:
-    return F.log(p / (1 - p))
+    """Log odds; null at 0 and 1."""
+    return F.log(F.nullif(F.try_divide(p, 1 - p), F.lit(0.0)))
 
 
 def expit(x: Column) -> Column:
@@ -71,7 +72,7 @@ def sse_metrics(actual: Column, predicted: Column) -> list[Column]:
     """Aggregates: RMSE and 1 - SSE/SST (which may be negative, unlike squared correlation)."""
     sse = F.sum((predicted - actual) * (predicted - actual))
     sst = F.var_pop(actual) * F.count(actual)
-    return [F.sqrt(sse / F.count(F.lit(1))).alias("rmse"), (1 - sse / sst).alias("r_square")]
+    return [F.sqrt(sse / F.count(F.lit(1))).alias("rmse"), (1 - F.try_divide(sse, sst)).alias("r_square")]
 
 
 # Coefficients of the normal tail approximation, Abramowitz and Stegun 26.2.17.

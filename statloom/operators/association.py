@@ -39,12 +39,12 @@ def chi_square(df: DataFrame, variables: dict[str, Column], target: Column) -> D
 def cramers_v(df: DataFrame, variables: dict[str, Column], target: Column) -> DataFrame:
     """V, its bias-corrected form, chi2 and df for every variable against the target."""
     t = chi_square_from_counts(pair_counts(df, variables, target))
-    phi2 = F.col("chi2") / F.col("n")
+    phi2 = F.try_divide(F.col("chi2"), F.col("n"))
     r, c, n1 = F.col("rows"), F.col("cols"), F.col("n") - 1
-    phi2c = F.greatest(F.lit(0.0), phi2 - (r - 1) * (c - 1) / n1)
-    rc, cc = r - (r - 1) * (r - 1) / n1, c - (c - 1) * (c - 1) / n1
-    return t.withColumns({"v": F.sqrt(phi2 / F.least(r - 1, c - 1)),
-                          "v_corrected": F.sqrt(phi2c / F.least(rc - 1, cc - 1))})
+    phi2c = F.greatest(F.lit(0.0), phi2 - F.try_divide((r - 1) * (c - 1), n1))
+    rc, cc = r - F.try_divide((r - 1) * (r - 1), n1), c - F.try_divide((c - 1) * (c - 1), n1)
+    return t.withColumns({"v": F.sqrt(F.try_divide(phi2, F.least(r - 1, c - 1))),
+                          "v_corrected": F.sqrt(F.try_divide(phi2c, F.nullif(F.greatest(F.least(rc - 1, cc - 1), F.lit(0.0)), F.lit(0.0))))})
 
 
 def _fisher(a: int, b: int, c: int, d: int) -> float:

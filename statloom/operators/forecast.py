@@ -246,7 +246,7 @@ def fc_ses(df, keys, index, y, h, alphas=tuple(i / 10 for i in range(1, 10)), la
 
     rows = rows.withColumn("s", F.aggregate(F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(1))), start, step))
     best = rows.groupBy(*keys).agg(F.min_by(F.struct("__last", "alpha", "s", F.size("a").alias("n")), F.struct("s.sse", "alpha")).alias("b"))
-    best = best.select(*keys, "b.__last", "b.alpha", F.col("b.s.l").alias("mean"), (F.col("b.s.sse") / (F.col("b.n") - 1)).alias("s2"))
+    best = best.select(*keys, "b.__last", "b.alpha", F.col("b.s.l").alias("mean"), F.try_divide(F.col("b.s.sse"), F.col("b.n") - 1).alias("s2"))
     out = horizon(best, h, "__last", index).withColumn("sd", F.sqrt(F.col("s2") * (1 + F.col("alpha") ** 2 * (F.col("h") - 1))))
     return _shape(out, keys, "ses", index)
 
@@ -377,7 +377,7 @@ def xreg_ar1(df, keys, index, y, xs: list[str], rounds: int = 3) -> DataFrame:
         e = join_null_safe(rows, beta, keys).withColumns({
             "__e": F.col(y) - linear_predictor("beta", cols), "__l": F.col(f"__p{y}") - linear_predictor("beta", prev)})
         rho = e.filter(F.col("__l").isNotNull()).groupBy(*keys).agg(
-            (F.sum(F.col("__e") * F.col("__l")) / F.sum(F.col("__l") * F.col("__l"))).alias("rho"))
+            F.try_divide(F.sum(F.col("__e") * F.col("__l")), F.sum(F.col("__l") * F.col("__l"))).alias("rho"))
         q = join_null_safe(rows, rho, keys).filter(F.col(f"__p{y}").isNotNull())
         fit = least_squares(q, F.col(y) - F.col("rho") * F.col(f"__p{y}"), [c - F.col("rho") * p for c, p in zip(cols, prev)], keys)
         beta = fit.select(*keys, "beta")
@@ -388,7 +388,7 @@ def xreg_ar1(df, keys, index, y, xs: list[str], rounds: int = 3) -> DataFrame:
 
 def augment(df, keys, index, y, fit: DataFrame) -> DataFrame:
     """Rows with fitted values and residuals of an autoregression table from :func:`ar_fit`."""
-    top = 20
+    top = max(1, fit.agg(F.coalesce(F.max(F.size("phi")), F.lit(0)).alias("k")).collect()[0]["k"])
     rows = lagged(df, keys, index, y, top, "__a")
     both = join_null_safe(rows, fit.select(*keys, F.col("mean").alias("__m"), F.col("phi").alias("__phi")), keys)
     fitted = F.col("__m")
@@ -441,7 +441,7 @@ def scored(fc: DataFrame, actual: DataFrame, keys, index, y) -> DataFrame:
     """Forecasts beside actual values with error and CRPS of the normal distribution."""
     both = join_null_safe(fc, actual.select(*keys, index, F.col(y).alias("__y")), [*keys, index])
     e = F.col("__y") - F.col("mean")
-    z = e / F.col("sd")
+    z = F.try_divide(e, F.col("sd"))
     crps = F.when(F.col("sd") > 0, F.col("sd") * (z * (2 * norm_cdf(z) - 1) + 2 * norm_pdf(z) - 1 / math.sqrt(math.pi))).otherwise(F.abs(e))
     return both.withColumns({"error": e, "crps": crps})
 
@@ -453,13 +453,13 @@ def accuracy(fc: DataFrame, actual: DataFrame, train: DataFrame, keys, index, y)
     return rows.groupBy(*keys, "model").agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         (F.avg(F.abs(e) / F.nullif(F.abs("__y"), F.lit(0.0))) * 100).alias("mape"),
-        (F.avg(F.abs(e)) / F.max("scale")).alias("mase"), F.avg("crps").alias("crps"))
+        F.try_divide(F.avg(F.abs(e)), F.max("scale")).alias("mase"), F.avg("crps").alias("crps"))
 
 
 def skill(acc: DataFrame, keys, benchmark: str) -> DataFrame:
     """1 - CRPS / CRPS of the benchmark model."""
     base = acc.filter(F.col("model") == benchmark).select(*keys, F.col("crps").alias("__base"))
-    return join_null_safe(acc, base, keys).withColumn("skill", 1 - F.col("crps") / F.col("__base")).drop("__base")
+    return join_null_safe(acc, base, keys).withColumn("skill", 1 - F.try_divide(F.col("crps"), F.col("__base"))).drop("__base")
 
 
 def leaderboard(acc: DataFrame, level: str) -> DataFrame:

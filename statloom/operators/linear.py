@@ -40,7 +40,7 @@ def unpack(flat) -> np.ndarray:
 def gram(df: DataFrame, cols: list[Column], keys: list[str] = (), weight: Column | None = None) -> DataFrame:
     """(keys, n, w, g): row count, weight sum, packed upper triangle of the weighted X'X.
 
-    Rows with a null in any column are left out.
+    Rows with a null or NaN in any column are left out, however many columns there are.
     """
     taken = RESERVED & set(keys)
     if taken:
@@ -52,7 +52,7 @@ def gram(df: DataFrame, cols: list[Column], keys: list[str] = (), weight: Column
     k = len(cols)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     if len(pairs) <= EXPRESSION_LIMIT:
-        rows = df.filter(reduce(lambda a, b: a & b, [c.isNotNull() for c in cols]))
+        rows = df.filter(reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) for c in cols]))
         return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"),
                                        F.array(*[F.sum(w * cols[i] * cols[j]) for i, j in pairs]).alias("g"))
     rows = df.select(*keys, w.alias("__w"), F.array(*cols).alias("__x"))

@@ -26,12 +26,6 @@ def assemble(df: DataFrame, cols: dict[str, Column], keep: dict[str, Column]) ->
     return VectorAssembler(inputCols=names, outputCol="features").transform(rows).drop(*names)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """One even partition per core for a table that many passes will read, when its files are fewer than the cores."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
-
-
 def _local(spark, rows: list[tuple], schema: str) -> DataFrame:
     """Coefficient-sized table."""
     return spark.createDataFrame(rows, schema)
@@ -40,17 +34,29 @@ def _local(spark, rows: list[tuple], schema: str) -> DataFrame:
 # ---------------------------------------------------------------- logistic
 
 def logistic_model(ready: DataFrame):
-    return GeneralizedLinearRegression(family="binomial", labelCol="label", featuresCol="features",
-                                       maxIter=50, tol=1e-10).fit(ready)
+    glr = GeneralizedLinearRegression(family="binomial", labelCol="label", featuresCol="features", maxIter=50, tol=1e-10)
+    return (glr.setWeightCol("weight") if "weight" in ready.columns else glr).fit(ready)
+
+
+def distinct_patterns(df: DataFrame, label: Column, cols: dict[str, Column]) -> DataFrame:
+    """One row for each combination of label and predictors, with the number of rows as ``weight``.
+
+    The iterations of a fit then read as many rows as there are patterns; the likelihood is the same.
+    """
+    names = [f"__f{i}" for i in range(len(cols))]
+    rows = df.select(label.cast("double").alias("label"), *[c.cast("double").alias(n) for n, c in zip(names, cols.values())]).dropna()
+    counted = rows.groupBy("label", *names).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return VectorAssembler(inputCols=names, outputCol="features").transform(counted).drop(*names)
 
 
 def logistic(df: DataFrame, flag: Column, cols: dict[str, Column]) -> DataFrame:
     """term, estimate, std_error, z, p_value, and the model's AIC on every line."""
-    ready = assemble(df, cols, {"label": flag.cast("double")})
-    model = logistic_model(spread(ready))
+    ready = distinct_patterns(df, flag, cols).persist()
+    model = logistic_model(ready)
     s = model.summary
     coef = [float(v) for v in model.coefficients] + [float(model.intercept)]
     lines = list(zip([*cols, "(Intercept)"], coef, s.coefficientStandardErrors, s.tValues, s.pValues))
+    ready.unpersist()
     return _local(df.sparkSession, [(*map(lambda v: v if isinstance(v, str) else float(v), line), float(s.aic)) for line in lines],
                   "term string, estimate double, std_error double, z double, p_value double, aic double")
 
@@ -59,14 +65,14 @@ def step_logistic(df: DataFrame, flag: Column, terms: dict[str, dict[str, Column
     """Stepwise selection by AIC from the full model, dropping or restoring whole terms."""
     every = {f"{t}.{n}": c for t, g in terms.items() for n, c in g.items()}
     rows = df.select(flag.cast("double").alias("label"), *[c.cast("double").alias(n.replace(".", "__")) for n, c in every.items()])
-    rows = spread(rows.dropna()).persist()
+    rows = rows.dropna().persist()
     seen: dict[tuple, float] = {}
 
     def aic(kept: tuple) -> float:
         if kept not in seen:
             cols = {n: F.col(n.replace(".", "__")) for n in every if n.split(".", 1)[0] in kept}
             if cols:
-                seen[kept] = float(logistic_model(assemble(rows, cols, {"label": F.col("label")})).summary.aic)
+                seen[kept] = float(logistic_model(distinct_patterns(rows, F.col("label"), cols)).summary.aic)
             else:
                 one = rows.agg(F.sum("label"), F.count(F.lit(1))).first()
                 p = one[0] / one[1]
@@ -91,7 +97,7 @@ def step_logistic(df: DataFrame, flag: Column, terms: dict[str, dict[str, Column
 
 def predict_class(train: DataFrame, test: DataFrame, flag: Column, cols: dict[str, Column], cut: float = 0.5) -> DataFrame:
     """Confusion counts of a logistic model on test rows."""
-    model = logistic_model(assemble(train, cols, {"label": flag.cast("double")}))
+    model = logistic_model(distinct_patterns(train, flag, cols))
     scored = model.transform(assemble(test, cols, {"label": flag.cast("double")}))
     rows = scored.select((F.col("prediction") > cut).cast("int").alias("predicted"), F.col("label").cast("int").alias("actual"))
     return confusion(rows, "predicted", "actual")
@@ -104,7 +110,7 @@ def forest(train: DataFrame, test: DataFrame, y: Column, cols: dict[str, Column]
     """(test rows with ``label`` and ``prediction``, importance table sorted from the top)."""
     keep = {"label": y.cast("double")}
     model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0,
-                                  featureSubsetStrategy="onethird").fit(spread(assemble(train, cols, keep)))
+                                  featureSubsetStrategy="onethird").fit(assemble(train, cols, keep))
     weights = model.featureImportances.toArray()
     table = _local(train.sparkSession, [(n, float(w)) for n, w in zip(cols, weights)], "term string, importance double")
     return model.transform(assemble(test, cols, keep)).select("label", "prediction"), table.orderBy(F.col("importance").desc())
@@ -175,7 +181,7 @@ def tree_tune(df: DataFrame, y: Column, cols: dict[str, Column], keys: list[str]
     and their test errors follow from per-leaf sums.
     """
     ready = assemble(df, cols, {"label": y.cast("double"), "fold": fold_column(keys, folds, seed)})
-    ready = spread(ready).persist()
+    ready = ready.persist()
     found: dict[float, list[float]] = {c: [0.0, 0.0] for c in grid}
     for k in range(folds):
         model = _grow(ready.filter(F.col("fold") != k), min(grid) / 10, depth)
@@ -207,7 +213,7 @@ def kmeans_fit(ready: DataFrame, k: int, starts: int = 30, seed: int = 1):
 
 def kmeans(df: DataFrame, cols: dict[str, Column], ks: list[int], starts: int = 30, seed: int = 1) -> DataFrame:
     """(k, cluster, size, centre...) for each k."""
-    ready = spread(assemble(df, cols, {})).persist()
+    ready = assemble(df, cols, {}).persist()
     lines = []
     for k in ks:
         model = kmeans_fit(ready, k, starts, seed)
@@ -224,7 +230,7 @@ def total_ss(df: DataFrame, cols: dict[str, Column]) -> Column:
 
 def kmeans_wss(df: DataFrame, cols: dict[str, Column], max_k: int = 10, starts: int = 1, seed: int = 1) -> DataFrame:
     """Within-cluster sum of squares for k = 1..max_k."""
-    ready = spread(assemble(df, cols, {})).persist()
+    ready = assemble(df, cols, {}).persist()
     lines = [(1, float(df.agg(total_ss(df, cols)).first()[0]))]
     lines += [(k, float(kmeans_fit(ready, k, starts, seed).summary.trainingCost)) for k in range(2, max_k + 1)]
     ready.unpersist()
@@ -233,7 +239,7 @@ def kmeans_wss(df: DataFrame, cols: dict[str, Column], max_k: int = 10, starts:
 
 def kmeans_silhouette(df: DataFrame, cols: dict[str, Column], max_k: int = 10, starts: int = 1, seed: int = 1) -> DataFrame:
     """Average silhouette (squared distances) for k = 2..max_k."""
-    ready = spread(assemble(df, cols, {})).persist()
+    ready = assemble(df, cols, {}).persist()
     judge = ClusteringEvaluator(featuresCol="features", metricName="silhouette", distanceMeasure="squaredEuclidean")
     lines = [(k, float(judge.evaluate(kmeans_fit(ready, k, starts, seed).transform(ready)))) for k in range(2, max_k + 1)]
     ready.unpersist()
@@ -248,7 +254,7 @@ def kmeans_gap(df: DataFrame, cols: dict[str, Column], max_k: int = 10, referenc
 
     def log_costs(table: DataFrame, at: int) -> list[float]:
         plain = {n: F.col(n) for n in names}
-        ready = spread(assemble(table, plain, {})).persist()
+        ready = assemble(table, plain, {}).persist()
         out = [math.log(table.agg(total_ss(table, plain)).first()[0])]
         out += [math.log(kmeans_fit(ready, k, 1, at).summary.trainingCost) for k in range(2, max_k + 1)]
         ready.unpersist()
@@ -276,7 +282,7 @@ def gmm_models(df: DataFrame, cols: dict[str, Column], ks: list[int], seed: int
                     *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols.values())]).first()
     scaled = {n: (c - units[f"m{i}"]) / (units[f"s{i}"] or 1.0) for i, (n, c) in enumerate(cols.items())}
     ready = assemble(df, scaled, {n: c.cast("double") for n, c in cols.items()})
-    ready = spread(ready).persist()
+    ready = ready.persist()
     n, d = ready.count(), len(names)
     shift = n * sum(math.log(units[f"s{i}"] or 1.0) for i in range(d))  # back to the original units
     lines, best = [], None

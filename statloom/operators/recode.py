@@ -23,16 +23,14 @@ def first_column(df: DataFrame, name: str) -> DataFrame:
     return df.select(name, *[c for c in df.columns if c != name])
 
 
-def select_listed(df: DataFrame, names: DataFrame, col: str, limit: int = 10_000) -> DataFrame:
-    """Keep the columns named in another (short) table.
-
-    Names that are not columns of ``df`` are an error, so the list is bounded by its width.
-    """
-    listed = [r[0] for r in names.select(col).distinct().take(limit + 1)]
-    unknown = set(listed) - set(df.columns)
+def select_listed(df: DataFrame, names: DataFrame, col: str) -> DataFrame:
+    """Keep the columns named in another table, of any length; a name that is no column of ``df`` is an error."""
+    asked = names.select(F.col(col).alias("name")).filter(F.col("name").isNotNull())
+    unknown = asked.filter(~F.col("name").isin(*df.columns)).limit(5).collect()
     if unknown:
-        raise ValueError(f"not columns: {sorted(unknown)[:5]}")
-    return df.select(*[c for c in df.columns if c in set(listed)])
+        raise ValueError(f"not columns: {sorted(r[0] for r in unknown)}")
+    listed = {r[0] for r in asked.distinct().collect()}  # as many as df has columns at most
+    return df.select(*[c for c in df.columns if c in listed])
 
 
 def bin_ranges(x: Column, ranges: list[tuple]) -> Column:
@@ -74,11 +72,9 @@ def ordinal(x: Column, levels: list) -> Column:
     return F.when(place > 0, place.cast("int"))
 
 
-def levels_of(df: DataFrame, col: str, reference=None, max_levels: int = 1000) -> list:
-    """Sorted levels with the reference level first; a column with more is not a factor."""
-    found = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().take(max_levels + 1)]
-    if len(found) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels")
+def levels_of(df: DataFrame, col: str, reference=None) -> list:
+    """Sorted levels with the reference level first: as many values as the result has columns or lines."""
+    found = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().collect()]
     found.sort()
     if reference is not None:
         if reference not in found:
@@ -88,15 +84,13 @@ def levels_of(df: DataFrame, col: str, reference=None, max_levels: int = 1000) -
     return found
 
 
-def all_levels(df: DataFrame, cols: list[str], max_levels: int = 1000) -> dict[str, list]:
+def all_levels(df: DataFrame, cols: list[str]) -> dict[str, list]:
     """Levels of several columns in their own type and order, found in one pass."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
     rows = df.select(cells.alias("r")).select("r.*").filter(F.col("v").isNotNull()).distinct()
-    found = rows.take(max_levels * len(cols) + 1)
+    found = rows.collect()  # as many as the design has columns
     out = {c: [r["v"] for r in found if r["c"] == c] for c in cols}
     for c, values in out.items():
-        if len(values) > max_levels or len(found) > max_levels * len(cols):
-            raise ValueError(f"{c} or its companions have more than {max_levels} levels")
         numeric = isinstance(df.schema[c].dataType, T.NumericType)
         values.sort(key=float if numeric else None)
     return out

@@ -74,10 +74,10 @@ def ols_glance(df: DataFrame, y: Column, cols: dict[str, Column], keys: list[str
     k, size = len(cols), len(cols) + 2
     n = F.col("n")
     sst = _corner(size - 1, size - 1, size) - F.pow(_corner(0, size - 1, size), F.lit(2.0)) / n
-    r2 = 1 - F.col("rss") / sst
+    r2 = 1 - F.try_divide(F.col("rss"), sst)
     minus2ll = n * (F.log(2 * F.lit(np.pi)) + 1 + F.log(F.col("rss") / n))
-    return fit.select(*keys, "n", r2.alias("r2"), (1 - (1 - r2) * (n - 1) / F.col("df")).alias("adj_r2"),
-                      F.sqrt("sigma2").alias("sigma"), (((sst - F.col("rss")) / k) / F.col("sigma2")).alias("f"),
+    return fit.select(*keys, "n", r2.alias("r2"), (1 - F.try_divide((1 - r2) * (n - 1), F.col("df"))).alias("adj_r2"),
+                      F.sqrt("sigma2").alias("sigma"), F.try_divide((sst - F.col("rss")) / k, F.col("sigma2")).alias("f"),
                       (minus2ll + 2 * (k + 2)).alias("aic"), (minus2ll + F.log(n) * (k + 2)).alias("bic"))
 
 
@@ -390,6 +390,21 @@ def baseline_mse(train: DataFrame, test: DataFrame, y: Column, predicted: Column
                     F.avg((F.col("__p") - F.col("__y")) ** 2).alias("model_mse"))
 
 
+def _inflation(c: np.ndarray, s: np.ndarray) -> list:
+    """Diagonal of the inverse correlation matrix; null for a constant predictor and for one that the others determine."""
+    live = np.flatnonzero(s > 0)
+    out: list = [None] * len(s)
+    if len(live):
+        r = (c / np.outer(np.where(s > 0, s, 1.0), np.where(s > 0, s, 1.0)))[np.ix_(live, live)]
+        value, vector = np.linalg.eigh(r)
+        small = value < 1e-10
+        tied = (vector[:, small] ** 2).sum(1) > 1e-8
+        factor = (vector[:, ~small] ** 2 / value[~small]).sum(1)
+        for j, v, t in zip(live, factor, tied):
+            out[j] = None if t else float(v)
+    return out
+
+
 def vif(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """Diagonal of the inverse correlation matrix."""
     @vector_udf("array<double>")
@@ -400,7 +415,7 @@ def vif(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
             mean = m[0, 1:] / count
             c = m[1:, 1:] / count - np.outer(mean, mean)
             s = np.sqrt(np.diag(c))
-            out.append(np.diag(np.linalg.inv(c / np.outer(s, s))).tolist())
+            out.append(_inflation(c, s))
         return pd.Series(out)
 
     names = F.array(*[F.lit(n) for n in cols])
@@ -418,8 +433,8 @@ def with_fit(df: DataFrame, y: Column, cols: dict[str, Column]) -> DataFrame:
     rows = rows.withColumns({"resid": y - F.col("fitted"), "hat": quadratic_form("__inv", xs)})
     h = F.col("hat")
     return rows.withColumns({
-        "std_resid": F.col("resid") / F.sqrt(F.col("__s2") * (1 - h)),
-        "cook": F.col("resid") * F.col("resid") * h / (p * F.col("__s2") * (1 - h) * (1 - h)),
+        "std_resid": F.try_divide(F.col("resid"), F.sqrt(F.col("__s2") * (1 - h))),
+        "cook": F.try_divide(F.col("resid") * F.col("resid") * h, p * F.col("__s2") * (1 - h) * (1 - h)),
         "n_rows": F.col("__n")}).drop("__beta", "__inv", "__s2", "__n")
 
 
@@ -458,7 +473,7 @@ def _mean_and_precision(n: pd.Series, g: pd.Series) -> pd.DataFrame:
         m = unpack(flat)
         mean = m[0, 1:] / count
         cov = (m[1:, 1:] - count * np.outer(mean, mean)) / (count - 1)
-        out.append((mean.tolist(), pack(np.linalg.inv(cov))))
+        out.append((mean.tolist(), pack(np.linalg.pinv(cov, hermitian=True))))
     return pd.DataFrame(out, columns=["mean", "inv"])
 
 

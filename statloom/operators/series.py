@@ -171,16 +171,16 @@ def boxcox_lambda(df: DataFrame, keys: list[str], index: str, y: str, order: int
     return ll.groupBy(*keys).agg(F.max_by("lambda", "loglik").alias("lambda"), F.max("loglik").alias("loglik"))
 
 
-def kpss(df: DataFrame, keys: list[str], index: str, y: str, max_len: int = 100_000) -> DataFrame:
+def kpss(df: DataFrame, keys: list[str], index: str, y: str) -> DataFrame:
     """(keys, n, lags, kpss): level-stationarity statistic with the short lag rule trunc(4 (n/100)^(1/4))."""
-    top = int(4 * (max_len / 100) ** 0.25)
+    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).collect()[0]["n"]
+    top = int(4 * (longest / 100) ** 0.25)  # lags that the longest series needs
     c = autocov(df, keys, index, y, top)
     rows = join_null_safe(df.select(*keys, index, F.col(y).alias("__y")), c.select(*keys, "mean"), keys)
     run = F.sum(F.col("__y") - F.col("mean")).over(along(keys, index).rowsBetween(Window.unboundedPreceding, 0))
     eta = rows.withColumn("__s", run).groupBy(*keys).agg(F.sum(F.col("__s") * F.col("__s")).alias("ss"))
     n = F.col("n")
-    short = F.when(n <= max_len, F.floor(4 * F.pow(n / 100, F.lit(0.25)))).otherwise(
-        F.raise_error(F.lit("series longer than max_len")).cast("bigint"))
+    short = F.floor(4 * F.pow(n / 100, F.lit(0.25)))
     both = join_null_safe(c, eta, keys).withColumn("lags", short)
     s2 = F.col("c")[0] + 2 * sum(
         (F.when(F.col("lags") >= k, (1 - k / (F.col("lags") + 1)) * F.col("c")[k]).otherwise(0.0) for k in range(1, top + 1)), F.lit(0.0))

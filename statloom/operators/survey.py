@@ -112,21 +112,21 @@ def svy_mean(df: DataFrame, design: SurveyDesign, y: Column, by: list[str] = (),
     n, w = F.col("t_n0"), F.col("t_a0")
 
     def estimates():
-        mean = F.col("t_a_y") / w
+        mean = F.try_divide(F.col("t_a_y"), w)
         return {"mean": mean,
-                "variance": n / (n - 1) * (F.col("t_a_yy") / w - F.col("mean") * F.col("mean"))}
+                "variance": F.try_divide(n, n - 1) * (F.try_divide(F.col("t_a_yy"), w) - F.col("mean") * F.col("mean"))}
 
     def scores():
         m = F.col("mean")
         centred = F.col("a_yy") - 2 * m * F.col("a_y") + m * m * F.col("a0")
-        return {"mean": (F.col("a_y") - m * F.col("a0")) / w,
-                "variance": (centred * n / (n - 1) - F.col("variance") * F.col("a0")) / w}
+        return {"mean": F.try_divide(F.col("a_y") - m * F.col("a0"), w),
+                "variance": F.try_divide(F.try_divide(centred * n, n - 1) - F.col("variance") * F.col("a0"), w)}
 
     out = linearised(clusters, design, by, estimates, scores)
-    srs = F.col("variance") * (1 - n / w) / n
+    srs = F.try_divide(F.col("variance") * (1 - F.try_divide(n, w)), n)
     return out.select(*by, n.alias("n"), "mean", F.sqrt("var_mean").alias("se"),
-                      (F.sqrt("var_mean") / F.col("mean")).alias("cv"), "variance",
-                      F.sqrt("var_variance").alias("var_se"), (F.col("var_mean") / srs).alias("deff"))
+                      F.try_divide(F.sqrt("var_mean"), F.col("mean")).alias("cv"), "variance",
+                      F.sqrt("var_variance").alias("var_se"), F.try_divide(F.col("var_mean"), srs).alias("deff"))
 
 
 def svy_table(df: DataFrame, design: SurveyDesign, cols: list[str], domain: Column | None = None) -> DataFrame:
@@ -140,7 +140,7 @@ def svy_ciprop(df: DataFrame, design: SurveyDesign, flag: Column, by: list[str]
     """Proportion with an interval built on the logit scale."""
     m = svy_mean(df, design, flag.cast("double"), by, domain)
     p = F.col("mean")
-    half = z * F.col("se") / (p * (1 - p))
+    half = F.try_divide(z * F.col("se"), p * (1 - p))
     return m.select(*by, p.alias("proportion"), "se", expit(logit(p) - half).alias("ci_low"),
                     expit(logit(p) + half).alias("ci_high"))
 

@@ -59,7 +59,7 @@ def add_share(table: DataFrame, within: list[str] = (), n: str = "n", out: str =
               percent_digits: int | None = None) -> DataFrame:
     """Share of the grand total, or within a margin; runs on the small counted table."""
     total = F.sum(n).over(Window.partitionBy(*(within or [F.lit(0)])))
-    share = F.col(n) / total
+    share = F.try_divide(F.col(n), total)
     if percent_digits is not None:
         share = F.round(share * 100, percent_digits)
     return table.withColumn(out, share)

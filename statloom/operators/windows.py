@@ -16,7 +16,7 @@ def z_scores(df: DataFrame, cols: list[str], suffix: str = "_z") -> DataFrame:
     """(x - mean) / sd per column through a one-row broadcast, not a whole-table window."""
     consts = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"__s_{c}") for c in cols])
     return (df.crossJoin(F.broadcast(consts))
-            .withColumns({f"{c}{suffix}": (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}") for c in cols})
+            .withColumns({f"{c}{suffix}": F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.col(f"__s_{c}")) for c in cols})
             .drop(*[f"__m_{c}" for c in cols], *[f"__s_{c}" for c in cols]))
 
 

@@ -106,16 +106,16 @@ def step_ols_query(spark, d):
     return regress.step_ols(rows, F.col(Y), wide(rows))
 
 
-LAMBDAS = [10 ** (6 - 0.06 * i) for i in range(100)]  # 10^6 down to about 1
+LAMBDAS = [10 ** (10 - 0.12 * i) for i in range(101)]  # 10^10 down to 10^-2
 
 
 @query("lasso_path", f"""WITH {BASE}, m AS (SELECT avg(x1) AS mx, avg(y) AS my, sqrt(var_pop(x1)) AS sx, covar_pop(x1, y) / sqrt(var_pop(x1)) AS r FROM b),
-l AS (SELECT i, power(10.0::DOUBLE, 6 - 0.06::DOUBLE * i) AS lam FROM range(0, 100) t(i)),
+l AS (SELECT i, power(10.0::DOUBLE, 10 - 0.12::DOUBLE * i) AS lam FROM range(0, 101) t(i)),
 c AS (SELECT i, sign(r) * greatest(abs(r) - lam, 0) / sx AS b, mx, my FROM l, m)
 SELECT CAST(i AS INTEGER) AS step, '(Intercept)' AS term, round(my - b * mx, 5) AS estimate FROM c UNION ALL SELECT CAST(i AS INTEGER), 'x1', round(b, 5) FROM c""")
 def lasso_path_query(spark, d):
     path = regress.coefficient_path(lines(spark, d), F.col(Y), one(), LAMBDAS, 1.0)
-    step = F.round((6 - F.log10("lambda")) / 0.06).cast("int")
+    step = F.round((10 - F.log10("lambda")) / 0.12).cast("int")
     return path.select(step.alias("step"), "term", F.round("estimate", 5).alias("estimate"))
 
 
@@ -150,12 +150,12 @@ def relaxed_lasso_query(spark, d):
 
 
 @query("ridge", f"""WITH {BASE}, m AS (SELECT avg(x1) AS mx, avg(y) AS my, sqrt(var_pop(x1)) AS sx, sqrt(var_pop(y)) AS sy, covar_pop(x1, y) / sqrt(var_pop(x1)) AS r FROM b),
-l AS (SELECT i, power(10.0::DOUBLE, 6 - 0.06::DOUBLE * i) AS lam FROM range(0, 100) t(i)),
+l AS (SELECT i, power(10.0::DOUBLE, 10 - 0.12::DOUBLE * i) AS lam FROM range(0, 101) t(i)),
 c AS (SELECT i, r / (1 + lam / sy) / sx AS b, mx, my FROM l, m)
 SELECT CAST(i AS INTEGER) AS step, '(Intercept)' AS term, round(my - b * mx, 5) AS estimate FROM c UNION ALL SELECT CAST(i AS INTEGER), 'x1', round(b, 5) FROM c""")
 def ridge_query(spark, d):
     path = regress.coefficient_path(lines(spark, d), F.col(Y), one(), LAMBDAS, 0.0)
-    step = F.round((6 - F.log10("lambda")) / 0.06).cast("int")
+    step = F.round((10 - F.log10("lambda")) / 0.12).cast("int")
     return path.select(step.alias("step"), "term", F.round("estimate", 5).alias("estimate"))
 
 

@@ -122,8 +122,8 @@ def fc_ets_auto_query(spark, d):
     return fc.fc_ets(train(spark, d), K, T, Y, LONG)
 
 
-COUNTS = """c AS (SELECT c_mktsegment AS key, CAST(o_orderdate AS DATE) AS day, count(*)::DOUBLE AS y FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2), days AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM c),
+COUNTS = """c AS (SELECT c_mktsegment || '/' || o_orderpriority AS key, CAST(o_orderdate AS DATE) AS day, count(*)::DOUBLE AS y FROM orders JOIN customer ON o_custkey = c_custkey
+  GROUP BY 1, 2), days AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM c),
 p AS (SELECT k.key, days.day, coalesce(c.y, 0) AS y FROM (SELECT DISTINCT key FROM c) k CROSS JOIN days LEFT JOIN c ON c.key = k.key AND c.day = days.day)"""
 
 
@@ -133,10 +133,10 @@ s AS (SELECT key, list_reduce(list(y ORDER BY i), lambda l, x: l + 0.1::DOUBLE *
 e AS (SELECT max(day) AS l FROM p), {hh(7)}
 SELECT key, 'croston' AS model, h, l + h AS day, round(size / gap, 7) AS mean FROM s, e, hh""")
 def fc_croston_query(spark, d):
-    """Urgent orders per day and market segment, zero on most days."""
+    """Orders per day, market segment and priority, zero on most days."""
     t = Tables(spark, d)
-    urgent = t.orders.filter("o_orderpriority = '1-URGENT'").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    counts = urgent.groupBy(F.col("c_mktsegment").alias("key"), F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("y"))
+    sold = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    counts = sold.groupBy(F.concat_ws("/", "c_mktsegment", "o_orderpriority").alias("key"), F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("y"))
     out = fc.fc_croston(fill_gaps(counts, K, T, {"y": 0.0}), K, T, Y, 7)
     return rounded(out.select("key", "model", "h", "day", "mean"), 7, "mean")
 

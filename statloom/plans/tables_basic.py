@@ -315,21 +315,20 @@ def year_split_query(spark, d):
 
 @query("join_left_chain", """
 SELECT c.c_custkey, c.c_name, n.n_name, r.r_name, o.o_orderkey, o.o_totalprice
-FROM (SELECT *, nullif(c_nationkey, 3) AS nk FROM customer) c
+FROM (SELECT *, nullif(c_nationkey, 3) AS nk, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS ck FROM customer) c
 LEFT JOIN (SELECT nullif(n_nationkey, 3) AS nk, n_name, n_regionkey FROM nation) n ON c.nk IS NOT DISTINCT FROM n.nk
 LEFT JOIN region r ON n.n_regionkey IS NOT DISTINCT FROM r.r_regionkey
-LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') o
-  ON c.c_custkey IS NOT DISTINCT FROM o.o_custkey""")
+LEFT JOIN orders o ON c.ck IS NOT DISTINCT FROM o.o_custkey""")
 def join_left_chain_query(spark, d):
-    """Every customer with nation, region and urgent finished orders; nation 3 is turned into a null key."""
+    """Every customer with nation, region and orders; nation 3 and each fifth customer are turned into null keys."""
     t = Tables(spark, d)
     cust = t.customer.withColumn("c_nationkey", F.nullif("c_nationkey", F.lit(3)))
     nation = t.nation.withColumn("n_nationkey", F.nullif("n_nationkey", F.lit(3)))
-    urgent = t.orders.filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    cust = cust.withColumn("ck", F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey")))
     return joins.left_chain(cust, [
         (nation, ["n_name", "n_regionkey"], [("c_nationkey", "n_nationkey")]),
         (t.region, ["r_name"], [("n_regionkey", "r_regionkey")]),
-        (urgent, ["o_orderkey", "o_totalprice"], [("c_custkey", "o_custkey")]),
+        (t.orders, ["o_orderkey", "o_totalprice"], [("ck", "o_custkey")]),
     ]).select("c_custkey", "c_name", "n_name", "r_name", "o_orderkey", "o_totalprice")
 
 

@@ -51,15 +51,14 @@ def freq_table_query(spark, d):
 
 
 @query("crosstab", """
-WITH s AS (SELECT l_linestatus, l_returnflag, l_linenumber FROM lineitem
-           WHERE NOT (l_returnflag = 'R' AND l_linestatus = 'F')),
-cells AS (SELECT * FROM (SELECT DISTINCT l_linestatus FROM s), (SELECT DISTINCT l_returnflag FROM s), (SELECT DISTINCT l_linenumber FROM s))
-SELECT l_linestatus, l_returnflag, l_linenumber, count(s.l_linestatus) AS n FROM cells LEFT JOIN s
-USING (l_linestatus, l_returnflag, l_linenumber) GROUP BY 1, 2, 3""")
+WITH s AS (SELECT c_nationkey, c_mktsegment, CAST(floor(c_acctbal / 1000) AS BIGINT) AS band FROM customer),
+cells AS (SELECT * FROM (SELECT DISTINCT c_nationkey FROM s), (SELECT DISTINCT c_mktsegment FROM s), (SELECT DISTINCT band FROM s))
+SELECT c_nationkey, c_mktsegment, band, count(s.band) AS n FROM cells LEFT JOIN s
+USING (c_nationkey, c_mktsegment, band) GROUP BY 1, 2, 3""")
 def crosstab_query(spark, d):
-    """Three-way counts of rows that are not both returned and finished; that pair shows as empty cells."""
-    li = Tables(spark, d).lineitem.filter("NOT (l_returnflag = 'R' AND l_linestatus = 'F')")
-    return tabulate.crosstab(li, ["l_linestatus", "l_returnflag", "l_linenumber"])
+    """Customers by nation, segment and balance band; combinations that no customer has are empty cells."""
+    band = F.floor(F.col("c_acctbal") / 1000).cast("bigint")
+    return tabulate.crosstab(Tables(spark, d).customer.withColumn("band", band), ["c_nationkey", "c_mktsegment", "band"])
 
 
 @query("crosstab_wide", """

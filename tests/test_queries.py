@@ -12,6 +12,7 @@ from check_queries import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def con():
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_query_matches_sql(spark, con, key):
     message = compare(entry.queries()[key](spark, FOLDER), con, SQL[key])
-    assert message in ("", "EMPTY"), message
+    assert message == "" or (message == "EMPTY" and key in MAY_BE_EMPTY), message
 
 
 def test_every_sql_has_a_query():
