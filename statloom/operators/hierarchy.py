@@ -10,7 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.nulls import join_null_safe
@@ -36,10 +36,11 @@ def crossed_sets(keys: list[str]) -> list[list[str]]:
     return [list(c) for k in range(len(keys) + 1) for c in combinations(keys, k)]
 
 
-def _gap(leaf: DataFrame, total: DataFrame, at: list[str], mean: str) -> DataFrame:
-    rows = join_null_safe(leaf, total.select(*at, F.col(mean).alias("__t")), at)
-    w = Window.partitionBy(*at)
-    return rows.withColumns({"__gap": F.col("__t") - F.sum(mean).over(w), "__m": F.count(F.lit(1)).over(w)})
+def _gap(leaf: DataFrame, total: DataFrame, at: list[str], mean: str, **sums: str) -> DataFrame:
+    """Leaves with the gap of their step, the number of leaves and further sums: one line a step joined to the leaves."""
+    steps = leaf.groupBy(*at).agg(F.sum(mean).alias("__s"), F.count(F.lit(1)).alias("__m"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    steps = join_null_safe(steps, total.select(*at, F.col(mean).alias("__t")), at)
+    return join_null_safe(leaf, steps.withColumn("__gap", F.col("__t") - F.col("__s")).drop("__s"), at)
 
 
 def bottom_up(leaf: DataFrame, at: list[str], mean: str = "mean") -> DataFrame:
@@ -55,10 +56,10 @@ def recon_ols(leaf: DataFrame, total: DataFrame, at: list[str], mean: str = "mea
 
 def recon_wls(leaf: DataFrame, total: DataFrame, at: list[str], leaf_var: str, total_var: str, mean: str = "mean") -> DataFrame:
     """Weights by residual variance; ``total`` holds ``total_var``."""
-    rows = _gap(leaf, total, at, mean)
+    rows = _gap(leaf, total, at, mean, __lv=leaf_var)
     rows = join_null_safe(rows, total.select(*at, F.col(total_var).alias("__tv")), at)
-    share = F.col(leaf_var) / (F.col("__tv") + F.sum(leaf_var).over(Window.partitionBy(*at)))
-    return rows.withColumn("reconciled", F.col(mean) + share * F.col("__gap")).drop("__t", "__gap", "__m", "__tv")
+    share = F.try_divide(F.col(leaf_var), F.col("__tv") + F.col("__lv"))
+    return rows.withColumn("reconciled", F.col(mean) + share * F.col("__gap")).drop("__t", "__gap", "__m", "__tv", "__lv")
 
 
 def _cross_norm(rows: DataFrame, k: int) -> DataFrame:
@@ -81,8 +82,11 @@ def _shrinkage(z: DataFrame, key: str, index: str) -> DataFrame:
     Sums over all pairs of series reduce to sums per date, except the norm of the
     correlation matrix; that one is taken over series or over dates, whichever are fewer.
     """
-    size = z.agg(F.count_distinct(key).alias("m"), F.count_distinct(index).alias("t")).first()
+    size = z.agg(F.count_distinct(key).alias("m"), F.count_distinct(index).alias("t"), F.count("z").alias("n")).first()
     m, t = size["m"], size["t"]
+    if size["n"] != m * t:
+        short = z.groupBy(key).agg(F.count("z").alias("n")).filter(F.col("n") != t).limit(3).collect()
+        raise ValueError(f"residual series must cover the same {t} steps; not so: {[r[0] for r in short]}")
     row, col, k = (index, key, m) if m <= t else (key, index, t)
     arrays = z.groupBy(row).agg(F.transform(F.sort_array(F.collect_list(F.struct(col, "z"))), lambda s: s["z"]).alias("x"))
     z2 = F.col("z") * F.col("z")
@@ -124,8 +128,9 @@ def recon_mint(leaf: DataFrame, total: DataFrame, at: list[str], key: str, weigh
     denom = weights.agg(F.sum(sign * F.col("weight")).alias("__den"))
     every = leaf.select(key, *at, mean).unionByName(total.select(F.lit(total_key).alias(key), *at, mean))
     rows = join_null_safe(every, weights.select(key, "weight"), [key]).crossJoin(F.broadcast(denom))
-    gap = F.sum(sign * F.col(mean)).over(Window.partitionBy(*at))
-    return rows.select(key, *at, mean, (F.col(mean) - F.col("weight") / F.col("__den") * gap).alias("reconciled"))
+    steps = every.groupBy(*at).agg(F.sum(sign * F.col(mean)).alias("__gap"))
+    rows = join_null_safe(rows, steps, at)
+    return rows.select(key, *at, mean, (F.col(mean) - F.try_divide(F.col("weight"), F.col("__den")) * F.col("__gap")).alias("reconciled"))
 
 
 def level_consistency(leaf: DataFrame, total: DataFrame, at: list[str], mean: str = "mean") -> DataFrame:
