@@ -287,6 +287,13 @@ def training_pages(raw: list, seed: int = 3) -> list:
             place = int(rng.integers(len(more) + 1)) if name in ("form", "cookie") else (len(more) if name != "header" else 0)
             more.insert(place, block)
             marks.insert(place, 0)
+        # main text is not only running paragraphs: some blocks turn into list items, headings, cells, quotations
+        for i in np.flatnonzero(rng.random(len(more)) < 0.3):
+            if marks[i] == 1:
+                outer = more[i].path[:-1] if len(more[i].path) > 1 else more[i].path
+                kind = [("ul", "li"), ("ol", "li"), ("h2",), ("h3",), ("blockquote",), ("table", "tr", "td"), ("dl", "dd"), ("pre",)][rng.integers(8)]
+                text = more[i].text[:int(rng.integers(1, 80))].strip() or "a"
+                more[i] = Block(text, (*outer, *kind), len(text) if rng.random() < 0.1 else 0)
         sure = [0 if v is None else v for v in marks]
         out.append((vectors(_retold(more, sure, rng)), np.array(sure, float), np.array([v is not None for v in marks], float)))
     return out
@@ -327,7 +334,7 @@ def main_text(pages: list, model: Labeller, batch: int = 256, steps: int = 2000)
     out = []
     for page, p in zip(parsed, scores):
         prior = [told(b) for b in page]
-        keep = [v > (0.5 if t is None else 0.02 if t == 1 else 0.98) for v, t in zip(p, prior)]
+        keep = [v > (0.5 if t is None else 0.005 if t == 1 else 0.995) for v, t in zip(p, prior)]
         out.append("\n\n".join(b.text for b, k in zip(page, keep) if k))
     return out
 

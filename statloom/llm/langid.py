@@ -101,9 +101,25 @@ def _document_counts(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     return counts, int(rows["n"][~at].sum())
 
 
-def _follow(rows: list, target: np.ndarray, n_columns: int, n_labels: int, passes: int = 4, alpha: float = 0.5,
-            beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+class _Rows:
+    """Texts as (columns, TF-IDF values), the last column the constant; made when asked for, so that the sample stays small."""
+
+    def __init__(self, ends, cols, vals, idf):
+        self.ends, self.cols, self.vals, self.idf = ends, cols, vals, idf
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.ends[i], self.ends[i + 1])
+        columns = self.cols[part].astype(np.int64)
+        return np.append(columns, len(self.idf)), np.append(self.vals[part] * self.idf[columns] * 10.0, 1.0)
+
+
+def _follow(rows, target: np.ndarray, n_columns: int, n_labels: int, passes: int = 4, alpha: float = 0.5, beta: float = 1.0,
+            l1: float = 1e-3, l2: float = 1e-3, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Follow the regularised leader, a step a text: per-coordinate rates, L1 makes weights exactly zero, L2 shrinks."""
+    chosen = np.arange(len(rows)) if chosen is None else chosen
     z, squares = np.zeros((n_columns + 1, n_labels)), np.zeros((n_columns + 1, n_labels))
     rng = np.random.default_rng(7)
 
@@ -111,7 +127,7 @@ def _follow(rows: list, target: np.ndarray, n_columns: int, n_labels: int, passe
         return np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(ns)) / alpha + l2))
 
     for _ in range(passes):
-        for i in rng.permutation(len(rows)):
+        for i in chosen[rng.permutation(len(chosen))]:
             columns, values = rows[i]
             w = weights(z[columns], squares[columns])
             p = _softmax((values @ w)[None])[0]
@@ -163,14 +179,11 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", label_col: str =
         [("id", "ascending"), ("label", "ascending")])
     cols, vals = (table[k].combine_chunks() for k in ("cols", "vals"))
     ends, cols, vals = cols.offsets.to_numpy(), cols.values.to_numpy(), vals.values.to_numpy()
-    rows = []
-    for i, j in zip(ends[:-1], ends[1:]):
-        c = cols[i:j].astype(np.int64)
-        rows.append((np.append(c, 1 << bits), np.append(vals[i:j] * idf[c] * 10.0, 1.0)))
+    rows = _Rows(ends, cols, vals, idf)
     target = np.array([labels.index(x) for x in table["label"].to_pylist()])
     held = np.arange(len(rows)) % 5 == 4
     train = np.flatnonzero(~held)
-    weights, bias = _follow([rows[i] for i in train], target[train], 1 << bits, len(labels))
+    weights, bias = _follow(rows, target, 1 << bits, len(labels), chosen=train)
     model = LanguageModel(labels, np.ascontiguousarray(weights * idf[:, None] * 10.0), bias, 1.0)
     if held.any():
         logits = np.stack([(rows[i][1][:-1] @ weights[rows[i][0][:-1]]) + bias for i in np.flatnonzero(held)])
