@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.store import keep
+from statloom.llm.store import keep, settled
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -19,6 +19,7 @@ def _roots(parents: DataFrame) -> DataFrame:
             return parents
 
 
+@settled
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links(a, b)``; the label is the smallest node reachable.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.llm import tokens
 from statloom.llm.graph import components
-from statloom.llm.store import keep
+from statloom.llm.store import keep, settled
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4  # a pair at 0.75 is missed with probability (1 - 0.75**4)**40 = 3e-7
@@ -141,6 +141,7 @@ def _prefix_pairs(open_ids: DataFrame, sets: DataFrame, least: int) -> DataFrame
     return _pairs(left.join(prefix, (F.col("s_") == F.col("s")) & (F.col("part_") != F.col("part")) & fits), "id_", "id")
 
 
+@settled
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     bands: int = BANDS, rows: int = ROWS, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document id.

@@ -10,16 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm import suffix, tokens
-from statloom.llm.store import keep
+from statloom.llm.store import keep, settled
 from statloom.llm.windows import core_bits, counted
 
 LENGTH = 200
 ANCHOR = 16  # bytes hashed for an anchor
 SHARD_BYTES = 2 << 20  # text a suffix array is meant to get; a larger shard spills
 CROWD = 20_000  # different surroundings of one anchor beyond which its strings are grouped by hash instead
-_SEEN = 1 << 18
 
-SEGMENT = "anchor long, print_a long, print_b long, doc_id long, start long, n int, text binary"
+SEGMENT = "anchor long, print_a long, print_b long, doc_id long, start long, size int, text binary"  # size: bytes * 256 + anchor's place
 KEY = ["anchor", "print_a", "print_b"]
 
 
@@ -47,13 +46,12 @@ def _sketch_values(length: int):
 def _segments(length: int, cells: int, shared):
     """The surroundings of every anchor that may repeat: all strings that have it as theirs, as one piece of text.
 
-    A task sends the text of equal surroundings once.
+    Equal surroundings in one batch send their text once.
     """
     def run(batches):
-        bits, seen = shared.value, set()
+        bits = shared.value
         for batch in batches:
-            ids = batch.column(0)
-            rows, rows_text = [[] for _ in range(6)], []
+            parts, texts = [], []
             for i, one, values, places in _anchors(batch.column(1), length):
                 first = np.flatnonzero(np.diff(places, prepend=-1) != 0)
                 last = np.append(first[1:], len(places)) - 1
@@ -61,55 +59,75 @@ def _segments(length: int, cells: int, shared):
                 first, last = first[maybe], last[maybe]
                 if not len(first):
                     continue
-                ends = last + length
-                lead = (places[first] - first).astype(np.uint64)  # where the anchor stands is part of the identity
+                ends, lead = last + length, places[first] - first  # where the anchor stands is part of the identity
                 base = tokens.byte_values(one)
-                a = tokens.mix(tokens.range_hashes(base, first, ends, tokens.WORD_BASE) + lead)
-                b = tokens.mix(tokens.range_hashes(base, first, ends, tokens.BASE) ^ lead)
+                a = tokens.mix(tokens.range_hashes(base, first, ends, tokens.WORD_BASE) + lead.astype(np.uint64))
+                b = tokens.mix(tokens.range_hashes(base, first, ends, tokens.BASE) ^ lead.astype(np.uint64))
+                parts.append((values[places[first]].view(np.int64), a.view(np.int64), b.view(np.int64), np.full(len(first), i),
+                              first, ends - first, lead))
                 raw = one.tobytes()
-                for anchor, x, y, s, e in zip(values[places[first]].view(np.int64).tolist(), a.view(np.int64).tolist(),
-                                              b.view(np.int64).tolist(), first.tolist(), ends.tolist()):
-                    known = (x, y) in seen
-                    if not known:
-                        if len(seen) >= _SEEN:
-                            seen.clear()
-                        seen.add((x, y))
-                    for k, v in enumerate((anchor, x, y, i, s, e - s)):
-                        rows[k].append(v)
-                    rows_text.append(None if known else raw[s:e])
-                if len(rows_text) >= 8192:
-                    yield _segment_batch(ids, rows, rows_text)
-                    rows, rows_text = [[] for _ in range(6)], []
-            if rows_text:
-                yield _segment_batch(ids, rows, rows_text)
+                texts.extend([raw[s:e] for s, e in zip(first.tolist(), ends.tolist())])
+                if len(texts) >= 16384:
+                    yield _segment_batch(batch.column(0), parts, texts)
+                    parts, texts = [], []
+            if texts:
+                yield _segment_batch(batch.column(0), parts, texts)
     return run
 
 
-def _segment_batch(ids, rows, texts):
-    names = ["anchor", "print_a", "print_b", "doc_id", "start", "n", "text"]
-    columns = [pa.array(r, pa.int64()) for r in rows[:3]]
-    return pa.RecordBatch.from_arrays([*columns, ids.take(pa.array(rows[3])), pa.array(rows[4], pa.int64()),
-                                       pa.array(rows[5], pa.int32()), pa.array(texts, pa.binary())], names)
+def _segment_batch(ids, parts, texts):
+    anchor, a, b, row, start, n, lead = (np.concatenate(x) for x in zip(*parts))
+    _, first = np.unique(a, return_index=True)
+    again = np.ones(len(a), bool)
+    again[first] = False
+    return pa.RecordBatch.from_arrays(
+        [pa.array(anchor), pa.array(a), pa.array(b), ids.take(pa.array(row)), pa.array(start), pa.array((n * 256 + lead).astype(np.int32)),
+         pa.array(texts, pa.binary(), mask=again)], ["anchor", "print_a", "print_b", "doc_id", "start", "size", "text"])
+
+
+STEPS = 8
+
+
+def _alike(anchors: np.ndarray, leads: np.ndarray, texts: list, length: int) -> np.ndarray:
+    """Which texts share enough with another one of their anchor to hold a common string.
+
+    A string reaches some bytes to the left of its anchor and the rest to the right.  Cut by how far left in ``STEPS`` classes,
+    all strings of a class hold one stretch around the anchor; without another text that has the same stretch there is none.
+    """
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    place = ends - sizes + leads
+    base = tokens.byte_values(np.frombuffer(b"".join(texts), np.uint8))
+    room = length - ANCHOR
+    step = -(-room // STEPS)
+    out = np.zeros(len(texts), bool)
+    for c in range(STEPS):
+        low, high = place - step * c, place + ANCHOR + max(0, room - step * (c + 1))
+        inside = np.flatnonzero((low >= ends - sizes) & (high <= ends))
+        key = tokens.mix(tokens.range_hashes(base, low[inside], high[inside], tokens.WORD_BASE) ^ tokens.mix(anchors[inside]))
+        _, group, n = np.unique(key, return_inverse=True, return_counts=True)
+        out[inside[n[group] > 1]] = True
+    return out
 
 
 def _shard(length: int):
     """One task's surroundings through one suffix array; the repeated strings of those that are there once."""
     def run(batches):
-        keys: list[list] = [[], [], []]
-        texts, once = [], []
+        keys, texts = [], []
         for batch in batches:
-            for k in range(3):
-                keys[k].extend(batch.column(k).to_pylist())
-            once.extend(n == 1 for n in batch.column(3).to_pylist())
-            texts.extend(batch.column(4).to_pylist())
+            keys.append(np.stack([batch.column(k).to_numpy() for k in range(5)]))
+            texts.extend(batch.column(5).to_pylist())
         if not texts:
             return
+        keys = np.concatenate(keys, axis=1)
+        chosen = np.flatnonzero(_alike(keys[0].view(np.uint64), keys[4] % 256, texts, length))
+        keys, texts = keys[:, chosen], [texts[i] for i in chosen]
         out: list[list] = [[] for _ in range(5)]
-        for i, starts in enumerate(suffix.repeated_starts(texts, length)):
-            if once[i] and len(starts):
+        for i, starts in enumerate(suffix.repeated_starts(texts, length) if texts else []):
+            if keys[3, i] == 1 and len(starts):
                 new = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
                 for s, e in zip(starts[new].tolist(), starts[np.append(new[1:], len(starts)) - 1].tolist()):
-                    for k, v in enumerate((keys[0][i], keys[1][i], keys[2][i], s, e + length)):
+                    for k, v in enumerate((*keys[:3, i].tolist(), s, e + length)):
                         out[k].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [*KEY, "low", "high"])
     return run
@@ -119,7 +137,7 @@ def _strings(length: int):
     """Every string of the given surroundings with 128 bits of hash, for anchors with too many of them."""
     def run(batches):
         for batch in batches:
-            for anchor, a, b, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4))):
+            for anchor, a, b, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 5))):
                 base = tokens.byte_values(np.frombuffer(text, np.uint8))
                 at = np.arange(len(text) - length + 1)
                 x = tokens.range_hashes(base, at, at + length, tokens.WORD_BASE).view(np.int64)
@@ -129,6 +147,7 @@ def _strings(length: int):
     return run
 
 
+@settled
 def repeated_spans(docs: DataFrame, length: int = LENGTH, cells: int | None = None, shard_bytes: int = SHARD_BYTES,
                    crowd: int = CROWD) -> DataFrame:
     """(doc_id, low, high): byte ranges that together are all ``length``-byte strings of ``docs(doc_id, text)`` that also
@@ -137,26 +156,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cells: int | None = No
     1. The anchor of a string is its ``ANCHOR``-byte run with the smallest hash; equal strings have equal anchors.
        A sketch of anchor counts, as bits of bounded size, rules out most text.
     2. The rest is sent as surroundings: the union of a place's strings with one anchor.  Equal surroundings repeat as a
-       whole and are reduced to one before the shuffle.  Where an anchor has several surroundings, those are dealt to
-       shards by the anchor; a shard's suffix array marks the strings that are in it twice.
+       whole and are reduced to one before the shuffle.  Where an anchor has several surroundings, and one of them only
+       once, they are dealt to shards by the anchor.  A shard leaves out those that share no long enough stretch
+       with another, and its suffix array marks the strings that are in it twice.
     3. An anchor with over ``crowd`` different surroundings (a passage that very many documents quote) is not given to one
        shard: its strings are counted by hash, with partial sums, and joined back.
     """
     bits, cells = core_bits(docs, _sketch_values(length), 2.0 / (length - ANCHOR + 2), cells)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     places = keep(docs.select("doc_id", "text").mapInArrow(_segments(length, cells, shared), SEGMENT), "segments")
-    groups = keep(places.groupBy(*KEY).agg(F.count("*").alias("copies"), F.max("text").alias("text"), F.min("n").alias("n")), "surroundings")
-    several = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    mixed = keep(groups.join(several, "anchor").select(*KEY, "copies", "text", "kinds"), "mixed")
-    total = mixed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
+    groups = keep(places.groupBy(*KEY).agg(F.count("*").alias("copies"), F.max("text").alias("text"), F.min("size").cast("long").alias("size")),
+                  "surroundings")
+    several = keep(groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest"), F.sum(F.floor(F.col("size") / 256)).alias("bytes"))
+                   .filter("kinds > 1 and fewest = 1").select("anchor", "kinds", "bytes"), "several")
+    total = several.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).collect()[0]["n"]
     shards = max(1, -(-total // shard_bytes))
+    mixed = groups.join(several, "anchor").select(*KEY, "copies", "size", "text", "kinds")
     small, large = mixed.filter(F.col("kinds") <= crowd).drop("kinds"), mixed.filter(F.col("kinds") > crowd).drop("kinds")
     spans = "anchor long, print_a long, print_b long, low long, high long"
     parts = small.repartition(shards, "anchor").mapInArrow(_shard(length), spans)
     counted = large.mapInArrow(_strings(length), "anchor long, print_a long, print_b long, low long, x long, y long")
     repeated = counted.groupBy("x", "y").agg(F.count("*").alias("k")).filter("k > 1").select("x", "y")
     crowded = counted.join(repeated, ["x", "y"]).select(*KEY, "low", (F.col("low") + length).alias("high"))
-    whole = groups.filter("copies > 1").select(*KEY, F.lit(0).cast("long").alias("low"), F.col("n").cast("long").alias("high"))
+    whole = groups.filter("copies > 1").select(*KEY, F.lit(0).cast("long").alias("low"), F.floor(F.col("size") / 256).cast("long").alias("high"))
     marks = keep(parts.unionByName(crowded).unionByName(whole), "marks")
     return places.select(*KEY, "doc_id", "start").join(marks, KEY).select(
         "doc_id", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))

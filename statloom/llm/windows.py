@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm import tokens
-from statloom.llm.store import keep
+from statloom.llm.store import keep, settled
 
 WINDOW = 20
 CORE = 10  # a window is counted by the rarest-hashed run of so many words inside it
@@ -195,6 +195,7 @@ def core_bits(docs: DataFrame, values, rate: float, cells: int | None = None) ->
     return bits, cells
 
 
+@settled
 def repeated_windows(docs: DataFrame, window: int = WINDOW, core: int = CORE, cells: int | None = None) -> DataFrame:
     """(doc_id, start) of every window of ``docs(doc_id, text)`` whose words also start earlier.
 
