@@ -168,6 +168,15 @@ def svy_ttest(df: DataFrame, design: SurveyDesign, y: Column, group: Column, dom
     return out.withColumn("p_value", t_p("t", F.col("df").cast("double")))
 
 
+def svy_ttest_one(df: DataFrame, design: SurveyDesign, y: Column, mu: float = 0.0, domain: Column | None = None) -> DataFrame:
+    """Test of one domain mean against ``mu``: mean, se, t, degrees of freedom (clusters less strata) and p."""
+    mean = svy_mean(df, design, y, (), domain).select("mean", "se")
+    counts = svy_design(df, design).select((F.col("n_psu") - F.col("n_strata")).alias("df"))
+    out = mean.crossJoin(F.broadcast(counts))  # one row each
+    out = out.select("mean", "se", F.try_divide(F.col("mean") - mu, F.col("se")).alias("t"), "df")
+    return out.withColumn("p_value", t_p("t", F.col("df").cast("double")))
+
+
 @vector_udf("wald double, k bigint")
 def _wald(y: pd.Series, v: pd.Series) -> pd.DataFrame:
     stats = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.operators import survey
+from statloom.operators import survey, tabulate
 from statloom.operators.survey import Z95, SurveyDesign
 from statloom.plans.registry import query
 from statloom.plans.tables_grouped import rounded
@@ -131,6 +131,20 @@ def svy_ttest_query(spark, d):
     return rounded(rounded(t.drop("p_value"), 4, "mean1", "mean0", "difference", "se"), 6, "t")
 
 
+@query("svy_ttest_one", MEAN + """, k AS (SELECT count(DISTINCT (h, c)) - count(DISTINCT h) AS df FROM b)
+SELECT round(m, 4) AS mean, round(sqrt(vm.v), 4) AS se, round((m - 150000) / sqrt(vm.v), 6) AS t, df FROM m, vm, k""")
+def svy_ttest_one_query(spark, d):
+    t = survey.svy_ttest_one(respondents(spark, d), DESIGN, F.col("o_totalprice"), 150000.0, domain=since_1998())
+    return rounded(rounded(t.drop("p_value"), 4, "mean", "se"), 6, "t")
+
+
+@query("svy_hist", f"""WITH {BASE}, s AS (SELECT min(y) AS lo, (max(y) - min(y)) / 20 AS width FROM b)
+SELECT bin, round(lo + bin * width, 4) AS bin_start, CAST(sum(w) AS BIGINT) AS n
+FROM (SELECT lo, width, w, CAST(least(floor((y - lo) / width), 19) AS INTEGER) AS bin FROM b, s) GROUP BY bin, lo, width""")
+def svy_hist_query(spark, d):
+    return rounded(tabulate.histogram(respondents(spark, d), "o_totalprice", 20, weight=F.col("wt")), 4, "bin_start")
+
+
 @query("svy_chisq", f"""WITH {BASE}, t AS (SELECT sum(w) AS sw, sum(w*f*d)/sum(w) AS p11, sum(w*f)/sum(w) AS p1, sum(w*d)/sum(w) AS q1 FROM b),
 bt AS (SELECT * FROM b, t), {var_sql('vm', 'w / sw * ((f * d - p11) - q1 * (f - p1) - p1 * (d - q1))', 'bt')},
 k AS (SELECT count(DISTINCT (h, c)) - count(DISTINCT h) AS design_df FROM b)
