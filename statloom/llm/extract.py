@@ -138,6 +138,19 @@ def told(block: Block) -> int | None:
     return None
 
 
+class _Slots(dict):
+    """Hashed place of a word; looked up once for a word, and forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = place = zlib.crc32(word.encode("utf-8", "replace")) % TERMS
+        return place
+
+
+_SLOTS = _Slots()
+
+
 def vectors(page: list[Block]) -> np.ndarray:
     """Hashed tag paths and words, and measures of length, links, marks and place."""
     out = np.zeros((len(page), PATHS + TERMS + NUMBERS), np.float32)
@@ -145,8 +158,7 @@ def vectors(page: list[Block]) -> np.ndarray:
         for word in b.path:
             out[i, zlib.crc32(word.encode()) % PATHS] = 1.0
         terms = b.text.lower().split(" ")
-        for word in terms[:2000]:
-            out[i, PATHS + zlib.crc32(word.encode("utf-8", "replace")) % TERMS] += 1.0
+        out[i, PATHS:PATHS + TERMS] = np.bincount([_SLOTS[word] for word in terms], minlength=TERMS)
         size = len(b.text)
         out[i, PATHS:PATHS + TERMS] /= np.sqrt(len(terms)) * 4
         out[i, -NUMBERS:] = (np.log1p(size) / 8, np.log1p(len(terms)) / 6, min(1.0, b.linked / size), b.text[-1] in ".!?:;\"'”»",
