@@ -24,11 +24,20 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<script\b.*?(?:</script|\Z)|<style\b.*?(?:</style|\Z)|"
+                     r"<(/?)(noscript|template|iframe|object|canvas|annotation-xml)(?![\w:-])", re.S | re.I)
 # fixed lists of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small "
-                   "span strike strong sub sup time tt u var wbr img".split())
-SILENT = frozenset("script style noscript template svg math iframe object canvas head title textarea select".split())
+MATH = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt "
+                 "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small "
+                          "span strike strong sub sup time tt u var wbr img".split())
+SILENT = frozenset("script style noscript template svg iframe object canvas head title textarea select annotation annotation-xml".split())
+IN_HEAD = frozenset("head title meta link base basefont bgsound style script noscript template noframes".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
+                  "h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+HOLDS_BLOCKS = frozenset("noscript template iframe object canvas annotation-xml".split())  # silent, and hold blocks if they are closed at all
+INTO_HTML = frozenset("foreignobject desc title".split())  # elements of svg that hold blocks
 RAW = frozenset("script style textarea title".split())  # hold no tags
 CLOSED_BY_BLOCK = "p"
 CLOSES_SELF = frozenset("li dt dd option tr td th".split())
@@ -46,17 +55,34 @@ class Block:
     linked: int  # characters inside links
 
 
+def _closed(page: str) -> set[int]:
+    """Where the elements of HOLDS_BLOCKS begin that have an end tag of their own."""
+    opened: dict[str, list[int]] = {}
+    out = set()
+    for m in _HIDDEN.finditer(page):
+        if m[2]:
+            places = opened.setdefault(m[2].lower(), [])
+            if not m[1]:
+                places.append(m.start())
+            elif places:
+                out.add(places.pop())
+    return out
+
+
 def blocks(page: str | None) -> list[Block]:
     """Text between block elements in page order, with character references decoded and white space folded.
 
-    Inline elements and line breaks inside a block are no borders; scripts, styles, comments and other markup give nothing.
-    A paragraph ends where a block begins, whether it was closed or not.
+    Inline elements, formulas and line breaks inside a block are no borders; scripts, styles, comments and other markup give nothing.
+    A paragraph ends where a block begins, whether it was closed or not.  The head ends at the first text or element that cannot
+    stand in it, and an element that hides its text ends where its parent does or a block begins that it cannot hold.
     """
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, tuple]] = []
     parts: list[str] = []
     state = {"linked": 0, "links": 0, "silent": 0}
+    whole: list[bool] = []  # for each open element, whether it hides blocks up to an end tag of its own
+    closed: set[int] | None = None
 
     def flush():
         text = _SPACE.sub(" ", "".join(parts)).strip()
@@ -66,6 +92,8 @@ def blocks(page: str | None) -> list[Block]:
         state["linked"] = 0
 
     def say(raw: str):
+        if state["silent"] and stack[-1][0] == "head" and not raw.isspace() and raw:
+            leave(len(stack) - 1)
         if raw and not state["silent"]:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -76,7 +104,24 @@ def blocks(page: str | None) -> list[Block]:
         for tag, _ in stack[depth:]:
             state["links"] -= tag == "a"
             state["silent"] -= tag in SILENT
-        del stack[depth:]
+        del stack[depth:], whole[depth:]
+
+    def unhide(name: str):
+        """Leave the outermost silent element that cannot hold the element ``name``."""
+        for i, (tag, _) in enumerate(stack):
+            if whole[i]:
+                return
+            if tag == "head":
+                out = name not in IN_HEAD and not any(whole[i:])
+            elif tag == "select":
+                out = name in BLOCK or name in ("select", "input", "textarea")
+            elif tag == "svg":
+                out = name in BLOCK and not any(t in INTO_HTML for t, _ in stack[i:])
+            else:
+                out = tag in SILENT and name in BLOCK
+            if out:
+                leave(i)
+                return
 
     at, skip = 0, None
     for m in _TOKEN.finditer(page):
@@ -94,6 +139,8 @@ def blocks(page: str | None) -> list[Block]:
             if opened is not None:
                 leave(opened)
             continue
+        if state["silent"]:
+            unhide(name)
         if name in VOID:
             if name in ("br", "wbr", "img", "input"):
                 parts.append(" " if name != "wbr" else "")
@@ -112,9 +159,12 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[i][0] not in INLINE:
                     break
         names = tuple(w for a in _ATTRIBUTE.finditer(m[3] or "") for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower()))
-        if (m[3] or "").rstrip().endswith("/") and name not in INLINE:
+        if (m[3] or "").rstrip().endswith("/") and (name not in INLINE or name in MATH):
             continue
+        if name in HOLDS_BLOCKS and closed is None:
+            closed = _closed(page)
         stack.append((name, names))
+        whole.append(name in HOLDS_BLOCKS and m.start() in closed)
         state["links"] += name == "a"
         state["silent"] += name in SILENT
         if name in RAW:

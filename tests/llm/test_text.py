@@ -85,6 +85,31 @@ def test_blocks_of_a_page():
     assert extract.blocks(None) == extract.blocks("") == [] and [b.text for b in extract.blocks("a < b <")] == ["a < b <"]
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>No</title><meta charset=utf-8><body><p>one<p>two</html>", ["one", "two"]),
+    ("<head><title>No</title><link rel=x><style>p{}</style><p>one", ["one"]),
+    ("<head><title>No</title><a href=/>one</a> two", ["one two"]),
+    ("<head><title>No</title> one <b>two</b>", ["one two"]),
+    ("<head><noscript><img src=x><p>no</p></noscript><title>No</title></head><p>one", ["one"]),
+    ("<head><noscript><style>p{}</style><title>No</title><body><p>one", ["one"]),
+    ("<div><noscript>no<p>one</p><p>two</p></div><p>three", ["one", "two", "three"]),
+    ("<p>one<noscript><p>no</p><div>no</div></noscript><p>two", ["one", "two"]),
+    ("<canvas>no<article><p>one</article><canvas><p>no</p></canvas><p>two", ["one", "two"]),
+    ("<object>no<object><p>no</p></object><p>no</p></object><p>one<object data=x>no<p>two", ["one", "two"]),
+    ("<select><option>no<option>no<p>one</p><select><optgroup><option>no</select><p>two", ["one", "two"]),
+    ("<li><select><option>no<li>one", ["one"]),
+    ("<svg><title>no</title><g><text>no</text><div>one</div><p>two", ["one", "two"]),
+    ("<svg><foreignObject><p>no</p></foreignObject></svg><p>one", ["one"]),
+    ("<article><p>let <math><mi>x</mi><mo>=</mo><mspace/><semantics><mn>2</mn><annotation>x=2</annotation></semantics></math> be",
+     ["let x=2 be"]),
+    ("<template><p>no</p></template><p>one<!-- </template> --><template>no<p>two", ["one", "two"]),
+])
+def test_blocks_after_an_element_left_open(page, want):
+    got = extract.blocks(page)
+    assert [b.text for b in got] == want
+    assert not any(tag in extract.SILENT for b in got for tag in b.path)
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(2)
     model = extract.Labeller(3, hidden=2)
