@@ -11,6 +11,7 @@ import html
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 600  # pages to train on
-PATHS, TERMS, NUMBERS = 64, 64, 8  # hashed tag-path features, hashed words, and plain measures of a block
+PATHS, TERMS, NUMBERS = 64, 64, 10  # hashed tag-path features, hashed words, and plain measures of a block
+MISNAMED = 0.15  # share of the names in rebuilt training pages that say the opposite
 HIDDEN = 24
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -46,6 +48,7 @@ SAYS_MAIN = frozenset("article main content post entry story body".split())
 SAYS_OTHER = frozenset("nav menu header footer aside sidebar side ad ads advert advertisement banner promo sponsor sponsored cookie consent notice "
                        "comment comments reply form newsletter subscribe login search related share social breadcrumb breadcrumbs "
                        "pagination pager toolbar widget popup modal alert copyright navigation contentinfo complementary".split())
+NOT_OF_IT = frozenset("has have no not non with without hide hidden show is in".split())  # has-sidebar doesn't name a sidebar
 
 
 @dataclass
@@ -55,6 +58,16 @@ class Block:
     linked: int  # characters inside links
 
 
+def _names(attributes: str) -> tuple:
+    """Words of class, id and role; a compound like ``has-sidebar`` is one word of its own, which is in no list."""
+    out = []
+    for a in _ATTRIBUTE.finditer(attributes):
+        for value in (a[2] or a[3] or a[4] or "").lower().split():
+            words = _NAME.findall(value)
+            out += words if NOT_OF_IT.isdisjoint(words[:-1]) else ["-".join(words)]
+    return tuple(out)
+
+
 def _closed(page: str) -> set[int]:
     """Where the elements of HOLDS_BLOCKS begin that have an end tag of their own."""
     opened: dict[str, list[int]] = {}
@@ -158,7 +171,7 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 if stack[i][0] not in INLINE:
                     break
-        names = tuple(w for a in _ATTRIBUTE.finditer(m[3] or "") for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower()))
+        names = _names(m[3]) if m[3] and name not in ("html", "body") else ()  # those of the page aren't said of a block
         if (m[3] or "").rstrip().endswith("/") and (name not in INLINE or name in MATH):
             continue
         if name in HOLDS_BLOCKS and closed is None:
@@ -179,13 +192,18 @@ def blocks(page: str | None) -> list[Block]:
 
 
 def told(block: Block) -> int | None:
-    """1 or 0 if the elements around a block say that it is main text or not; the innermost word counts."""
-    for word in reversed(block.path):
-        if word in SAYS_OTHER:
-            return 0
-        if word in SAYS_MAIN and word != "body":
-            return 1
-    return None
+    """1 or 0 if the elements around a block say that it is main text or not; the innermost word counts.
+
+    A label to train on and an input of the network, which alone decides.
+    """
+    return _of_path(block.path)[1]
+
+
+@lru_cache(50_000)
+def _of_path(path: tuple) -> tuple[list, int | None]:
+    """Hashed places of a path's words, and what the innermost telling word says."""
+    said = next((int(word in SAYS_MAIN) for word in reversed(path) if word in SAYS_OTHER or word in SAYS_MAIN and word != "body"), None)
+    return sorted({zlib.crc32(word.encode()) % PATHS for word in path}), said
 
 
 class _Slots(dict):
@@ -205,14 +223,15 @@ def vectors(page: list[Block]) -> np.ndarray:
     """Hashed tag paths and words, and measures of length, links, marks and place."""
     out = np.zeros((len(page), PATHS + TERMS + NUMBERS), np.float32)
     for i, b in enumerate(page):
-        for word in b.path:
-            out[i, zlib.crc32(word.encode()) % PATHS] = 1.0
+        places, said = _of_path(b.path)
+        out[i, places] = 1.0
         terms = b.text.lower().split(" ")
         out[i, PATHS:PATHS + TERMS] = np.bincount([_SLOTS[word] for word in terms], minlength=TERMS)
         size = len(b.text)
         out[i, PATHS:PATHS + TERMS] /= np.sqrt(len(terms)) * 4
         out[i, -NUMBERS:] = (np.log1p(size) / 8, np.log1p(len(terms)) / 6, min(1.0, b.linked / size), b.text[-1] in ".!?:;\"'”»",
-                             sum(c in ".,;" for c in b.text) / size * 10, i / len(page), 1 / (1 + i), 1 / (len(page) - i))
+                             sum(c in ".,;" for c in b.text) / size * 10, i / len(page), 1 / (1 + i), 1 / (len(page) - i),
+                             said == 1, said == 0)
     return out
 
 
@@ -287,13 +306,14 @@ class Labeller:
         return g
 
     def fit(self, pages: list, rounds: int = 12, batch: int = 32, rate: float = 0.01) -> "Labeller":
-        """Adam over batches of (vectors, labels, known) pages of similar length."""
+        """Adam over batches of (vectors, labels, known) pages of similar length; the weights are the mean of the last rounds' ones."""
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         rng, step = np.random.default_rng(11), 0
         order = sorted(range(len(pages)), key=lambda i: len(pages[i][0]))
         groups = [order[i:i + batch] for i in range(0, len(order), batch)]
-        for _ in range(rounds):
+        mean, last = {k: np.zeros_like(v) for k, v in self.p.items()}, 0
+        for turn in range(rounds):
             for j in rng.permutation(len(groups)):
                 x, mask = pad([pages[i][0] for i in groups[j]])
                 y, known = np.zeros(mask.shape), np.zeros(mask.shape)
@@ -304,6 +324,9 @@ class Labeller:
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.999 * second[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
+                if 3 * turn >= 2 * rounds:
+                    mean, last = {k: mean[k] + v for k, v in self.p.items()}, last + 1
+        self.p = {k: v / last for k, v in mean.items()} if last else self.p
         return self
 
 
@@ -316,7 +339,7 @@ def pad(xs: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _retold(page: list[Block], labels: list, rng) -> list[Block]:
-    """The same page with other markup: names taken away, or given by classes of divs."""
+    """The same page with other markup: names taken away, or given by classes of divs, some of which mislead."""
     kind = rng.integers(0, 3)
     if kind == 0:
         return page
@@ -324,14 +347,15 @@ def _retold(page: list[Block], labels: list, rng) -> list[Block]:
     main_name, out = main[rng.integers(len(main))], []
     for b, label in zip(page, labels):
         last = b.path[-1] if b.path and b.path[-1] not in SAYS_MAIN | SAYS_OTHER else "p"
-        name = () if kind == 1 and rng.random() < 0.7 else (main_name if label == 1 else other[rng.integers(len(other))],)
+        said = label if rng.random() >= MISNAMED else 1 - label
+        name = () if kind == 1 and rng.random() < 0.7 else (main_name if said == 1 else other[rng.integers(len(other))],)
         out.append(Block(b.text, ("html", "body", "div", *name, last), b.linked))
     return out
 
 
 def training_pages(raw: list, seed: int = 3) -> list:
-    """(vectors, labels, known) of pages, as they are, and rebuilt with notices, forms and reader comments."""
-    rng, out = np.random.default_rng(seed), []
+    """(vectors, labels, known) of pages, as they are, and rebuilt with notices, forms and reader comments; few pages more than once."""
+    rng, out, copies = np.random.default_rng(seed), [], min(8, max(1, SAMPLE // max(len(raw), 1)))
     parsed = [blocks(h) for h in raw]
     texts = [b.text for page in parsed for b in page if told(b) == 1] or ["text"]
     for page in parsed:
@@ -341,23 +365,28 @@ def training_pages(raw: list, seed: int = 3) -> list:
         known = np.array([v is not None for v in labels], float)
         y = np.array([v or 0 for v in labels], float)
         out.append((vectors(page), y, known))
-        # the last known blocks get company that is no main text although it reads like it
-        more, marks = list(page), list(labels)
-        for name in rng.permutation(["comments", "aside", "form", "cookie", "header", "related"])[:2]:
-            text = texts[rng.integers(len(texts))]
-            block = Block(text[:int(rng.integers(20, 300))].strip() or "text", ("html", "body", "div", str(name), "p"), 0)
-            place = int(rng.integers(len(more) + 1)) if name in ("form", "cookie") else (len(more) if name != "header" else 0)
-            more.insert(place, block)
-            marks.insert(place, 0)
-        # main text is not only running paragraphs: some blocks turn into list items, headings, cells, quotations
-        for i in np.flatnonzero(rng.random(len(more)) < 0.3):
-            if marks[i] == 1:
-                outer = more[i].path[:-1] if len(more[i].path) > 1 else more[i].path
-                kind = [("ul", "li"), ("ol", "li"), ("h2",), ("h3",), ("blockquote",), ("table", "tr", "td"), ("dl", "dd"), ("pre",)][rng.integers(8)]
-                text = more[i].text[:int(rng.integers(1, 80))].strip() or "a"
-                more[i] = Block(text, (*outer, *kind), len(text) if rng.random() < 0.1 else 0)
-        sure = [0 if v is None else v for v in marks]
-        out.append((vectors(_retold(more, sure, rng)), np.array(sure, float), np.array([v is not None for v in marks], float)))
+        for _ in range(copies):
+            # the last known blocks get company that is no main text although it reads like it
+            more, marks = list(page), list(labels)
+            for name in rng.permutation(["comments", "aside", "form", "cookie", "header", "related"])[:2]:
+                text = texts[rng.integers(len(texts))]
+                block = Block(text[:int(rng.integers(20, 300))].strip() or "text", ("html", "body", "div", str(name), "p"), 0)
+                place = int(rng.integers(len(more) + 1)) if name in ("form", "cookie") else (len(more) if name != "header" else 0)
+                more.insert(place, block)
+                marks.insert(place, 0)
+            # main text is not only long paragraphs: some blocks turn into short ones, list items, headings, cells, quotations
+            for i in np.flatnonzero(rng.random(len(more)) < 0.4):
+                if marks[i] == 1:
+                    outer = more[i].path[:-1] if len(more[i].path) > 1 else more[i].path
+                    kind = [("ul", "li"), ("ol", "li"), ("h2",), ("h3",), ("blockquote",), ("table", "tr", "td"), ("dl", "dd"), ("pre",), ("p",), ("p",), ("p",)][rng.integers(11)]
+                    text = more[i].text[:int(rng.integers(1, 80))].strip() or "a"
+                    more[i] = Block(text, (*outer, *kind), len(text) if rng.random() < 0.1 else 0)
+            # and not every page begins with links and ends with a footer
+            if rng.random() < 0.5:
+                a, b = sorted(rng.integers(0, len(more) + 1, 2))
+                more, marks = (more[a:b], marks[a:b]) if a < b else (more, marks)
+            sure = [0 if v is None else v for v in marks]
+            out.append((vectors(_retold(more, sure, rng)), np.array(sure, float), np.array([v is not None for v in marks], float)))
     return out
 
 
@@ -373,7 +402,7 @@ def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 def main_text(pages: list, model: Labeller, batch: int = 256, steps: int = 2000) -> list[str]:
     """Main text of each page: the blocks that the network takes for it, joined by empty lines.
 
-    Where the markup itself says what a block is, the network's answer is weighed with it.  Pages are labelled in batches of similar
+    Names in the markup are inputs of the network and decide nothing by themselves.  Pages are labelled in batches of similar
     length; a page of more than ``steps`` blocks is read in windows that overlap by half.
     """
     parsed = [blocks(h) for h in pages]
@@ -395,9 +424,7 @@ def main_text(pages: list, model: Labeller, batch: int = 256, steps: int = 2000)
         first += size
     out = []
     for page, p in zip(parsed, scores):
-        prior = [told(b) for b in page]
-        keep = [v > (0.5 if t is None else 0.005 if t == 1 else 0.995) for v, t in zip(p, prior)]
-        out.append("\n\n".join(b.text for b, k in zip(page, keep) if k))
+        out.append("\n\n".join(b.text for b, v in zip(page, p) if v > 0.5))
     return out
 
 

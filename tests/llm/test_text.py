@@ -132,6 +132,23 @@ def test_gradients_match_differences():
             assert abs((high - low) / 2e-5 - g.reshape(-1)[i]) < 1e-6, name
 
 
+def test_names_do_not_decide_alone(spark):
+    """Compound names and names of the page say nothing, and a misleading class leaves the decision to the text."""
+    for page in ('<body class="no-sidebar"><p>one', '<div class="content has-sidebar"><p>one', '<div class="with-sidebar"><p>one'):
+        assert extract.told(extract.blocks(page)[0]) == (1 if "content" in page else None)
+    assert extract.told(extract.blocks('<div class="left-sidebar"><p>one')[0]) == 0
+    raw = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").orderBy("page_id").collect()]
+    model = extract.Labeller(extract.PATHS + extract.TERMS + extract.NUMBERS).fit(extract.training_pages(raw[:150]))
+    for frame in ('<body class="no-sidebar">%s', '<body><div class="content has-sidebar">%s</div>', '<article class="post">%s</article>'):
+        right = total = 0
+        for h in raw[150:200]:
+            texts = [b.text for b in extract.blocks(h) if "article" in b.path and "." in b.text]
+            html = "".join(f'<div class="search share"><p>{t}</p></div>' if i % 5 == 4 else f"<p>{t}</p>" for i, t in enumerate(texts))
+            got = extract.main_text([frame % html], model)[0].split("\n\n")
+            right, total = right + len([t for t in got if t]), total + len(texts)
+        assert right / total > 0.8, frame
+
+
 def test_main_text_of_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     model = extract.fit_labeller(pages, sample=150)
