@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.llm import tokens
@@ -140,23 +140,44 @@ def _follow(rows, target: np.ndarray, n_columns: int, n_labels: int, passes: int
     return w[:-1], w[-1]
 
 
+def smallest(rows: DataFrame, group: str, draw: Column, sample: int) -> dict:
+    """For each group the ``sample``-th smallest of its different draws, or the largest if there are fewer.
+
+    Each task keeps ``sample`` numbers a group, and no more reach the driver from a task.
+    """
+    def run(batches):
+        kept: dict = {}
+        for batch in batches:
+            keys, numbers = batch.column(0).dictionary_encode(), batch.column(1).to_numpy(zero_copy_only=False)
+            places = keys.indices.to_numpy(zero_copy_only=False)
+            for i, key in enumerate(keys.dictionary.to_pylist()):
+                kept[key] = np.unique(np.append(kept.get(key, np.zeros(0, np.int64)), numbers[places == i]))[:sample]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in kept for _ in kept[k]]), pa.array(np.concatenate(list(kept.values())))],
+                                             ["key", "draw"])
+
+    few = rows.select(F.col(group).cast("string").alias("key"), draw.alias("draw")).mapInArrow(run, "key string, draw long").distinct()
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("draw"))).filter(F.col("rank") <= sample)
+    return {r["key"]: r["last"] for r in ranked.groupBy("key").agg(F.max("draw").alias("last")).collect()}  # one row a group
+
+
 def fit_language_model(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id",
                        sample: int = SAMPLE, bits: int = BITS) -> LanguageModel:
-    """Learn from rows with a label.  Inverse document frequencies cover all of them; weights are fitted on about
-    ``sample`` texts a label, chosen by the id's hash.  A fifth of these only sets the temperature.
+    """Learn from rows with a label.  Inverse document frequencies cover all of them; weights are fitted on at most
+    ``sample`` different texts a label, those with an id whose hashes of (id, text) are smallest.  A fifth of these only sets
+    the temperature.
 
     Without a usable label the model knows no language and ``identify_language`` answers ``und`` everywhere.
     """
     known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"),
                         F.col(label_col).cast("string").alias("label")).filter("label is not null and text is not null")
-    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not sizes:
+    picked = smallest(known.filter("id is not null"), "label", F.xxhash64("id", "text"), sample)
+    if not picked:
         return LanguageModel([], np.zeros((1 << bits, 0)), np.zeros(0), 1.0)
-    labels = sorted(sizes)
+    labels = sorted(picked)
     counts, n = _document_counts(known, bits)
     idf = np.log((1 + n) / (1 + counts)) + 1.0
-    limit = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(min(1.0, sample / sizes[k])))])
-    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000.0
+    limit = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(picked[k]))])
 
     def run(batches):
         for batch in batches:
@@ -174,7 +195,9 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", label_col: str =
                 [batch.column(0), pa.ListArray.from_arrays(ends, flat(cols, np.int32)),
                  pa.ListArray.from_arrays(ends, flat(vals, np.float32)), batch.column(2)], ["id", "cols", "vals", "label"])
 
-    chosen = known.filter(draw < F.try_element_at(limit, F.col("label")))
+    # rows with the same id, text and label are one example
+    chosen = known.filter("id is not null").withColumn("draw", F.xxhash64("id", "text"))
+    chosen = chosen.filter(F.col("draw") <= F.try_element_at(limit, F.col("label"))).dropDuplicates(["draw", "label"]).drop("draw")
     table = chosen.mapInArrow(run, "id string, cols array<int>, vals array<float>, label string").toArrow().sort_by(
         [("id", "ascending"), ("label", "ascending")])
     cols, vals = (table[k].combine_chunks() for k in ("cols", "vals"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.langid import _follow
+from statloom.llm.langid import _follow, smallest
 
 SAMPLE = 6000  # labelled texts of each class that the lexicons and weights are learned from
 FEATURES = 4000  # words and word beginnings that the classifier knows
@@ -120,15 +120,19 @@ def _count(batches):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[DataFrame, dict]:
-    """(id, text, toxic) of about ``sample`` labelled texts of each class, chosen by the id's hash, and all labels' counts."""
+    """(id, text, toxic) of at most ``sample`` different labelled texts of each class, those whose hashes of (id, text) are smallest,
+    and all labels' counts."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rate = F.when(F.col("toxic") == 1, min(1.0, sample / sizes.get(1, 1))).otherwise(min(1.0, sample / sizes.get(0, 1)))
-    chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000.0 < rate)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("draw", F.xxhash64("id", "text"))
+    drawn = texts.select("id", "draw").join(known, "id")
+    picked = smallest(drawn, "toxic", F.col("draw"), sample)
+    limit = F.when(F.col("toxic") == 1, picked.get("1")).otherwise(picked.get("0"))
+    chosen = drawn.filter(F.col("draw") <= limit).distinct()
+    chosen = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # 2 * sample rows of three numbers at most
     # equal texts are one example: the words of a much-copied text say nothing about its class
-    return texts.join(F.broadcast(chosen), "id").dropDuplicates(["text", "toxic"]), sizes  # about 2 * sample rows of two numbers
+    return texts.join(F.broadcast(chosen), ["id", "draw"]).drop("draw").dropDuplicates(["text", "toxic"]), sizes
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",

@@ -37,6 +37,24 @@ def test_language_of_texts_without_letters_and_without_labels(spark):
     assert langid.identify_language(docs.limit(0), model).collect() == []
 
 
+def test_samples_are_bounded_where_an_id_holds_many_rows(spark, monkeypatch):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"the word {i} of it" if i % 2 else f"la palabra {i} que", "en" if i % 2 else "es")
+            for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    limits = langid.smallest(docs.filter("doc_id is not null"), "lang", F.xxhash64("doc_id", "text"), 20)
+    drawn = docs.filter("doc_id is not null").withColumn("draw", F.xxhash64("doc_id", "text"))
+    for lang in ("en", "es"):
+        assert sorted(r.draw for r in drawn.filter(F.col("lang") == lang).collect())[19] == limits[lang]
+    seen = []
+    follow = langid._follow
+    monkeypatch.setattr(langid, "_follow", lambda rows, *a, **k: seen.append(len(rows)) or follow(rows, *a, **k))
+    langid.fit_language_model(docs, sample=20)
+    assert seen == [40]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    chosen, _ = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", 20)
+    assert {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()} == {0: 20, 1: 20}
+
+
 def test_grams_are_those_of_the_characters():
     texts = ["Añb", "", "xy"]
     columns, ends = langid._grams(texts)
