@@ -64,7 +64,7 @@ def predict_class_query(spark, d):
 def random_forest_query(spark, d):
     rows = lines(spark, d)
     train = regress.fold_column(KEYS, 4) != 0
-    pred, _ = mlmodels.forest(rows.filter(train), rows.filter(~train), base_cost(), wide(rows), trees=100)
+    pred, _ = mlmodels.forest(rows.filter(train), rows.filter(~train), base_cost(), wide(rows))
     return regress.metrics(pred, F.col("label"), F.col("prediction"))
 
 
@@ -72,7 +72,7 @@ def random_forest_query(spark, d):
 def forest_importance_query(spark, d):
     rows = lines(spark, d)
     train = regress.fold_column(KEYS, 4) != 0
-    return mlmodels.forest(rows.filter(train), rows.filter(~train), base_cost(), wide(rows), trees=100)[1]
+    return mlmodels.forest(rows.filter(train), rows.filter(~train), base_cost(), wide(rows))[1]
 
 
 @query("decision_tree")
@@ -93,7 +93,7 @@ def cluster_columns():
 
 @query("kmeans")
 def kmeans_query(spark, d):
-    return mlmodels.kmeans(Tables(spark, d).lineitem, cluster_columns(), [2, 3], starts=3)
+    return mlmodels.kmeans(Tables(spark, d).lineitem, cluster_columns(), [2, 3])
 
 
 @query("kmeans_wss")
@@ -109,19 +109,19 @@ def kmeans_wss_one_query(spark, d):
 
 @query("kmeans_silhouette")
 def kmeans_silhouette_query(spark, d):
-    return mlmodels.kmeans_silhouette(Tables(spark, d).lineitem, cluster_columns(), 5)
+    return mlmodels.kmeans_silhouette(Tables(spark, d).lineitem, cluster_columns(), 10)
 
 
 @query("kmeans_gap")
 def kmeans_gap_query(spark, d):
-    return mlmodels.kmeans_gap(Tables(spark, d).lineitem, cluster_columns(), 4, references=3)
+    return mlmodels.kmeans_gap(Tables(spark, d).lineitem, cluster_columns(), 10, references=50)
 
 
 @query("gmm_bic")
 def gmm_bic_query(spark, d):
-    return mlmodels.gmm_models(Tables(spark, d).lineitem, cluster_columns(), [1, 2, 3])[0]
+    return mlmodels.gmm_models(Tables(spark, d).lineitem, cluster_columns(), list(range(1, 10)))[0]
 
 
 @query("gmm_classes")
 def gmm_classes_query(spark, d):
-    return mlmodels.gmm_models(Tables(spark, d).lineitem, cluster_columns(), [1, 2])[1]
+    return mlmodels.gmm_models(Tables(spark, d).lineitem, cluster_columns(), list(range(1, 10)))[1]

@@ -139,6 +139,13 @@ def test_clusters(spark):
     assert table.toPandas().set_index("k").loglik[1] == pytest.approx(ll)
 
 
+def test_cluster_queries_cover_the_whole_range(spark):
+    from statloom.plans import models_ml
+    folder = "/root/testdata/sf0.001"
+    assert [r.k for r in models_ml.kmeans_silhouette_query(spark, folder).orderBy("k").collect()] == list(range(2, 11))
+    assert [r.k for r in models_ml.gmm_bic_query(spark, folder).orderBy("k").collect()] == list(range(1, 10))
+
+
 def test_forest_and_stepwise_logistic(spark, data):
     df = spark.createDataFrame(data).withColumn("late", F.col("id") >= 180)
     pred, weights = mlmodels.forest(df.filter("NOT late"), df.filter("late"), Y, COLS, trees=20)
