@@ -161,3 +161,67 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     from statloom.llm.extract import extract_main_text, fit_labeller
     pages = Tables(spark, folder).pages.select("page_id", "url", "html")
     return extract_main_text(pages, fit_labeller(pages))
+
+
+RUN_SQL = r"""
+with split as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w,
+    xor(list_reduce([4294967295::bigint] || list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint), lambda c, x:
+      list_reduce([xor(c, x)] || [0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda y, z: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)),
+      4294967295::bigint) as h from documents),
+told as (select doc_id, w, len(w) as n, h % 10 = 0 and len(w) > 0 as planted, (h // 10) % greatest(len(w), 1) as a, (h // 10) % 8 as e from split),
+words as (
+  select doc_id, n, case when planted then list_transform(range(n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % (1 + (n - a) // (3 + e)) + 1] end)
+    else w end as w from told),
+flat as (select doc_id, n, unnest(w) as word, unnest(range(n)) as i from words),
+pairs as (select a.doc_id, b.i - a.i as q, a.i from flat a join flat b on a.doc_id = b.doc_id and a.word = b.word and b.i > a.i and 4 * (b.i - a.i) <= a.n),
+stretches as (
+  select doc_id, q, min(i) as s, count(*) + q as l from (select *, i - row_number() over (partition by doc_id, q order by i) as g from pairs)
+  group by doc_id, q, g having count(*) + q >= greatest(6, 4 * q)),
+runs as (select doc_id, s, l, min(q) as q from stretches group by doc_id, s, l),
+gone as (select distinct doc_id, unnest(range(s + q, s + l)) as i from runs),
+kept as (select doc_id, string_agg(word, ' ' order by i) as t from flat anti join gone using (doc_id, i) group by doc_id),
+found as (
+  select doc_id, count(*) as k, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as t,
+    first({'s': s, 'l': l, 'q': q} order by l desc, s, q) as best from runs group by doc_id)
+select doc_id, coalesce(k, 0)::bigint as n_runs, best.s::bigint as start, best.l::bigint as length, best.q::bigint as period,
+  (1000 * best.l // best.q)::bigint as exponent_milli, sha256(coalesce(found.t, '')) as runs_sha256, sha256(coalesce(kept.t, '')) as collapsed_sha256
+from words left join found using (doc_id) left join kept using (doc_id)
+"""
+
+
+@query("op11_periodic_runs", RUN_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from statloom.llm.periodic import periodic_runs, run_digests, with_planted_tails
+    return run_digests(periodic_runs(with_planted_tails(Tables(spark, folder).documents.select("doc_id", "text"))))
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    from statloom.llm.packing import pack_documents
+    pieces = pack_documents(Tables(spark, folder).documents, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+NEGATIVE_SQL = """
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where label is not null and embedding is not null and coalesce(list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))), true)),
+pairs as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from rows a join rows b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (select * from pairs where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.id as positive_id, (row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id))::int as rank,
+  n.id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join pairs n on n.anchor_id = p.anchor_id and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+qualify rank <= 10
+"""
+
+
+@query("op13_hard_negatives", NEGATIVE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from statloom.llm.negatives import hard_negatives
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(Tables(spark, folder).embeddings, F.col("vec_id") % 100 == 0, label)

@@ -109,6 +109,34 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words themselves as one string array, in order; all that stands between them must be white space."""
+    solid = np.ascontiguousarray(data[~_SPACE[data]])
+    limits = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=limits[1:])
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(limits), pa.py_buffer(solid)])
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limits: np.ndarray, kept: np.ndarray) -> pa.Array:
+    """The kept words of each row joined by one space; ``kept`` marks words."""
+    rows = len(limits) - 1
+    solid = ~_SPACE[data]
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[starts[~kept]] += 1
+    edges[ends[~kept]] -= 1
+    stays = solid & (np.cumsum(edges[:-1], dtype=np.int8) == 0)
+    which = np.flatnonzero(kept)
+    row = np.searchsorted(limits, which, "right") - 1
+    followed = which[:-1][row[1:] == row[:-1]]
+    stays[ends[followed]] = True
+    flat = np.where(solid, data, np.uint8(32))[stays]
+    sizes = np.bincount(row, (ends - starts)[which], rows).astype(np.int64) + np.bincount(np.searchsorted(limits, followed, "right") - 1, minlength=rows)
+    offsets = np.zeros(rows + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    kind, width = (pa.string(), np.int32) if offsets[-1] < 2**31 else (pa.large_string(), np.int64)
+    return pa.Array.from_buffers(kind, rows, [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of every word, and the row limits in the word list.
 
