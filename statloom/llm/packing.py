@@ -27,9 +27,51 @@ OUT = 8 << 20  # bytes of ids in one Arrow batch
 
 _tokenizers: dict = {}
 
+_KIND = np.full(256, 3, np.uint8)  # other ASCII
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[128:] = 4
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Marks the places inside ranges that do not overlap."""
+    edges = np.zeros(size + 1, np.int8)
+    edges[starts] += 1
+    edges[ends] -= 1
+    return np.cumsum(edges[:-1], dtype=np.int8) > 0
+
+
+def parts_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with small ASCII letters, start and end of each part of a word, and the row limits in the list of parts.
+
+    A word is split where an ASCII letter meets another kind of ASCII character, and around ASCII digits.  Nothing is changed next to other
+    characters, which may combine with their neighbours, nor in words with an apostrophe or ``<``, which begin contractions and special tokens.
+    """
+    starts, ends, _ = word_spans(data, offsets)
+    kind = _KIND[data]
+    marks = np.flatnonzero((data == 39) | (data == 60))
+    odd = np.unique(np.searchsorted(starts, marks, "right") - 1)
+    plain = ~_covered(len(data), starts[odd], ends[odd])
+    small = plain.copy()
+    small[:-1] &= kind[1:] != 4
+    split = np.zeros(len(data) + 1, bool)
+    left, right = kind[:-1], kind[1:]
+    split[1:-1] = (left > 0) & (left < 4) & (right > 0) & (right < 4) & ((left != right) | (left == 2)) & plain[1:]
+    split[offsets] = False
+    begins, stops = split.copy(), split
+    begins[starts] = True
+    stops[ends] = True
+    # a row may begin where another ends, so a place can be both
+    begins, stops = np.flatnonzero(begins), np.flatnonzero(stops)
+    return np.where(small, _LOWER[data], data), begins, stops, np.searchsorted(begins, offsets)
+
 
 class WordIds:
-    """Ids of words under a tokenizer that never looks across ASCII white space and gives it no ids."""
+    """Ids of words under a tokenizer that lower-cases, never looks across ASCII white space and gives it no ids, and splits letters,
+    single digits and other characters from each other."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,7 +90,7 @@ class WordIds:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and where each row's ids begin and end."""
-        starts, ends, limits = word_spans(data, offsets)
+        data, starts, ends, limits = parts_of_words(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), limits
         coded = word_array(data, starts, ends).dictionary_encode()
@@ -175,8 +217,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
     """One row a piece: the id, ``start`` and ``length`` in its document, ``ids`` (little-endian unsigned 32-bit numbers), ``doc_tokens``,
     ``sequence_id`` and ``offset`` there.
 
-    ``vocabulary`` is the path of a file of ``tokenizers`` whose pre-tokenizer drops white space, so that a text's ids are
-    those of its words; the driver reads it and the tasks get its contents, which do not grow with the data.  A document is
+    ``vocabulary`` is the path of a file of ``tokenizers`` of the kind that ``WordIds`` needs, so that a text's ids are
+    those of the parts of its words; the driver reads it and the tasks get its contents, which do not grow with the data.  A document is
     its text's ids and ``end_id``.  A document of ``capacity`` ids or more gives whole sequences first.  The rest goes
     to its class as one piece while the loose stream can fill what the class leaves free, else to the stream.  A task ends with the
     stream in full sequences and what is left in powers of two, so no sequence needs padding.
