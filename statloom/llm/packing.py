@@ -12,6 +12,7 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +21,11 @@ from statloom.llm.tokens import slices, text_buffer, word_array, word_spans
 
 CAPACITY = 4096
 CLASSES = 8  # shorter pieces than capacity / (CLASSES + 1) are loose
-KNOWN = 200_000  # words a worker remembers
-LONGEST = 64  # bytes of a word that is remembered
+KNOWN = 1 << 20  # words after which a worker forgets those it has met
+LINE = 100  # words of letters that are encoded together
+WORD_END = "</w>"  # fixed value: ends the name of an id that ends a word
 STEP = 1 << 20  # words whose ids are laid out at a time
+SLICE = 8 << 20  # bytes of text encoded at a time
 OUT = 8 << 20  # bytes of ids in one Arrow batch
 
 _tokenizers: dict = {}
@@ -77,16 +80,49 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.known: dict = {}
-
-    def _words(self, words: list) -> list:
-        new = [w for w in words if w not in self.known]
-        fresh = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)))) if new else {}
-        out = [self.known[w] if w in self.known else fresh[w] for w in words]
-        if len(self.known) + len(fresh) > KNOWN:
-            self.known.clear()
-        self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
-        return out
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.flat, self.limits = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, words: list) -> list:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: pa.Array) -> None:
+        """Ids of words not met before.
+
+        Words of letters alone go to the tokenizer many at a time: each ends with the only id that may end a word.  If a
+        line doesn't give as many ends as words, its words are encoded alone, as are all others.
+        """
+        letters = pc.utf8_is_alpha(words)
+        joined, single = words.filter(letters).to_pylist(), words.filter(pc.invert(letters)).to_pylist()
+        lines = [joined[i:i + LINE] for i in range(0, len(joined), LINE)]
+        order, ids, sizes = [], [], []
+        for line, found in zip(lines, self._encode([" ".join(line) for line in lines])):
+            ends = np.flatnonzero(self.last[found]) + 1
+            if len(ends) != len(line) or ends[-1] != len(found):
+                single += line
+                continue
+            order += line
+            ids.append(found)
+            sizes.append(np.diff(ends, prepend=0))
+        alone = self._encode(single)
+        sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+        self.words = pa.concat_arrays([self.words, pa.array(order + single, pa.large_string())])
+        self.flat = np.concatenate([self.flat, *ids, *alone])
+        self.limits = np.concatenate([self.limits, self.limits[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def _lookup(self, words: pa.Array) -> np.ndarray:
+        """Places of words among the known ones."""
+        if len(self.words) > KNOWN:
+            self._forget()
+        new = words.filter(pc.invert(pc.is_in(words, value_set=self.words)))
+        if len(new):
+            self._learn(new)
+        return pc.index_in(words, value_set=self.words).to_numpy(zero_copy_only=False)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and where each row's ids begin and end."""
@@ -94,11 +130,8 @@ class WordIds:
         if not len(starts):
             return np.zeros(0, np.uint32), limits
         coded = word_array(data, starts, ends).dictionary_encode()
-        lists = self._words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        first = np.cumsum(sizes) - sizes
-        flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum()))
-        word = coded.indices.to_numpy(zero_copy_only=False)
+        word = self._lookup(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        first, sizes = self.limits[:-1], np.diff(self.limits)
         ahead = np.zeros(len(word) + 1, np.int64)
         np.cumsum(sizes[word], out=ahead[1:])
         out = np.empty(int(ahead[-1]), np.uint32)
@@ -106,7 +139,7 @@ class WordIds:
             high = min(low + STEP, len(word))
             some = word[low:high]
             place = np.repeat(first[some] - ahead[low:high], sizes[some]) + np.arange(ahead[low], ahead[high])
-            out[ahead[low]:ahead[high]] = flat[place]
+            out[ahead[low]:ahead[high]] = self.flat[place]
         return out, ahead[limits]
 
 
@@ -196,7 +229,7 @@ def _pack(shared, capacity: int, classes: int, end_id: int):
             kind = batch.column(0).type
             docs = batch.column(0).to_pylist()
             data, offsets = text_buffer(batch.column(1))
-            for low, high in slices(offsets, 4 << 20):
+            for low, high in slices(offsets, SLICE):
                 ids, limits = encode(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
                 closed = np.insert(ids, limits[1:], end_id)
                 edges = limits + np.arange(len(limits))
