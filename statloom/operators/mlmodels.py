@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression, RandomForestRegressor
@@ -203,77 +201,7 @@ def tree_tune(df: DataFrame, y: Column, cols: dict[str, Column], keys: list[str]
     return _local(df.sparkSession, [(float(c), math.sqrt(max(e, 0.0) / n)) for c, (e, n) in found.items()], "cp double, rmse double")
 
 
-# ---------------------------------------------------------------- clusters
-
-def kmeans_fit(ready: DataFrame, k: int, starts: int = 30, seed: int = 1):
-    """Best of several seeded starts by training cost."""
-    fits = (KMeans(k=k, seed=seed + i, maxIter=10).fit(ready) for i in range(starts))
-    return min(fits, key=lambda m: m.summary.trainingCost)
-
-
-def kmeans(df: DataFrame, cols: dict[str, Column], ks: list[int], starts: int = 30, seed: int = 1) -> DataFrame:
-    """(k, cluster, size, centre...) for each k."""
-    ready = assemble(df, cols, {}).persist()
-    lines = []
-    for k in ks:
-        model = kmeans_fit(ready, k, starts, seed)
-        for c, (centre, size) in enumerate(zip(model.clusterCenters(), model.summary.clusterSizes)):
-            lines.append((k, c, int(size), [float(v) for v in centre], float(model.summary.trainingCost)))
-    ready.unpersist()
-    return _local(df.sparkSession, lines, "k int, cluster int, size bigint, centre array<double>, wss double")
-
-
-def total_ss(df: DataFrame, cols: dict[str, Column]) -> Column:
-    """Sum of squares around the mean over all columns: the cost of one cluster."""
-    return reduce(lambda a, b: a + b, [F.var_pop(c.cast("double")) * F.count(c) for c in cols.values()])
-
-
-def kmeans_wss(df: DataFrame, cols: dict[str, Column], max_k: int = 10, starts: int = 1, seed: int = 1) -> DataFrame:
-    """Within-cluster sum of squares for k = 1..max_k."""
-    ready = assemble(df, cols, {}).persist()
-    lines = [(1, float(df.agg(total_ss(df, cols)).first()[0]))]
-    lines += [(k, float(kmeans_fit(ready, k, starts, seed).summary.trainingCost)) for k in range(2, max_k + 1)]
-    ready.unpersist()
-    return _local(df.sparkSession, lines, "k int, wss double")
-
-
-def kmeans_silhouette(df: DataFrame, cols: dict[str, Column], max_k: int = 10, starts: int = 1, seed: int = 1) -> DataFrame:
-    """Average silhouette (squared distances) for k = 2..max_k."""
-    ready = assemble(df, cols, {}).persist()
-    judge = ClusteringEvaluator(featuresCol="features", metricName="silhouette", distanceMeasure="squaredEuclidean")
-    lines = [(k, float(judge.evaluate(kmeans_fit(ready, k, starts, seed).transform(ready)))) for k in range(2, max_k + 1)]
-    ready.unpersist()
-    return _local(df.sparkSession, lines, "k int, silhouette double")
-
-
-def kmeans_gap(df: DataFrame, cols: dict[str, Column], max_k: int = 10, references: int = 50, seed: int = 1) -> DataFrame:
-    """Gap statistic against uniform reference sets of the same size over the column ranges."""
-    rows = df.select(*[c.cast("double").alias(n) for n, c in cols.items()]).dropna()
-    names = list(cols)
-    ends = rows.agg(*[F.min(n).alias(f"lo{i}") for i, n in enumerate(names)], *[F.max(n).alias(f"hi{i}") for i, n in enumerate(names)]).first()
-
-    def log_costs(table: DataFrame, at: int) -> list[float]:
-        plain = {n: F.col(n) for n in names}
-        ready = assemble(table, plain, {}).persist()
-        out = [math.log(table.agg(total_ss(table, plain)).first()[0])]
-        out += [math.log(kmeans_fit(ready, k, 1, at).summary.trainingCost) for k in range(2, max_k + 1)]
-        ready.unpersist()
-        return out
-
-    own = log_costs(rows, seed)
-    refs = []
-    for b in range(references):
-        uniform = rows.select(*[(F.lit(ends[f"lo{i}"]) + F.rand(seed * 1000 + b * len(names) + i) * (ends[f"hi{i}"] - ends[f"lo{i}"])).alias(n)
-                                for i, n in enumerate(names)])
-        refs.append(log_costs(uniform, seed + b))
-    lines = []
-    for k in range(max_k):
-        vals = [r[k] for r in refs]
-        mean = sum(vals) / len(vals)
-        sd = math.sqrt(sum((v - mean) ** 2 for v in vals) / len(vals))
-        lines.append((k + 1, own[k], mean, mean - own[k], sd * math.sqrt(1 + 1 / len(vals))))
-    return _local(df.sparkSession, lines, "k int, log_w double, e_log_w double, gap double, se double")
-
+# ---------------------------------------------------------------- mixtures
 
 def gmm_models(df: DataFrame, cols: dict[str, Column], ks: list[int], seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(k, loglik, df, bic, icl per line; rows with the class of the best model by BIC)."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.operators import mlmodels, regress
+from statloom.operators import clusters, mlmodels, regress
 from statloom.operators.recode import design_columns
 from statloom.plans.models_linear import KEYS, lines, wide
 from statloom.plans.registry import query
@@ -93,28 +93,28 @@ def cluster_columns():
 
 @query("kmeans")
 def kmeans_query(spark, d):
-    return mlmodels.kmeans(Tables(spark, d).lineitem, cluster_columns(), [2, 3])
+    return clusters.kmeans(Tables(spark, d).lineitem, cluster_columns(), [2, 3])
 
 
 @query("kmeans_wss")
 def kmeans_wss_query(spark, d):
-    return mlmodels.kmeans_wss(Tables(spark, d).lineitem, cluster_columns(), 10)
+    return clusters.kmeans_wss(Tables(spark, d).lineitem, cluster_columns(), 10)
 
 
 @query("kmeans_wss_one", """SELECT 1 AS k, round((var_pop(l_quantity) + var_pop(l_extendedprice / 1000) + var_pop(l_discount * 100)) * count(*), 2) AS wss FROM lineitem""")
 def kmeans_wss_one_query(spark, d):
-    out = mlmodels.kmeans_wss(Tables(spark, d).lineitem, cluster_columns(), 1)
+    out = clusters.kmeans_wss(Tables(spark, d).lineitem, cluster_columns(), 1)
     return rounded(out, 2, "wss")
 
 
 @query("kmeans_silhouette")
 def kmeans_silhouette_query(spark, d):
-    return mlmodels.kmeans_silhouette(Tables(spark, d).lineitem, cluster_columns(), 10)
+    return clusters.kmeans_silhouette(Tables(spark, d).lineitem, cluster_columns(), 10)
 
 
 @query("kmeans_gap")
 def kmeans_gap_query(spark, d):
-    return mlmodels.kmeans_gap(Tables(spark, d).lineitem, cluster_columns(), 10, references=50)
+    return clusters.kmeans_gap(Tables(spark, d).lineitem, cluster_columns(), 10, references=50, starts=25)
 
 
 @query("gmm_bic")

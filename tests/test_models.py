@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from statloom.operators import mlmodels, regress, survey
+from statloom.operators import clusters, mlmodels, regress, survey
 from statloom.operators.survey import SurveyDesign
 
 
@@ -123,13 +123,13 @@ def test_clusters(spark):
     rng = np.random.default_rng(13)
     pdf = pd.DataFrame(np.vstack([rng.normal(0, 1, (80, 2)), rng.normal(9, 1, (80, 2))]), columns=["a", "b"])
     df, cols = spark.createDataFrame(pdf), {"a": F.col("a"), "b": F.col("b")}
-    sizes = mlmodels.kmeans(df, cols, [2], starts=2).toPandas()
+    sizes = clusters.kmeans(df, cols, [2], starts=2).toPandas()
     assert sorted(sizes["size"]) == [80, 80]
-    wss = mlmodels.kmeans_wss(df, cols, 3).toPandas().set_index("k").wss
+    wss = clusters.kmeans_wss(df, cols, 3).toPandas().set_index("k").wss
     assert wss[1] == pytest.approx(((pdf - pdf.mean()) ** 2).to_numpy().sum()) and wss[2] < wss[1] / 5
-    sil = mlmodels.kmeans_silhouette(df, cols, 4).toPandas().set_index("k").silhouette
+    sil = clusters.kmeans_silhouette(df, cols, 4).toPandas().set_index("k").silhouette
     assert sil.idxmax() == 2
-    gap = mlmodels.kmeans_gap(df, cols, 3, references=2).toPandas().set_index("k").gap
+    gap = clusters.kmeans_gap(df, cols, 3, references=2).toPandas().set_index("k").gap
     assert gap[2] > gap[1]
     table, labelled = mlmodels.gmm_models(df, cols, [1, 2, 3])
     bic = table.toPandas().set_index("k").bic
@@ -139,6 +139,62 @@ def test_clusters(spark):
     assert table.toPandas().set_index("k").loglik[1] == pytest.approx(ll)
 
 
+def test_lloyd_is_the_library_from_the_same_start(spark):
+    from pyspark.mllib.clustering import KMeans, KMeansModel
+    rng = np.random.default_rng(3)
+    points = rng.normal(0, 1, (400, 3)) * [1, 5, 20] + rng.integers(0, 3, (400, 1)) * 30
+    df = spark.createDataFrame(pd.DataFrame(points, columns=["a", "b", "c"])).repartition(3)
+    rows, box = clusters.numeric_rows(df, {n: F.col(n) for n in "abc"})
+    starts = [points[rng.permutation(400)[:k]] for k in (1, 2, 5, 9)]
+    for rounds in (2, 30):
+        models = clusters.lloyd(rows, box, [clusters.Model(0, len(c), c - box.middle) for c in starts], rounds)
+        rdd = df.rdd.map(list)
+        for start, model in zip(starts, models):
+            want = KMeans.train(rdd, len(start), rounds, initialModel=KMeansModel(start.tolist()))
+            assert np.allclose(model.centres + box.middle, np.array(want.clusterCenters))
+            if rounds == 30:
+                assert model.wss == pytest.approx(want.computeCost(rdd)) and model.sizes.sum() == 400
+    told = clusters.silhouettes(rows, box, models[1:])
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    ready = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    for model, mine in list(zip(models[1:], told))[:2]:
+        label = lambda pdf: pd.Series(((pdf.to_numpy()[:, None] - (model.centres + box.middle)) ** 2).sum(2).argmin(1))  # noqa: E731, B023
+        plain = ready.toPandas()
+        named = spark.createDataFrame(plain.assign(prediction=label(plain[["a", "b", "c"]]).astype(float)))
+        assert mine == pytest.approx(ClusteringEvaluator().evaluate(named))
+
+
+def test_uniform_sets_take_part_like_tables(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame(pd.DataFrame(rng.normal(0, 1, (9000, 2)), columns=["a", "b"]))
+    rows, box = clusters.numeric_rows(df, {"a": F.col("a"), "b": F.col("b")})
+    starts = clusters.box_starts(box, 2, [1, 2, 4], 2, 7)
+    models = clusters.lloyd(rows, box, starts, 5, seed=7)
+    assert len(models) == 12 and {m.points for m in models} == {1, 2}
+    for m, start in zip(models, clusters.box_starts(box, 2, [1, 2, 4], 2, 7)):
+        points = np.vstack([clusters.uniform_points(box, m.points, i, 7) for i in range(2)])
+        assert len(points) == 9000
+        centres = start.centres
+        for _ in range(m.rounds):
+            label = ((points[:, None] - centres) ** 2).sum(2).argmin(1)
+            centres = np.array([points[label == j].mean(0) for j in range(len(centres))])
+        cost = sum(((points[label == j] - centres[j]) ** 2).sum() for j in range(len(centres)))
+        assert m.wss == pytest.approx(cost, rel=1e-4) and np.allclose(m.centres, centres, atol=1e-3)
+
+
+def test_clusters_of_repeated_rows_and_nulls(spark):
+    rows = [(1.0, 1.0)] * 500 + [(2.0, 5.0)] * 3 + [(None, 1.0)] * 4
+    df, cols = spark.createDataFrame(rows, "a double, b double"), {"a": F.col("a"), "b": F.col("b")}
+    found = clusters.kmeans(df, cols, [2, 5], starts=3).toPandas()
+    assert found.groupby("k")["size"].apply(list).to_dict() == {2: [500, 3], 5: [500, 3]} and (found.wss < 1e-9).all()
+    assert clusters.kmeans(df.limit(0), cols, [2]).count() == 0
+    # a point between two equal centres belongs to the first
+    ready, box = clusters.numeric_rows(df, cols)
+    twice = clusters.lloyd(ready, box, [clusters.Model(0, 2, np.zeros((2, 2)))], 1)[0]
+    assert twice.sizes.tolist() == [503, 0]
+
+
 def test_cluster_queries_cover_the_whole_range(spark):
     from statloom.plans import models_ml
     folder = "/root/testdata/sf0.001"
