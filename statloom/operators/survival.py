@@ -16,7 +16,7 @@ from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.functions.ordered import quantiles, running, with_bins, with_chunks
+from statloom.functions.ordered import quantiles, row_positions, running, with_chunks
 from statloom.functions.scalars import cloglog
 from statloom.functions.tails import chi2_p, z_p
 from statloom.functions.vectors import vector_udf
@@ -114,48 +114,42 @@ def logrank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
 
 # ---------------------------------------------------------------- proportional hazards
 
-def _digamma_gap(a: np.ndarray, d: np.ndarray):
-    """sum 1/(a-l), sum 1/(a-l)^2 and sum log(a-l) over l < d, by asymptotic series."""
-    def shift(x):
-        p1 = np.zeros_like(x)
-        p2 = np.zeros_like(x)
-        pl = np.zeros_like(x)
-        x = x.copy()
-        for _ in range(12):
-            p1 -= 1 / x
-            p2 += 1 / x ** 2
-            pl -= np.log(x)
-            x += 1
-        i2 = 1 / (x * x)
-        psi = p1 + np.log(x) - 0.5 / x - i2 * (1 / 12 - i2 * (1 / 120 - i2 / 252))
-        tri = p2 + 1 / x + 0.5 * i2 + i2 / x * (1 / 6 - i2 * (1 / 30 - i2 / 42))
-        lg = pl + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - i2 / (360 * x)
-        return psi, tri, lg
-
-    hi, lo = shift(a + 1), shift(a - d + 1)
-    return hi[0] - lo[0], lo[1] - hi[1], hi[2] - lo[2]
+EFRON = "a1 double, a2 double, b0 double, b1 double, b2 double, lg double"
 
 
-EFRON = "a1 double, a2 double, b0 double, b1 double, b2 double, lg double"
+LAST = 16  # ties that are summed one by one, from the smallest denominator up
+
+
+def _harmonic(low: np.ndarray, high: np.ndarray):
+    """Sums of 1/x, 1/x^2 and log x over x = low, low + 1, ..., high by the Euler-Maclaurin formula; low is above LAST."""
+    i, j, step = 1 / low, 1 / high, np.log1p((high - low) / low)
+    one = step + (i + j) / 2 + (i ** 2 - j ** 2) / 12 - (i ** 4 - j ** 4) / 120 + (i ** 6 - j ** 6) / 252 - (i ** 8 - j ** 8) / 240
+    two = i - j + (i ** 2 + j ** 2) / 2 + (i ** 3 - j ** 3) / 6 - (i ** 5 - j ** 5) / 30 + (i ** 7 - j ** 7) / 42
+    logs = ((high - low) * (np.log(high) - 1) + low * step + (np.log(low) + np.log(high)) / 2 - (i - j) / 12
+            + (i ** 3 - j ** 3) / 360 - (i ** 5 - j ** 5) / 1260)
+    return one, two, logs
 
 
 def _tie_sums(s0, d0, d) -> np.ndarray:
     """Per event time, with u = l/d and phi = s0 - u d0 over its ties l:
-    sum 1/phi, sum u/phi, sum u^k/phi^2 for k = 0, 1, 2, and sum log phi."""
+    sum 1/phi, sum u/phi, sum u^k/phi^2 for k = 0, 1, 2, and sum log phi.
+
+    The LAST ties with the smallest phi are added up, the others have phi = (a - l) d0 / d with a - l above LAST.
+    """
     s0, d0, d = (np.asarray(v, dtype=float) for v in (s0, d0, d))
     out = np.zeros((len(s0), 6))
-    for i in np.flatnonzero(d <= 5000):
-        u = np.arange(int(d[i])) / max(d[i], 1.0)
-        phi = s0[i] - u * d0[i]
-        out[i] = [(1 / phi).sum(), (u / phi).sum(), (1 / phi ** 2).sum(), (u / phi ** 2).sum(),
-                  (u * u / phi ** 2).sum(), np.log(phi).sum()]
-    big = np.flatnonzero(d > 5000)
-    if len(big):
-        s, e, k = s0[big], d0[big], d[big]
-        a = np.maximum(k * s / e, k)
-        h1, h2, hl = _digamma_gap(a, k)
-        out[big] = np.column_stack([k / e * h1, (a * h1 - k) / e, (k / e) ** 2 * h2, k / e ** 2 * (a * h2 - h1),
-                                    (a * a * h2 - 2 * a * h1 + k) / e ** 2, k * np.log(e / k) + hl])
+    for back in range(1, LAST + 1):
+        at = np.flatnonzero(d >= back)
+        u = (d[at] - back) / d[at]
+        phi = s0[at] - u * d0[at]
+        out[at] += np.column_stack([1 / phi, u / phi, 1 / phi ** 2, u / phi ** 2, (u / phi) ** 2, np.log(phi)])
+    more = np.flatnonzero(d > LAST)
+    if len(more):
+        e, k, m = d0[more], d[more], d[more] - LAST
+        a = np.maximum(k * s0[more] / e, k)
+        one, two, logs = _harmonic(a - m + 1, a)
+        out[more] += np.column_stack([k / e * one, (a * one - m) / e, (k / e) ** 2 * two, k / e ** 2 * (a * two - one),
+                                      (a * a * two - 2 * a * one + m) / e ** 2, m * np.log(e / k) + logs])
     return out
 
 
@@ -204,7 +198,9 @@ def _prepare(df: DataFrame, time: str, event: str, cols: dict[str, Column], stra
     centre = np.array([one[f"m_{x}"] for x in xs])
     scale = np.array([one[f"s_{x}"] or 1.0 for x in xs])
     rows = rows.withColumns({x: (F.col(x) - F.lit(float(c))) / F.lit(float(s)) for x, c, s in zip(xs, centre, scale)})
-    return rows.persist(), xs, centre, scale, int(one["n"]), int(one["e"] or 0)
+    # the time axis is cut once; every pass then accumulates inside its chunks
+    clock = with_chunks(rows.select("time").distinct(), "time", "chunk")
+    return rows.join(clock, "time").persist(), xs, centre, scale, int(one["n"]), int(one["e"] or 0)
 
 
 def _eta(beta, xs) -> Column:
@@ -212,63 +208,30 @@ def _eta(beta, xs) -> Column:
 
 
 def _risk_parts(rows: DataFrame, xs: list[str], beta) -> DataFrame:
-    """Weighted cross products per (stratum, time, event).
+    """Weighted cross products per (stratum, chunk, time, event).
 
     The coefficients ride along as a one-row table: the plan stays the same in every
     iteration, and with it the generated code.
     """
     b = F.broadcast(rows.sparkSession.createDataFrame([([float(v) for v in beta],)], "__beta array<double>"))
     eta = sum((F.col("__beta")[i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
-    return gram(rows.crossJoin(b), [F.lit(1.0), *[F.col(x) for x in xs]], ["st", "time", "ev"], F.exp(eta))
+    return gram(rows.crossJoin(b), [F.lit(1.0), *[F.col(x) for x in xs]], ["st", "chunk", "time", "ev"], F.exp(eta))
 
 
 def _per_time(rows: DataFrame, xs: list[str], beta) -> DataFrame:
     """Event times with risk-set sums ``cum_s*``, event sums ``d*`` and the tie sums."""
     p = len(xs)
     m = (p + 1) * (p + 2) // 2
-    parts = _risk_parts(rows, xs, beta)
+    parts = _risk_parts(rows, xs, beta).repartition("st", "chunk")
     on = F.col("ev") == 1
-    lines = parts.groupBy("st", "time").agg(
+    lines = parts.groupBy("st", "chunk", "time").agg(
         F.sum(F.when(on, F.col("n")).otherwise(0)).alias("nd"),
         *[F.sum(F.col("g")[i]).alias(f"s{i}") for i in range(m)],
         *[F.sum(F.when(on, F.col("g")[i]).otherwise(0.0)).alias(f"d{i}") for i in range(m)])
-    at = running(lines, ["st"], "time", sums=[f"s{i}" for i in range(m)], reverse=True).filter("nd > 0")
+    at = running(lines, ["st"], "time", sums=[f"s{i}" for i in range(m)], reverse=True, chunk="chunk").filter("nd > 0")
     return at.withColumn("t", _efron("cum_s0", "d0", "nd"))
 
 
-def _stratum_derivatives(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Likelihood terms of one stratum from its (time, event) lines."""
-    times, at = np.unique(pdf["time"].to_numpy(), return_inverse=True)
-    g = np.vstack(pdf["g"].to_numpy())
-    on = pdf["ev"].to_numpy() == 1
-    s, d, nd = np.zeros((len(times), g.shape[1])), np.zeros((len(times), g.shape[1])), np.zeros(len(times))
-    np.add.at(s, at, g)
-    np.add.at(d, at[on], g[on])
-    np.add.at(nd, at[on], pdf["n"].to_numpy()[on])
-    s = np.cumsum(s[::-1], axis=0)[::-1]
-    live = nd > 0
-    s, d, nd = s[live], d[live], nd[live]
-    size = int((np.sqrt(8 * g.shape[1] + 1) - 1) / 2)
-    i, j = np.triu_indices(size - 1)
-    tie = _tie_sums(s[:, 0], d[:, 0], nd)
-    a1, a2, b0, b1, b2 = (tie[:, c:c + 1] for c in range(5))
-    s1, d1, s2, d2 = s[:, 1:size], d[:, 1:size], s[:, size:], d[:, size:]
-    info = (s2 * a1 - d2 * a2 - s1[:, i] * s1[:, j] * b0 + (s1[:, i] * d1[:, j] + d1[:, i] * s1[:, j]) * b1
-            - d1[:, i] * d1[:, j] * b2)
-    return pd.DataFrame({"lg": [float(tie[:, 5].sum())], "mean": [(s1 * a1 - d1 * a2).sum(axis=0).tolist()],
-                         "info": [info.sum(axis=0).tolist()]})
-
-
-DRIVER_LINES = 100_000  # most (stratum, time) lines for the one-task-per-stratum form
-
-
-def _small_derivatives(rows: DataFrame, xs: list[str], beta) -> tuple[float, np.ndarray, np.ndarray]:
-    found = _risk_parts(rows, xs, beta).groupBy("st").applyInPandas(
-        _stratum_derivatives, "lg double, mean array<double>, info array<double>").collect()
-    return (sum(r["lg"] for r in found), np.sum([r["mean"] for r in found], axis=0),
-            unpack(np.sum([r["info"] for r in found], axis=0)))
-
-
 def _derivatives(at: DataFrame, p: int) -> tuple[float, np.ndarray, np.ndarray]:
     """sum log phi, expected covariate sums and information, as one collected row."""
     t = lambda name: F.col(f"t.{name}")
@@ -295,11 +258,9 @@ def cox_fit(df: DataFrame, time: str, event: str, cols: dict[str, Column], strat
     moved = rows.filter("ev = 1").agg(F.array(*[F.sum(x) for x in xs]).alias("x")).first()["x"]
     event_x = np.array([v or 0.0 for v in moved])
     pen = np.zeros((p, p)) if penalty is None else np.asarray(penalty) / np.outer(scale, scale)
-    lines = rows.select("st", "time").distinct().groupBy("st").count().agg(F.sum("count"), F.count("st")).first()
-    small = lines[0] <= DRIVER_LINES and lines[1] <= 1000
     beta, best, start = np.zeros(p), -math.inf, None
     for step in range(1, max_iter + 1):
-        lg, mean, info = _small_derivatives(rows, xs, beta) if small else _derivatives(_per_time(rows, xs, beta), p)
+        lg, mean, info = _derivatives(_per_time(rows, xs, beta), p)
         loglik = float(beta @ event_x - lg)
         score = event_x - mean
         if start is None:
@@ -356,34 +317,46 @@ def _scored(fit: CoxFit) -> DataFrame:
     return fit.rows.withColumn("eta", _eta(_std_beta(fit), _xs(fit)))
 
 
-def cox_concordance(fit: CoxFit, bins: int = 1000) -> DataFrame:
+def cox_concordance(fit: CoxFit) -> DataFrame:
     """Share of comparable pairs ordered by the risk score; ties count one half.
 
-    Scores are cut into quantile bins, and pairs inside a bin count as ties.  The
-    counts live on the (time, bin) grid, so no pair is ever formed.
+    Scores are replaced by their ranks.  Two ranks differ first, from the top, in one binary digit: below it they share a block
+    in which one has digit 0 and the other 1.  So an event's lower scores are counted, digit by digit, among the later rows of its
+    block with digit 0, by running sums along the time; no pair is ever formed and no score is rounded.
     """
-    rows = with_bins(_scored(fit), ["eta"], ["b"], bins)
-    cells = rows.groupBy("st", "time", "b").agg(F.sum("ev").alias("e"), F.count(F.lit(1)).alias("n"))
-    grid = (cells.select("st", "time").distinct()
-            .join(cells.select("st", "b").distinct(), "st").join(cells, ["st", "time", "b"], "left").fillna(0, ["e", "n"]))
-    later = Window.partitionBy("st", "b").orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    lower = Window.partitionBy("st", "time").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("st", "time")
+    rows = _scored(fit)
+    ranks = row_positions(rows.select("eta").distinct(), "eta", "rank")
+    cells = rows.join(ranks, "eta").groupBy("st", "chunk", "time", "rank").agg(
+        F.sum("ev").cast("bigint").alias("e"), F.count(F.lit(1)).alias("n"))
+    digits = range(int(fit.n).bit_length())
+    rank = F.col("rank")
+
+    def line(level, block, lower, upper):
+        return F.struct(F.lit(level).alias("level"), block.cast("bigint").alias("block"),
+                        lower.cast("int").alias("lower"), upper.cast("int").alias("upper"))
+
+    places = [line(-2, F.lit(0), F.lit(1), F.lit(1)), line(-1, rank, F.lit(1), F.lit(1))]  # all pairs, and those of one rank
+    places += [line(i, F.shiftright("rank", i + 1), 1 - F.shiftright("rank", i) % 2, F.shiftright("rank", i) % 2) for i in digits]
+    keys = ["st", "level", "block"]
+    lines = cells.select("st", "chunk", "time", "e", "n", F.explode(F.array(*places)).alias("p")).select("*", "p.*").groupBy(
+        *keys, "chunk", "time").agg(F.sum(F.col("n") * F.col("lower")).alias("low"), F.sum(F.col("e") * F.col("lower")).alias("low_e"),
+                                    F.sum(F.col("e") * F.col("upper")).alias("up"))
     # a censored row of the same time outlives the event
-    rest = F.coalesce(F.sum("n").over(later), F.lit(0)) + F.col("n") - F.col("e")
-    grid = grid.withColumn("rest", rest).withColumns(
-        {"below": F.coalesce(F.sum("rest").over(lower), F.lit(0)), "all": F.sum("rest").over(every)})
-    e = F.col("e").cast("double")
-    one = grid.agg(F.sum(e * F.col("below")).alias("concordant"), F.sum(e * F.col("rest")).alias("tied"),
-                   F.sum(e * F.col("all")).alias("pairs"))
-    return one.withColumn("concordance", (F.col("concordant") + F.col("tied") / 2) / F.col("pairs"))
+    counted = running(lines, keys, "time", sums=["low"], reverse=True, chunk="chunk").filter("up > 0")
+    pairs = F.col("up").cast("double") * (F.col("cum_low") - F.col("low_e"))
+
+    def total(name, which):
+        return F.coalesce(F.sum(F.when(which, pairs)), F.lit(0.0)).alias(name)
+
+    one = counted.agg(total("concordant", F.col("level") >= 0), total("tied", F.col("level") == -1), total("pairs", F.col("level") == -2))
+    return one.withColumn("concordance", F.when(F.col("pairs") > 0, (F.col("concordant") + F.col("tied") / 2) / F.col("pairs")))
 
 
 def cox_baseline(fit: CoxFit) -> DataFrame:
     """Hazard steps, cumulative hazard and survival at the covariate means."""
     at = _per_time(fit.rows, _xs(fit), _std_beta(fit)).select(
-        "st", "time", "nd", F.col("t.a1").alias("h"), F.col("t.a2").alias("tie"))
-    out = running(at, ["st"], "time", sums=["h"])
+        "st", "chunk", "time", "nd", F.col("t.a1").alias("h"), F.col("t.a2").alias("tie"))
+    out = running(at, ["st"], "time", sums=["h"], chunk="chunk")
     return out.select(F.col("st").alias("stratum"), "time", F.col("nd").alias("n_event"), F.col("h").alias("hazard"),
                       F.col("cum_h").alias("cum_hazard"), F.exp(-F.col("cum_h")).alias("surv"), "tie")
 
@@ -442,9 +415,9 @@ def cox_residuals(fit: CoxFit) -> DataFrame:
         *[(s(i) * t("b0") - d(i) * t("b1")).alias(f"q{i}") for i in range(p)],
         *[(s(i) * t("b1") - d(i) * t("b2")).alias(f"qt{i}") for i in range(p)])
     # censored rows of times without events need the hazard so far, so every time gets a line
-    times = fit.rows.select("st", "time").distinct().join(steps, ["st", "time"], "left").fillna(
+    times = fit.rows.select("st", "chunk", "time").distinct().join(steps, ["st", "time"], "left").fillna(
         0.0, ["h", "tie", *[f"q{i}" for i in range(p)], *[f"qt{i}" for i in range(p)]])
-    table = running(times, ["st"], "time", sums=["h", *[f"q{i}" for i in range(p)]])
+    table = running(times, ["st"], "time", sums=["h", *[f"q{i}" for i in range(p)]], chunk="chunk").drop("chunk")
     rows = _scored(fit).join(table, ["st", "time"])
     risk, ev = F.exp("eta"), F.col("ev")
     hazard = F.col("cum_h") - ev * F.col("tie")

@@ -61,23 +61,31 @@ def test_cox_optimum(spark, data, strata):
     assert fit.loglik == pytest.approx(ll, abs=1e-6)
 
 
-def test_distributed_iteration_gives_the_same_fit(spark, data, monkeypatch):
-    df = spark.createDataFrame(data)
-    near = survival.cox_fit(df, "t", "e", COLS)
-    monkeypatch.setattr(survival, "DRIVER_LINES", 0)
-    far = survival.cox_fit(df, "t", "e", COLS)
-    assert np.allclose(near.beta, far.beta, atol=1e-8) and near.loglik == pytest.approx(far.loglik)
+def test_many_strata_and_cut_points_give_the_same_fit(spark, data):
+    from statloom.functions import ordered
+    wide = pd.concat([data.assign(s=i // 2, t=data.t * (1 if i % 2 else 1000003)) for i in range(8)])
+    fit = survival.cox_fit(spark.createDataFrame(wide).repartition(5), "t", "e", {"x": F.col("x")}, strata="s")
+    assert fit.rows.select("chunk").distinct().count() > 10
+    one = survival.cox_fit(spark.createDataFrame(wide[wide.s == 0]), "t", "e", {"x": F.col("x")})
+    assert fit.loglik == pytest.approx(4 * one.loglik) and np.allclose(fit.beta, one.beta, atol=1e-7)
+    few = ordered.with_chunks(spark.createDataFrame(wide), "t", "c", 3).groupBy("c").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("c").collect()
+    assert all(x.b < y.a for x, y in zip(few, few[1:]))
 
 
 def test_tie_sums_closed_form():
-    s0, d0, k = np.array([9000.0, 7000.0, 6000.0]), np.array([6100.0, 7000.0, 10.0]), np.array([6000.0, 6500.0, 5500.0])
+    rng = np.random.default_rng(2)
+    k = np.array([1, 2, 15, 16, 17, 18, 40, 500, 5500, 6000, 6500] * 3, dtype=float)
+    d0 = k * rng.uniform(0.001, 3, len(k))
+    s0 = d0 * np.repeat([1.0, 1.3, 4e5], 11)
     near = survival._tie_sums(s0, d0, k)
-    for i in range(3):
+    for i in range(len(k)):
         u = np.arange(int(k[i])) / k[i]
         phi = s0[i] - u * d0[i]
         want = [(1 / phi).sum(), (u / phi).sum(), (1 / phi ** 2).sum(), (u / phi ** 2).sum(), (u * u / phi ** 2).sum(), np.log(phi).sum()]
-        assert np.allclose(near[i][[0, 2, 5]], np.array(want)[[0, 2, 5]], rtol=1e-8)
-        assert np.allclose(near[i], want, rtol=1e-3)
+        # each sum is used times powers of d0 and s0, against which its error counts
+        unit = np.array([k[i] / s0[i], k[i] / d0[i], k[i] / s0[i] ** 2, k[i] / d0[i] / s0[i], k[i] / d0[i] ** 2, 1.0])
+        assert np.allclose(near[i][[0, 2, 5]], np.array(want)[[0, 2, 5]], rtol=1e-9)
+        assert (abs(near[i] - want) <= 1e-9 * (np.abs(want) + unit)).all()
 
 
 def test_residual_identities(spark, data):
@@ -111,8 +119,21 @@ def test_concordance(spark, data):
             good += (eta[later] < eta[i] - 1e-12).sum()
             ties += (abs(eta[later] - eta[i]) <= 1e-12).sum()
             pairs += later.sum()
-    got = survival.cox_concordance(fit, 4000).first()
-    assert got["pairs"] == pairs and got["concordance"] == pytest.approx((good + ties / 2) / pairs, abs=5e-3)
+    got = survival.cox_concordance(fit).first()
+    assert (got["concordant"], got["tied"], got["pairs"]) == (good, ties, pairs)
+    assert got["concordance"] == pytest.approx((good + ties / 2) / pairs)
+
+
+def test_concordance_of_continuous_scores_has_no_ties(spark):
+    rng = np.random.default_rng(9)
+    n = 3000
+    pdf = pd.DataFrame({"x": rng.normal(size=n), "t": rng.integers(1, 200, n), "e": rng.integers(0, 2, n), "s": rng.integers(0, 2, n)})
+    fit = survival.cox_fit(spark.createDataFrame(pdf).repartition(4), "t", "e", {"x": F.col("x")}, strata="s")
+    x, t, e, s = (pdf[c].to_numpy() for c in "xtes")
+    valid = (e == 1)[:, None] & (s[:, None] == s) & ((t > t[:, None]) | ((t == t[:, None]) & (e == 0)))
+    below = (x < x[:, None]) if fit.beta[0] > 0 else (x > x[:, None])
+    got = survival.cox_concordance(fit).first()
+    assert (got["concordant"], got["tied"], got["pairs"]) == ((valid & below).sum(), 0, valid.sum())
 
 
 def test_selection_drops_noise(spark, data):
