@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,6 +117,7 @@ def logrank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
 EFRON = "a1 double, a2 double, b0 double, b1 double, b2 double, lg double"
 
 
+CUTS = 1000  # chunks of the time axis at most; a chunk holds a thousandth of the rows, or one time
 LAST = 16  # ties that are summed one by one, from the smallest denominator up
 
 
@@ -194,13 +195,15 @@ def _prepare(df: DataFrame, time: str, event: str, cols: dict[str, Column], stra
                      *[c.cast("double").alias(x) for x, c in zip(xs, cols.values())],
                      *[F.col(k).alias(f"k_{k}") for k in keep]).dropna(subset=["time", "ev", "st", *xs])
     one = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("ev").alias("e"), *[F.avg(x).alias(f"m_{x}") for x in xs],
-                   *[F.stddev_pop(x).alias(f"s_{x}") for x in xs]).first()
+                   *[F.stddev_pop(x).alias(f"s_{x}") for x in xs],
+                   F.percentile_approx("time", [i / CUTS for i in range(1, CUTS)], 10 * CUTS).alias("cuts")).first()
     centre = np.array([one[f"m_{x}"] for x in xs])
     scale = np.array([one[f"s_{x}"] or 1.0 for x in xs])
     rows = rows.withColumns({x: (F.col(x) - F.lit(float(c))) / F.lit(float(s)) for x, c, s in zip(xs, centre, scale)})
-    # the time axis is cut once; every pass then accumulates inside its chunks
-    clock = with_chunks(rows.select("time").distinct(), "time", "chunk")
-    return rows.join(clock, "time").persist(), xs, centre, scale, int(one["n"]), int(one["e"] or 0)
+    # the time axis is cut once, at about every thousandth row or more; each pass then accumulates inside the chunks
+    cuts = sorted(set((one["cuts"] or [0.0])[::max(CUTS * 1000 // max(one["n"], 1), 1)]))
+    split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="time", outputCol="chunk", handleInvalid="keep")
+    return split.transform(rows).withColumn("chunk", F.col("chunk").cast("int")).persist(), xs, centre, scale, int(one["n"]), int(one["e"] or 0)
 
 
 def _eta(beta, xs) -> Column:
@@ -220,15 +223,21 @@ def _risk_parts(rows: DataFrame, xs: list[str], beta) -> DataFrame:
 
 def _per_time(rows: DataFrame, xs: list[str], beta) -> DataFrame:
     """Event times with risk-set sums ``cum_s*``, event sums ``d*`` and the tie sums."""
-    p = len(xs)
-    m = (p + 1) * (p + 2) // 2
-    parts = _risk_parts(rows, xs, beta).repartition("st", "chunk")
-    on = F.col("ev") == 1
-    lines = parts.groupBy("st", "chunk", "time").agg(
-        F.sum(F.when(on, F.col("n")).otherwise(0)).alias("nd"),
-        *[F.sum(F.col("g")[i]).alias(f"s{i}") for i in range(m)],
-        *[F.sum(F.when(on, F.col("g")[i]).otherwise(0.0)).alias(f"d{i}") for i in range(m)])
-    at = running(lines, ["st"], "time", sums=[f"s{i}" for i in range(m)], reverse=True, chunk="chunk").filter("nd > 0")
+    m = (len(xs) + 1) * (len(xs) + 2) // 2
+    each = range(m)
+    # one statement: building the same plan step by step takes longer than running it
+    at = rows.sparkSession.sql(f"""
+        WITH lines AS (
+          SELECT st, chunk, time, sum(if(ev = 1, n, 0)) AS nd, {", ".join(f"sum(g[{i}]) AS s{i}, sum(if(ev = 1, g[{i}], 0D)) AS d{i}" for i in each)}
+          FROM {{parts}} GROUP BY st, chunk, time),
+        later AS (
+          SELECT st, chunk, {", ".join(f"coalesce(sum(sum(s{i})) OVER w, 0D) AS o{i}" for i in each)}
+          FROM lines GROUP BY st, chunk WINDOW w AS (PARTITION BY st ORDER BY chunk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        summed AS (
+          SELECT l.st, l.chunk, time, nd, {", ".join(f"d{i}, o{i} + sum(s{i}) OVER w AS cum_s{i}" for i in each)}
+          FROM lines l JOIN later o ON l.st = o.st AND l.chunk = o.chunk
+          WINDOW w AS (PARTITION BY l.st, l.chunk ORDER BY time DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        SELECT * FROM summed WHERE nd > 0""", parts=_risk_parts(rows, xs, beta).repartition("st", "chunk"))
     return at.withColumn("t", _efron("cum_s0", "d0", "nd"))
 
 
