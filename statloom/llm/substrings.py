@@ -18,7 +18,7 @@ ANCHOR = 16  # bytes hashed for an anchor
 SHARD_BYTES = 2 << 20  # text a suffix array is meant to get; a larger shard spills
 CROWD = 20_000  # different surroundings of one anchor beyond which its strings are grouped by hash instead
 
-SEGMENT = "anchor long, print_a long, print_b long, doc_id long, start long, size int, text binary"  # size: bytes * 256 + anchor's place
+SEGMENT = "anchor long, print_a long, print_b long, doc_id long, twin int, start long, size int, text binary"  # size: bytes * 256 + anchor's place
 KEY = ["anchor", "print_a", "print_b"]
 
 
@@ -68,21 +68,21 @@ def _segments(length: int, cells: int, shared):
                 raw = one.tobytes()
                 texts.extend([raw[s:e] for s, e in zip(first.tolist(), ends.tolist())])
                 if len(texts) >= 16384:
-                    yield _segment_batch(batch.column(0), parts, texts)
+                    yield _segment_batch(batch.column(0), batch.column(2), parts, texts)
                     parts, texts = [], []
             if texts:
-                yield _segment_batch(batch.column(0), parts, texts)
+                yield _segment_batch(batch.column(0), batch.column(2), parts, texts)
     return run
 
 
-def _segment_batch(ids, parts, texts):
+def _segment_batch(ids, twins, parts, texts):
     anchor, a, b, row, start, n, lead = (np.concatenate(x) for x in zip(*parts))
     _, first = np.unique(a, return_index=True)
     again = np.ones(len(a), bool)
     again[first] = False
     return pa.RecordBatch.from_arrays(
-        [pa.array(anchor), pa.array(a), pa.array(b), ids.take(pa.array(row)), pa.array(start), pa.array((n * 256 + lead).astype(np.int32)),
-         pa.array(texts, pa.binary(), mask=again)], ["anchor", "print_a", "print_b", "doc_id", "start", "size", "text"])
+        [pa.array(anchor), pa.array(a), pa.array(b), ids.take(pa.array(row)), twins.take(pa.array(row)), pa.array(start), pa.array((n * 256 + lead).astype(np.int32)),
+         pa.array(texts, pa.binary(), mask=again)], ["anchor", "print_a", "print_b", "doc_id", "twin", "start", "size", "text"])
 
 
 STEPS = 8
@@ -150,7 +150,7 @@ def _strings(length: int):
 @settled
 def repeated_spans(docs: DataFrame, length: int = LENGTH, cells: int | None = None, shard_bytes: int = SHARD_BYTES,
                    crowd: int = CROWD) -> DataFrame:
-    """(doc_id, low, high): byte ranges that together are all ``length``-byte strings of ``docs(doc_id, text)`` that also
+    """(doc_id, twin, low, high): byte ranges that together are all ``length``-byte strings of ``docs(doc_id, twin, text)`` that also
     start anywhere else.
 
     1. The anchor of a string is its ``ANCHOR``-byte run with the smallest hash; equal strings have equal anchors.
@@ -164,7 +164,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cells: int | None = No
     """
     bits, cells = core_bits(docs, _sketch_values(length), 2.0 / (length - ANCHOR + 2), cells)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    places = keep(docs.select("doc_id", "text").mapInArrow(_segments(length, cells, shared), SEGMENT), "segments")
+    places = keep(docs.select("doc_id", "text", "twin").mapInArrow(_segments(length, cells, shared), SEGMENT), "segments")
     groups = keep(places.groupBy(*KEY).agg(F.count("*").alias("copies"), F.max("text").alias("text"), F.min("size").cast("long").alias("size")),
                   "surroundings")
     several = keep(groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest"), F.sum(F.floor(F.col("size") / 256)).alias("bytes"))
@@ -180,8 +180,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cells: int | None = No
     crowded = counted.join(repeated, ["x", "y"]).select(*KEY, "low", (F.col("low") + length).alias("high"))
     whole = groups.filter("copies > 1").select(*KEY, F.lit(0).cast("long").alias("low"), F.floor(F.col("size") / 256).cast("long").alias("high"))
     marks = keep(parts.unionByName(crowded).unionByName(whole), "marks")
-    return places.select(*KEY, "doc_id", "start").join(marks, KEY).select(
-        "doc_id", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
+    return places.select(*KEY, "doc_id", "twin", "start").join(marks, KEY).select(
+        "doc_id", "twin", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 
 def _cut(batches):
@@ -208,7 +208,16 @@ def _cut(batches):
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-LAST = 2**63 - 1
+def _marked(docs: DataFrame, id_col: str, text_col: str, length: int, options: dict) -> tuple[list, DataFrame]:
+    """What a row is known by, 96 bits of hash of its id and text, and the marks of each such row.
+
+    Rows that agree in both are cut alike, so they may share their marks.
+    """
+    text = F.col(text_col).cast("string")
+    key = [F.xxhash64(F.col(id_col), text).alias("__row"), F.hash(text, F.col(id_col)).alias("__twin")]
+    source = docs.select(key[0].alias("doc_id"), key[1].alias("twin"), text.alias("text"))
+    marks = repeated_spans(source, length, **options).groupBy("doc_id", "twin").agg(F.collect_set(F.struct("low", "high")).alias("__marks"))
+    return key, marks.withColumnsRenamed({"doc_id": "__row", "twin": "__twin"})
 
 
 def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -216,15 +225,13 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining UTF-8 bytes) for every row.
 
     Each byte goes that is covered by a ``length``-byte string which also starts anywhere else, in another document or
-    the same one; strings are judged on the input.  A null text is empty.  A null id is an id of its own.  Rows
-    that repeat an id are different documents when strings are counted, and each is cut at the marks of all of them.
-    Other columns are not read.
+    the same one; strings are judged on the input.  A null text is empty.  Rows that repeat an id, or have none, are different
+    documents.  Other columns are not read.
     """
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = repeated_spans(source, length, **options).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("marks"))
-    cut = source.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(
+    key, marks = _marked(docs, id_col, text_col, length, options)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *key)
+    return source.join(marks, ["__row", "__twin"], "left").select("doc_id", "text", F.col("__marks").alias("marks")).mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
 
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
@@ -232,9 +239,7 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Bytes of a character that was cut through go with it.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    source = docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = repeated_spans(source, length, **options).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("marks"))
+    key, marks = _marked(docs, id_col, text_col, length, options)
 
     @F.arrow_udf("string")
     def rest(text: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -243,6 +248,6 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    joined = docs.select(key.alias("doc_id"), row).join(marks, "doc_id", "left")
-    text = F.when(F.col("marks").isNull(), F.col(f"row.`{text_col}`")).otherwise(rest(F.col(f"row.`{text_col}`").cast("string"), F.col("marks")))
+    joined = docs.select(*key, row).join(marks, ["__row", "__twin"], "left")
+    text = F.when(F.col("__marks").isNull(), F.col(f"row.`{text_col}`")).otherwise(rest(F.col(f"row.`{text_col}`").cast("string"), F.col("__marks")))
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

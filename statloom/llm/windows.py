@@ -127,28 +127,68 @@ def _merge(batches):
         yield bits()
 
 
-def _candidates(window: int, core: int, cells: int, shared):
+def _first_of_row(row: np.ndarray, starts: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Marks what stands in its row for the first time, by all keys."""
+    order = np.lexsort((starts, *keys, row))
+    again = np.zeros(len(starts), bool)
+    again[order[1:]] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in (row, *keys)])
+    return ~again
+
+
+def _slices(batches, window: int, core: int, cells: int, bits: np.ndarray):
+    """Words, row limits, window starts and core places of windows whose core is counted in the bits, and the rows' keys."""
+    for batch in batches:
+        data, offsets = tokens.text_buffer(batch.column(2))
+        for a, b in tokens.slices(offsets):
+            words, _, _, limits = tokens.word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], False)
+            starts, places, runs = _cores(words, limits, window, core)
+            likely = counted(bits, runs[places], cells)
+            if likely.any():
+                yield words, limits, starts[likely], places[likely], runs, [batch.column(c).slice(a, b - a) for c in (0, 1)]
+
+
+def _surroundings(window: int, core: int, cells: int, shared):
+    """For every core place that may repeat: its windows as one stretch of words, with a hash of the stretch and the core's place in it."""
+    def run(batches):
+        for words, limits, starts, places, runs, keys in _slices(batches, window, core, cells, shared.value):
+            first = np.flatnonzero(np.diff(places, prepend=-1) != 0)
+            last = np.append(first[1:], len(places)) - 1
+            low, high, place = starts[first], starts[last] + window, places[first]
+            prints = tokens.mix(tokens.range_hashes(words, low, high, tokens.WORD_BASE) + (place - low).astype(np.uint64))
+            row = np.searchsorted(limits, low, "right") - 1
+            fresh = _first_of_row(row, low, prints, runs[place])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(runs[place].view(np.int64)), pa.array(prints.view(np.int64)), *[k.take(pa.array(row)) for k in keys],
+                 pa.array((low - limits[row]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array(~fresh)],
+                ["core", "print", "doc_id", "twin", "start", "n", "again"])
+    return run
+
+
+def _windows(window: int, core: int, cells: int, shared):
+    """Every window whose core is counted in the bits, with 96 bits of hash."""
+    def run(batches):
+        for words, limits, starts, _, _, keys in _slices(batches, window, core, cells, shared.value):
+            first = tokens.range_hashes(words, starts, starts + window, tokens.WORD_BASE)
+            second = tokens.range_hashes(words, starts, starts + window, CHECK_BASE) >> np.uint64(32)
+            row = np.searchsorted(limits, starts, "right") - 1
+            fresh = _first_of_row(row, starts, second, first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(first.view(np.int64)), pa.array(second.astype(np.uint32).view(np.int32)), *[k.take(pa.array(row)) for k in keys],
+                 pa.array((starts - limits[row]).astype(np.int32)), pa.array(~fresh)],
+                ["hash", "check", "doc_id", "twin", "start", "again"])
+    return run
+
+
+def _bits_of(cells: int):
+    """Cells of hashes, each hash taken as if it had been counted twice, as one sketch."""
     def run(batches):
-        bits = shared.value
         for batch in batches:
-            data, offsets = tokens.text_buffer(batch.column(1))
-            ids = batch.column(0)
-            for a, b in tokens.slices(offsets):
-                words, _, _, limits = tokens.word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], False)
-                starts, places, runs = _cores(words, limits, window, core)
-                starts = starts[counted(bits, runs[places], cells)]
-                if not len(starts):
-                    continue
-                first = tokens.range_hashes(words, starts, starts + window, tokens.WORD_BASE)
-                second = tokens.range_hashes(words, starts, starts + window, CHECK_BASE) >> np.uint64(32)
-                row = np.searchsorted(limits, starts, "right") - 1
-                order = np.lexsort((starts, second, first, row))
-                again = np.zeros(len(starts), bool)
-                again[order[1:]] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in (row, first, second)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first.view(np.int64)), pa.array(second.astype(np.uint32).view(np.int32)),
-                     ids.slice(a, b - a).take(pa.array(row)), pa.array((starts - limits[row]).astype(np.int32)), pa.array(again)],
-                    ["hash", "check", "doc_id", "start", "again"])
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            every = np.unique(np.concatenate(_cells(hashes, cells))) if len(hashes) else np.zeros(0, np.uint64)
+            shards, first = np.unique(every // np.uint64(SHARD), return_index=True)
+            for s, i, j in zip(shards, first, np.append(first[1:], len(every))):
+                some = _pack((every[i:j] - np.uint64(int(s) * SHARD)).astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([int(s)]), pa.array([some]), pa.array([some])], ["shard", "once", "twice"])
     return run
 
 
@@ -157,15 +197,15 @@ def _cut(window: int):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            marks = batch.column("starts").to_pylist()
             n_words, n_removed, digests = [], [], []
-            for text, starts in zip(texts, marks):
+            for text, marks in zip(texts, batch.column("marks")):
                 data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                 first, last, _ = tokens.word_spans(data, np.array([0, len(data)]))
                 gone = np.zeros(len(first) + 1, np.int64)
-                if starts:
-                    np.add.at(gone, np.array(starts), 1)
-                    np.add.at(gone, np.minimum(np.array(starts) + window, len(first)), -1)
+                if marks.is_valid and len(marks.values):
+                    low, n = (marks.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                    np.add.at(gone, low, 1)
+                    np.add.at(gone, np.minimum(low + n - 1 + window, len(first)), -1)
                 keep_at = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
                 raw = data.tobytes()
                 kept = b" ".join([raw[i:j] for i, j in zip(first[keep_at].tolist(), last[keep_at].tolist())])
@@ -187,38 +227,56 @@ def core_bits(docs: DataFrame, values, rate: float, cells: int | None = None) ->
     if cells is None:
         n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
         cells = min(max(1 << int(8 * n * rate).bit_length(), SHARD), LARGEST)
-    rows = (docs.select("text").mapInArrow(_sketches(values, cells), "shard long, once binary, twice binary")
-            .repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge, "shard long, bits binary"))
+    return _merged(docs.select("text").mapInArrow(_sketches(values, cells), SKETCH), cells), cells
+
+
+SKETCH = "shard long, once binary, twice binary"
+
+
+def _merged(sketches: DataFrame, cells: int) -> np.ndarray:
+    rows = sketches.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge, "shard long, bits binary")
     bits = np.zeros(cells // 8, np.uint8)
     for r in rows.toLocalIterator():
         bits[r["shard"] * (SHARD // 8):(r["shard"] + 1) * (SHARD // 8)] = np.frombuffer(r["bits"], np.uint8)
-    return bits, cells
+    return bits
 
 
 @settled
 def repeated_windows(docs: DataFrame, window: int = WINDOW, core: int = CORE, cells: int | None = None) -> DataFrame:
-    """(doc_id, start) of every window of ``docs(doc_id, text)`` whose words also start earlier.
+    """(doc_id, twin, start, n): from ``start`` on, ``n`` windows of ``docs(doc_id, twin, text)`` whose words also start earlier.
 
     1. A window is counted through its core, the run of ``core`` words in it with the smallest hash.  Equal windows have
        equal cores at different places, so a core occurs at least as often as the window.  Every partition sketches the
        counts of its cores; the sketches are merged shard by shard.  A core has a cell in each of two rows; a cell
        counts whatever falls into it, so the smaller of the two counts is never too low.  The sketch has at least eight cells a core up to ``LARGEST``; beyond it more windows
        pass, none less.
-    2. The cells counted twice or more go to all tasks as bits (``LARGEST`` / 8 bytes at most).  Windows whose core is
-       in two such cells are grouped by 96 bits of hash.  What repeats inside a document is marked there; a window in
-       several documents stays in the smallest and is marked in the others.  Groups are reduced before the shuffle, and
-       marked rows come from a join with one row a group, so the windows of one very common passage are never in one task.
+    2. The cells counted twice or more go to all tasks as bits (``LARGEST`` / 8 bytes at most).  The windows of one core place,
+       about six, are sent as one stretch of words, by 128 bits of hash.  What repeats as a whole inside a row is marked there;
+       a stretch in several documents stays in the smallest and is marked in the others.
+    3. Cores that stand in different stretches are given back to the tasks as bits of the same kind.  Their windows are grouped one by
+       one, by 96 bits of hash, in the same way.
+
+    Groups are reduced before the shuffle, and marked rows come from a join with one row a group, so the windows of one very
+    common passage are never in one task.
     """
     # about six bytes a word, and one core in (window - core + 2) / 2 words
     bits, cells = core_bits(docs, _core_values(window, core), 1 / (3 * (window - core + 2)), cells)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    found = docs.select("doc_id", "text").mapInArrow(
-        _candidates(window, core, cells, shared), "hash long, check int, doc_id long, start int, again boolean")
-    first = found.filter("not again")
-    groups = keep(first.groupBy("hash", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-                  .filter("low < high").select("hash", "check", "low"), "windows")
-    later = first.join(groups, ["hash", "check"]).filter("doc_id > low").select("doc_id", "start")
-    return later.unionByName(found.filter("again").select("doc_id", "start"))
+    context, texts = docs.sparkSession.sparkContext, docs.select("doc_id", "twin", "text")
+    row = "doc_id long, twin long, start int"
+    parts = keep(texts.mapInArrow(_surroundings(window, core, cells, context.broadcast(bits)),
+                                  f"core long, print long, {row}, n int, again boolean"), "stretches")
+    groups = keep(parts.filter("not again").groupBy("core", "print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "groups")
+    mixed = groups.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("core")
+    mixed = context.broadcast(_merged(mixed.mapInArrow(_bits_of(cells), SKETCH), cells))
+    single = keep(texts.mapInArrow(_windows(window, core, cells, mixed), f"hash long, check int, {row}, again boolean"), "windows")
+
+    def later(found: DataFrame, keys: list[str], lowest: DataFrame) -> DataFrame:
+        known = lowest.filter("low < high").select(*keys, "low")
+        return found.filter("not again").join(known, keys).filter("doc_id > low").unionByName(found.filter("again"), allowMissingColumns=True)
+
+    alone = single.filter("not again").groupBy("hash", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    return (later(parts, ["core", "print"], groups).select("doc_id", "twin", "start", "n")
+            .unionByName(later(single, ["hash", "check"], alone).select("doc_id", "twin", "start", F.lit(1).alias("n"))))
 
 
 def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -226,13 +284,14 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by one space) for every row.
 
     A word goes if a ``window``-word run over it also starts earlier in the corpus: in a smaller id, or before in the same
-    document.  Runs are judged on the input.  A null text has no words.  A null id comes last.  Rows that repeat an
-    id are one document: a run at the same start of the same id is no repeat, and each of the rows is cut at the
-    marks of all of them.  Other columns are not read.
+    row.  Runs are judged on the input.  A null text has no words.  A null id comes last.  Rows that repeat an
+    id, or have none, are documents of their own, of which none is earlier than another; a row is known by its id and a hash of its text.
+    Other columns are not read.
     """
     last = F.lit(2**63 - 1)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = repeated_windows(source, window, core).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    cut = source.join(marks, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.xxhash64(text).alias("twin"), text.alias("text"))
+    marks = repeated_windows(source, window, core).groupBy("doc_id", "twin").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
+    cut = source.join(marks, ["doc_id", "twin"], "left").select("doc_id", "text", "marks").mapInArrow(
         _cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return cut.withColumn("doc_id", F.nullif("doc_id", last))

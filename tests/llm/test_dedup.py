@@ -199,3 +199,45 @@ def test_word_hashes_follow_the_words():
     assert len(words) == len(hashes) and all(len(h) == 1 for h in by_word.values()) and len(set.union(*by_word.values())) == len(by_word)
     values = np.random.default_rng(0).integers(0, 2**63, 3000).astype(np.uint64)
     assert all(p == i + np.argmin(values[i:i + 37]) for i, p in enumerate(tokens.minimisers(values, 37)))
+
+
+def with_odd_ids(texts, seed):
+    """Texts under ids of which many are null or repeated, also with equal texts."""
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, None, 3, 5, i + 10]), t) for i, t in enumerate(texts)]
+    return rows + [(None, texts[6]), (None, texts[6]), (3, texts[7]), (3, texts[7]), (5, "unrelated " + prose(rng, 80, 10**6)),
+                   (None, "unrelated " + prose(rng, 80, 10**6)), (None, None), (None, "")]
+
+
+def test_strings_of_rows_with_null_and_repeated_ids(spark):
+    rows = with_odd_ids(passages(9), 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in drop_repeated_strings(docs, shard_bytes=5000).collect()), key=str)
+    want = strings_by_hand([t for _, t in rows])
+    assert got == sorted(((i, *w) for (i, _), w in zip(rows, want)), key=str)
+    cut = sorted((str(r.doc_id), r.text or "") for r in cut_documents(docs).collect())
+    assert cut == sorted((str(i), w[4].decode("utf-8", "ignore")) for (i, _), w in zip(rows, want))
+
+
+def test_windows_of_rows_with_null_and_repeated_ids(spark):
+    rows = with_odd_ids(passages(10), 2)
+    got = sorted((tuple(r) for r in drop_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    place = lambda i: 2**63 if i is None else i
+    first: dict = {}
+    for i, t in rows:
+        w = words_of(t, False)
+        for k in range(len(w) - 19):
+            key = tuple(w[k:k + 20])
+            first[key] = min(first.get(key, 2**64), place(i))
+    want = []
+    for i, t in rows:
+        w, seen = words_of(t, False), set()
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            key = tuple(w[k:k + 20])
+            if key in seen or first[key] < place(i):
+                gone[k:k + 20] = [True] * 20
+            seen.add(key)
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        want.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    assert got == sorted(want, key=str)
