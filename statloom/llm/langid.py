@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.llm import tokens
+from statloom.llm.store import lean, release
 
 SIZES = (1, 2, 3)  # characters in an n-gram
 BITS = 16  # n-grams are hashed into 2**BITS columns
@@ -94,7 +95,7 @@ def _document_counts(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
         filled = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(filled, -1)), pa.array(np.append(total[filled], n))], ["col", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(lean(run), "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << bits)
     at = rows["col"] >= 0
     counts[rows["col"][at]] = rows["n"][at]
@@ -156,7 +157,7 @@ def smallest(rows: DataFrame, group: str, draw: Column, sample: int) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in kept for _ in kept[k]]), pa.array(np.concatenate(list(kept.values())))],
                                              ["key", "draw"])
 
-    few = rows.select(F.col(group).cast("string").alias("key"), draw.alias("draw")).mapInArrow(run, "key string, draw long").distinct()
+    few = rows.select(F.col(group).cast("string").alias("key"), draw.alias("draw")).mapInArrow(lean(run), "key string, draw long").distinct()
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("draw"))).filter(F.col("rank") <= sample)
     return {r["key"]: r["last"] for r in ranked.groupBy("key").agg(F.max("draw").alias("last")).collect()}  # one row a group
 
@@ -198,7 +199,7 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", label_col: str =
     # rows with the same id, text and label are one example
     chosen = known.filter("id is not null").withColumn("draw", F.xxhash64("id", "text"))
     chosen = chosen.filter(F.col("draw") <= F.try_element_at(limit, F.col("label"))).dropDuplicates(["draw", "label"]).drop("draw")
-    table = chosen.mapInArrow(run, "id string, cols array<int>, vals array<float>, label string").toArrow().sort_by(
+    table = chosen.mapInArrow(lean(run), "id string, cols array<int>, vals array<float>, label string").toArrow().sort_by(
         [("id", "ascending"), ("label", "ascending")])
     cols, vals = (table[k].combine_chunks() for k in ("cols", "vals"))
     ends, cols, vals = cols.offsets.to_numpy(), cols.values.to_numpy(), vals.values.to_numpy()
@@ -231,6 +232,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
         if not m.labels:
             return pd.DataFrame({"label": [UNKNOWN] * len(text), "score": 0.0})
         best, score = m.predict(text.tolist())
+        release()
         return pd.DataFrame({"label": np.array(m.labels, object)[best], "score": score})
 
     letters = F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.llm import tokens
 from statloom.llm.graph import components
-from statloom.llm.store import keep, settled
+from statloom.llm.store import keep, lean, settled
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4  # a pair at 0.75 is missed with probability (1 - 0.75**4)**40 = 3e-7
@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = keep(source.mapInArrow(_sketch(shingle, bands, rows),
+    sketch = keep(source.mapInArrow(lean(_sketch(shingle, bands, rows)),
                                     "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>"), "sketch")
     plain = sketch.drop("bands")
     prints = ["print_a", "print_b", "n_shingles"]
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("bucket")
     members = keep(buckets.join(shared, "bucket").distinct(), "members")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = keep(source.join(wanted, "doc_id").mapInArrow(_sets(shingle), "id long, shingles array<long>"), "sets")
+    sets = keep(source.join(wanted, "doc_id").mapInArrow(lean(_sets(shingle)), "id long, shingles array<long>"), "sets")
 
     # shingles that no other candidate has can be in no common part: the rest bounds what a document can share
     owned = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("high"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from statloom.session import fresh_path
@@ -11,6 +13,26 @@ from statloom.session import fresh_path
 _open: list[list] = []  # paths written by the operators that are running, innermost last
 
 
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers live on and would hold it beside the next ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """``run`` over a task's batches, with its memory released when the task ends."""
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return task
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and go on from the stored rows.
 

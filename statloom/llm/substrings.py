@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm import suffix, tokens
-from statloom.llm.store import keep, settled
+from statloom.llm.store import keep, lean, settled
 from statloom.llm.windows import core_bits, counted
 
 LENGTH = 200
@@ -164,7 +164,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cells: int | None = No
     """
     bits, cells = core_bits(docs, _sketch_values(length), 2.0 / (length - ANCHOR + 2), cells)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    places = keep(docs.select("doc_id", "text", "twin").mapInArrow(_segments(length, cells, shared), SEGMENT), "segments")
+    places = keep(docs.select("doc_id", "text", "twin").mapInArrow(lean(_segments(length, cells, shared)), SEGMENT), "segments")
     groups = keep(places.groupBy(*KEY).agg(F.count("*").alias("copies"), F.max("text").alias("text"), F.min("size").cast("long").alias("size")),
                   "surroundings")
     several = keep(groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest"), F.sum(F.floor(F.col("size") / 256)).alias("bytes"))
@@ -174,8 +174,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cells: int | None = No
     mixed = groups.join(several, "anchor").select(*KEY, "copies", "size", "text", "kinds")
     small, large = mixed.filter(F.col("kinds") <= crowd).drop("kinds"), mixed.filter(F.col("kinds") > crowd).drop("kinds")
     spans = "anchor long, print_a long, print_b long, low long, high long"
-    parts = small.repartition(shards, "anchor").mapInArrow(_shard(length), spans)
-    counted = large.mapInArrow(_strings(length), "anchor long, print_a long, print_b long, low long, x long, y long")
+    parts = small.repartition(shards, "anchor").mapInArrow(lean(_shard(length)), spans)
+    counted = large.mapInArrow(lean(_strings(length)), "anchor long, print_a long, print_b long, low long, x long, y long")
     repeated = counted.groupBy("x", "y").agg(F.count("*").alias("k")).filter("k > 1").select("x", "y")
     crowded = counted.join(repeated, ["x", "y"]).select(*KEY, "low", (F.col("low") + length).alias("high"))
     whole = groups.filter("copies > 1").select(*KEY, F.lit(0).cast("long").alias("low"), F.floor(F.col("size") / 256).cast("long").alias("high"))
@@ -231,7 +231,7 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key, marks = _marked(docs, id_col, text_col, length, options)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *key)
     return source.join(marks, ["__row", "__twin"], "left").select("doc_id", "text", F.col("__marks").alias("marks")).mapInArrow(
-        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:

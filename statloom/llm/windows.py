@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm import tokens
-from statloom.llm.store import keep, settled
+from statloom.llm.store import keep, lean, settled
 
 WINDOW = 20
 CORE = 10  # a window is counted by the rarest-hashed run of so many words inside it
@@ -227,14 +227,14 @@ def core_bits(docs: DataFrame, values, rate: float, cells: int | None = None) ->
     if cells is None:
         n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
         cells = min(max(1 << int(8 * n * rate).bit_length(), SHARD), LARGEST)
-    return _merged(docs.select("text").mapInArrow(_sketches(values, cells), SKETCH), cells), cells
+    return _merged(docs.select("text").mapInArrow(lean(_sketches(values, cells)), SKETCH), cells), cells
 
 
 SKETCH = "shard long, once binary, twice binary"
 
 
 def _merged(sketches: DataFrame, cells: int) -> np.ndarray:
-    rows = sketches.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge, "shard long, bits binary")
+    rows = sketches.repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(_merge), "shard long, bits binary")
     bits = np.zeros(cells // 8, np.uint8)
     for r in rows.toLocalIterator():
         bits[r["shard"] * (SHARD // 8):(r["shard"] + 1) * (SHARD // 8)] = np.frombuffer(r["bits"], np.uint8)
@@ -263,12 +263,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, core: int = CORE, ce
     bits, cells = core_bits(docs, _core_values(window, core), 1 / (3 * (window - core + 2)), cells)
     context, texts = docs.sparkSession.sparkContext, docs.select("doc_id", "twin", "text")
     row = "doc_id long, twin long, start int"
-    parts = keep(texts.mapInArrow(_surroundings(window, core, cells, context.broadcast(bits)),
+    parts = keep(texts.mapInArrow(lean(_surroundings(window, core, cells, context.broadcast(bits))),
                                   f"core long, print long, {row}, n int, again boolean"), "stretches")
     groups = keep(parts.filter("not again").groupBy("core", "print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "groups")
     mixed = groups.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("core")
-    mixed = context.broadcast(_merged(mixed.mapInArrow(_bits_of(cells), SKETCH), cells))
-    single = keep(texts.mapInArrow(_windows(window, core, cells, mixed), f"hash long, check int, {row}, again boolean"), "windows")
+    mixed = context.broadcast(_merged(mixed.mapInArrow(lean(_bits_of(cells)), SKETCH), cells))
+    single = keep(texts.mapInArrow(lean(_windows(window, core, cells, mixed)), f"hash long, check int, {row}, again boolean"), "windows")
 
     def later(found: DataFrame, keys: list[str], lowest: DataFrame) -> DataFrame:
         known = lowest.filter("low < high").select(*keys, "low")
@@ -293,5 +293,5 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.xxhash64(text).alias("twin"), text.alias("text"))
     marks = repeated_windows(source, window, core).groupBy("doc_id", "twin").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
     cut = source.join(marks, ["doc_id", "twin"], "left").select("doc_id", "text", "marks").mapInArrow(
-        _cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+        lean(_cut(window)), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return cut.withColumn("doc_id", F.nullif("doc_id", last))
