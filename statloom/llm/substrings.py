@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm import suffix, tokens
-from statloom.llm.store import keep, lean, settled
+from statloom.llm.store import keep, lean, release, settled
 from statloom.llm.windows import core_bits, counted
 
 LENGTH = 200
@@ -186,7 +186,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cells: int | None = No
 
 def _cut(batches):
     """Digest and rest of each text without its marked ranges."""
-    for batch in batches:
+    for batch in tokens.pieces(batches, "text"):
         counts, removed, spans, digests, rest = [], [], [], [], []
         for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks")):
             raw = (text or "").encode("utf-8", "surrogatepass")
@@ -244,9 +244,11 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     @F.arrow_udf("string")
     def rest(text: pa.Array, cuts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([text, text, cuts], ["doc_id", "text", "marks"])
-        kept = next(_cut([batch])).column("kept").to_pylist()
-        return pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+        parts = [pa.array([k.decode("utf-8", "ignore") for k in found.column("kept").to_pylist()], pa.string()) for found in _cut([batch])]
+        release()
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
+    rest = rest.asNondeterministic()  # or a filter on the text would cut every text again
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     joined = docs.select(*key, row).join(marks, ["__row", "__twin"], "left")
     text = F.when(F.col("__marks").isNull(), F.col(f"row.`{text_col}`")).otherwise(rest(F.col(f"row.`{text_col}`").cast("string"), F.col("__marks")))

@@ -80,6 +80,14 @@ def slices(offsets: np.ndarray, size: int = BLOCK):
         row = end
 
 
+def pieces(batches, column: str):
+    """Record batches cut so that each holds few megabytes of the text column, or one row."""
+    for batch in batches:
+        _, offsets = text_buffer(batch.column(column))
+        for low, high in slices(offsets, 2 * BLOCK):
+            yield batch.slice(low, high - low)
+
+
 _BYTE_VALUES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(BASE))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

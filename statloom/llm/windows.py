@@ -195,7 +195,7 @@ def _bits_of(cells: int):
 def _cut(window: int):
     """Digest of the words outside the marked windows."""
     def run(batches):
-        for batch in batches:
+        for batch in tokens.pieces(batches, "text"):
             texts = batch.column("text").to_pylist()
             n_words, n_removed, digests = [], [], []
             for text, marks in zip(texts, batch.column("marks")):
