@@ -71,12 +71,13 @@ def test_running_matches_cumsum_with_hot_cluster(spark):
     assert np.allclose(back.cum_v, want.v[::-1].cumsum()[::-1])
 
 
-@pytest.mark.parametrize("n_bins", [2, 256])
-def test_quantiles_with_one_hot_key(spark, n_bins):
+@pytest.mark.parametrize("parts", [2, 1 << 21])
+def test_quantiles_with_one_hot_key(spark, parts, monkeypatch):
+    monkeypatch.setattr(ordered, "FINE", parts)
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"k": ["hot"] * 900 + ["a"] * 37 + ["b"], "x": np.round(rng.lognormal(size=938), 2)})
     probs = [0.0, 0.1, 0.5, 0.77, 1.0]
-    got = ordered.quantiles(spark.createDataFrame(pdf), ["x"], probs, ["k"], n_bins).toPandas()
+    got = ordered.quantiles(spark.createDataFrame(pdf), ["x"], probs, ["k"]).toPandas()
     for k, part in pdf.groupby("k"):
         for p in probs:
             value = got[(got.k == k) & (got.prob == p)].q.iloc[0]
