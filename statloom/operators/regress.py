@@ -7,7 +7,7 @@ form in the fold's own Gramian.
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 import numpy as np
 import pandas as pd
@@ -157,36 +157,81 @@ def step_ols(df: DataFrame, y: Column, cols: dict[str, Column]) -> DataFrame:
     return gram(df, [F.lit(1.0), *cols.values(), y]).select(F.explode(walk("n", "g")).alias("r")).select("r.*")
 
 
+SINGULAR = 1e-12  # added to the diagonal of a correlation matrix so that repeated columns can be solved
+
+
+def best_sets(g: np.ndarray, most: int) -> dict[int, tuple[int, ...]]:
+    """The columns of smallest residual sum of squares for each size up to ``most``, by branch and bound.
+
+    ``g`` holds correlations, the response last.  A node keeps some columns for good and may drop the others.  Dropping
+    a set D costs at least its largest single cost, and at least the sum of the single costs divided by the
+    largest eigenvalue of the scaled inverse of what may go; a branch ends when that cannot beat a known set of any
+    size in its reach.  Exact at any width; the number of nodes depends on how alike the columns are.
+    """
+    width = len(g) - 1
+    a, b, every = g[:-1, :-1] + SINGULAR * np.eye(width), g[:-1, -1], g[-1, -1]
+    rss = np.full(width + 1, np.inf)
+    known: dict[int, tuple[int, ...]] = {}
+
+    def offer(kept, value):
+        if 0 < len(kept) <= most and value < rss[len(kept)]:
+            rss[len(kept)], known[len(kept)] = value, tuple(sorted(kept))
+
+    todo = [(list(range(width)), 0, np.full(width + 1, -np.inf))]
+    while todo:
+        kept, fixed, low = todo.pop()
+        reach = slice(max(fixed, 1), min(len(kept), most) + 1)
+        if not np.any(low[reach] < rss[reach]):
+            continue
+        inverse = np.linalg.inv(a[np.ix_(kept, kept)])
+        beta = inverse @ b[kept]
+        here = every - b[kept] @ beta
+        offer(kept, here)
+        spread = np.sqrt(np.diag(inverse))
+        free = np.arange(fixed, len(kept))
+        cost = (beta[free] / spread[free]) ** 2
+        order = np.argsort(-cost, kind="stable")
+        free, cost = free[order], cost[order]
+        if not len(free):
+            continue
+        scaled = inverse[np.ix_(free, free)] / np.outer(spread[free], spread[free])
+        top = max(np.linalg.eigvalsh(scaled)[-1], 1.0)
+        cheap = np.concatenate([[0.0], np.cumsum(cost[::-1])])  # cheap[k]: the k smallest costs
+        for i, j in enumerate(free):
+            rest = [kept[k] for k in range(fixed)] + [kept[k] for k in free[:i]] + [kept[k] for k in free[i + 1:]]
+            offer(rest, here + cost[i])
+            sizes = np.arange(len(kept) - 1, max(fixed + i, 1) - 1, -1)  # one, two, ... columns fewer
+            if not len(sizes):
+                continue
+            low = np.full(width + 1, np.inf)
+            low[sizes] = here + np.maximum(cost[i], (cost[i] + cheap[:len(sizes)]) / top)
+            low[len(kept) - 1] = np.inf  # that set is known now
+            if np.any(low[:most + 1] < rss[:most + 1]):
+                todo.append((rest, fixed + i, low))
+    return known
+
+
 def best_subset(df: DataFrame, y: Column, cols: dict[str, Column], max_size: int = 16) -> DataFrame:
-    """Best model of every size by residual sum of squares, searched on the Gramian."""
+    """Best model of every size by residual sum of squares, searched on the Gramian by :func:`best_sets`."""
     names = list(cols)
-    if len(names) > 20:
-        raise ValueError("exhaustive search is for at most 20 columns")
 
     @vector_udf("array<struct<size:int,variables:string,rss:double,r2:double,adj_r2:double,bic:double>>")
     def search(n: pd.Series, g: pd.Series) -> pd.Series:
         out = []
         for count, flat in zip(n, g):
             m = unpack(flat)
-            s = np.sqrt(np.maximum(np.diag(m), 1e-300))
-            z = m / np.outer(s, s)
-            sst = m[-1, -1] - m[0, -1] ** 2 / count
-            found = []
-            for size in range(1, min(max_size, len(names)) + 1):
-                sets = np.array([(0, *[i + 1 for i in c]) for c in combinations(range(len(names)), size)])
-                best = (np.inf, None)
-                for part in np.array_split(sets, max(1, len(sets) // 4096)):
-                    a = z[part[:, :, None], part[:, None, :]] + 1e-13 * np.eye(size + 1)
-                    b = z[part, -1]
-                    beta = np.linalg.solve(a, b[..., None])[..., 0]
-                    rss = (z[-1, -1] - np.einsum("ij,ij->i", b, beta)) * m[-1, -1]
-                    i = int(np.argmin(rss))
-                    best = min(best, (float(rss[i]), tuple(part[i])))
-                rss = _rss(m, list(best[1]))
-                r2 = 1 - rss / sst
-                found.append({"size": size, "variables": ", ".join(names[i - 1] for i in best[1][1:]), "rss": rss, "r2": r2,
-                              "adj_r2": 1 - (1 - r2) * (count - 1) / (count - size - 1),
-                              "bic": float(count * np.log(rss / sst) + (size + 1) * np.log(count))})
+            centred = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / count
+            flatline = np.diag(centred) <= 1e-12 * np.maximum(np.diag(m)[1:], 1e-300)
+            s = np.sqrt(np.where(flatline, 1.0, np.diag(centred)))
+            z = np.where(flatline[:, None] | flatline[None, :], 0.0, centred / np.outer(s, s)) + np.diag(flatline * 1.0)
+            sst, found = centred[-1, -1], []
+            for size, kept in sorted(best_sets(z, min(max_size, len(names))).items()):
+                rss = _rss(m, [0, *[i + 1 for i in kept]])
+                r2 = 1 - rss / sst if sst > 0 else 0.0
+                free = count - size - 1
+                found.append({"size": size, "variables": ", ".join(names[i] for i in kept), "rss": rss, "r2": r2,
+                              "adj_r2": 1 - (1 - r2) * (count - 1) / free if free > 0 else math.nan,
+                              "bic": float(count * np.log(rss / sst) + (size + 1) * np.log(count)) if rss > 0 and sst > 0 else -math.inf})
             out.append(found)
         return pd.Series(out)
 

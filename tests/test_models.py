@@ -104,6 +104,34 @@ def test_subset_and_stepwise(spark, data):
     assert kept == set(best[1])
 
 
+def test_subset_by_branch_and_bound():
+    rng = np.random.default_rng(5)
+
+    def least(g, size):
+        return min(g[-1, -1] - g[list(c), -1] @ np.linalg.solve(g[np.ix_(c, c)], g[list(c), -1]) for c in combinations(range(len(g) - 1), size))
+
+    for mixed in (0.0, 0.4):
+        x = rng.normal(size=(150, 15)) @ (np.eye(15) + mixed * rng.normal(size=(15, 15)))
+        g = np.corrcoef(np.c_[x, x[:, :3].sum(1) + 2 * rng.normal(size=150)], rowvar=False)
+        found = regress.best_sets(g, 15)
+        assert sorted(found) == list(range(1, 16))
+        for size in (1, 2, 4, 7, 11, 14):
+            c = list(found[size])
+            assert g[-1, -1] - g[c, -1] @ np.linalg.solve(g[np.ix_(c, c)], g[c, -1]) == pytest.approx(least(g, size), rel=1e-9)
+    x = rng.normal(size=(500, 40))
+    y = x[:, :6] @ np.arange(1, 7) + rng.normal(size=500)
+    wide = regress.best_sets(np.corrcoef(np.c_[x, y], rowvar=False), 16)
+    assert wide[6] == (0, 1, 2, 3, 4, 5) and len(wide) == 16
+
+
+def test_subset_with_repeated_and_constant_columns(spark, data):
+    df = spark.createDataFrame(data).withColumn("a2", F.col("a")).withColumn("flat", F.lit(3.0))
+    got = regress.best_subset(df, Y, {**COLS, "a2": F.col("a2"), "flat": F.col("flat")}, 3).toPandas()
+    for r in got.itertuples():
+        assert r.rss == pytest.approx(min(rss(data, c) for c in combinations("abcd", r.size)))
+        assert not {"a", "a2"} <= set(r.variables.split(", ")) and "flat" not in r.variables
+
+
 def test_stratified_split_counts(spark, data):
     out = regress.split_stratified(spark.createDataFrame(data), "y", ["id"], 0.75).toPandas()
     for _, part in out.groupby("part"):
