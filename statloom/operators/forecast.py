@@ -21,7 +21,7 @@ from statloom.functions.scalars import box_cox, inv_box_cox, norm_cdf, norm_pdf
 from statloom.functions.tails import normal_score
 from statloom.functions.vectors import vector_udf
 from statloom.operators.linear import gram, least_squares, linear_predictor, quadratic_form, unpack
-from statloom.operators.series import _levinson, acf, along, autocov, lagged, ndiffs, portmanteau
+from statloom.operators.series import _levinson, acf, along, autocov, lagged, ndiffs, nsdiffs, portmanteau
 from statloom.operators.tabulate import histogram
 
 
@@ -225,6 +225,139 @@ def auto_arima(df, keys, index, y, h, lam=None, orders=ORDERS) -> DataFrame:
     return fc_arima(rows, keys, index, y, h, fits=best)
 
 
+SEASONAL = [(p, q, sp, sq) for p in (0, 1, 2) for q in (0, 1) for sp in (0, 1) for sq in (0, 1)]
+
+
+def _seasonal_model(m: np.ndarray, ar: list[int], ma: list[int], order, period: int, constant: bool, rounds: int = 200):
+    """(const, lag weights of the series, of the shocks, rss) of one multiplicative order on the lag Gramian ``m``.
+
+    The rows of ``m`` are 1, the lags ``ar``, the lags ``ma`` and the response.  (1 - phi(B)) (1 - Phi(B^s)) and its
+    like for the shocks are linear in the plain weights when the seasonal ones are held, and the other way round;
+    the two least-squares steps take turns until the residual sum stays.
+    """
+    p, q, sp, sq = order
+    place = {("a", k): 1 + i for i, k in enumerate(ar)} | {("e", k): 1 + len(ar) + i for i, k in enumerate(ma)}
+    a, b = m[:-1, :-1], m[:-1, -1]
+    plain = [("a", k) for k in range(1, p + 1)] + [("e", k) for k in range(1, q + 1)]
+    season = [("a", k * period) for k in range(1, sp + 1)] + [("e", k * period) for k in range(1, sq + 1)]
+
+    def step(own, held, weights):
+        offset, columns = np.zeros(len(a)), np.zeros((len(a), len(own) + constant))
+        for side, lag in held:
+            offset[place[side, lag]] += weights[side, lag]
+        for i, (side, lag) in enumerate(own):
+            columns[place[side, lag], i] += 1.0
+            for other, more in held:
+                if other == side:
+                    columns[place[side, lag + more], i] += weights[other, more] * (-1.0 if side == "a" else 1.0)
+        if constant:
+            columns[0, -1] = 1.0
+        x = np.linalg.lstsq(columns.T @ a @ columns, columns.T @ (b - a @ offset), rcond=None)[0]
+        full = offset + columns @ x
+        return dict(zip(own, x)), full, float(m[-1, -1] - 2 * full @ b + full @ a @ full)
+
+    full, rss = np.zeros(len(a)), m[-1, -1]
+    low, high, last = {}, dict.fromkeys(season, 0.0), math.inf
+    for _ in range(rounds):
+        low, full, rss = step(plain, season, high)
+        if not season:
+            break
+        high, full, rss = step(season, plain, low)
+        if last - rss <= 1e-12 * max(m[-1, -1], 1e-300):
+            break
+        last = rss
+    return float(full[0]), full[1:1 + len(ar)], full[1 + len(ar):], max(rss, 0.0)
+
+
+def sarima_fits(df, keys, index, y, orders=SEASONAL, diffs=(0, 0), period: int = 7, long_order: int | None = None,
+                constant: bool = True) -> DataFrame:
+    """(keys, p, d, q, sp, sd, sq, const, phi, theta, sigma2, aic, etail) for seasonal orders (p, q, sp, sq).
+
+    ``diffs`` is (d, sd) for all keys or a table (keys, d, sd) with 0 or 1 of each, so all keys and orders share one lag
+    Gramian.  ``phi`` and ``theta`` are the multiplied-out weights, ``phi`` with the differences in it: the model is
+    y = const + sum phi_k y_(t-k) + shocks.  Shocks are residuals of an autoregression of ``long_order`` lags
+    (three periods unless given).  A constant is fitted where at most one difference is taken.
+    """
+    pm, qm, spm, sqm = (max(o[i] for o in orders) for i in range(4))
+    reach = lambda n, k: sorted({i + period * j for i in range(n + 1) for j in range(k + 1)} - {0})
+    ar, ma = reach(pm, spm), reach(qm, sqm)
+    long_order = 3 * period if long_order is None else long_order
+    w = along(keys, index)
+    rows = df.select(*keys, index, F.col(y).cast("double").alias("__y"))
+    if isinstance(diffs, DataFrame):
+        rows = join_null_safe(rows, diffs.select(*keys, F.col("d").alias("__d"), F.col("sd").alias("__sd")), keys)
+    else:
+        rows = rows.withColumns({"__d": F.lit(diffs[0]), "__sd": F.lit(diffs[1])})
+    rows = rows.withColumn("__s", F.col("__y") - F.when(F.col("__sd") == 0, 0.0).otherwise(F.lag("__y", period).over(w)))
+    rows = rows.withColumn("__w", F.col("__s") - F.when(F.col("__d") == 0, 0.0).otherwise(F.lag("__s").over(w)))
+    most = max([long_order if ma else 0, *ar, 1])
+    rows = lagged(rows.select(*keys, index, "__w", "__d", "__sd"), keys, index, "__w", most, "__a")
+    if ma:
+        past = [F.lit(1.0), *[F.col(f"__a{k}") for k in range(1, long_order + 1)]]
+        long = least_squares(rows, F.col("__w"), past, keys).select(*keys, F.col("beta").alias("__beta"))
+        rows = join_null_safe(rows, long, keys).withColumn("__e", F.col("__w") - linear_predictor("__beta", past)).drop("__beta")
+        rows = lagged(rows, keys, index, "__e", max(ma), "__b")
+    g = gram(rows, [F.lit(1.0), *[F.col(f"__a{k}") for k in ar], *[F.col(f"__b{k}") for k in ma], F.col("__w")], keys)
+    taken = rows.groupBy(*keys).agg(F.max("__d").alias("d"), F.max("__sd").alias("sd"))
+
+    @vector_udf("array<struct<p:int,d:int,q:int,sp:int,sd:int,sq:int,const:double,phi:array<double>,theta:array<double>,sigma2:double,aic:double>>")
+    def solve(n: pd.Series, g: pd.Series, d: pd.Series, sd: pd.Series) -> pd.Series:
+        found = []
+        for size, flat, one, seasonal in zip(n, g, d, sd):
+            m, models = unpack(flat), []
+            drift = constant and one + seasonal < 2
+            level = np.convolve([1.0, -1.0] if one else [1.0], [1.0, *[0.0] * (period - 1), -1.0] if seasonal else [1.0])
+            for order in orders:
+                c, phi, theta, rss = _seasonal_model(m, ar, ma, order, period, drift)
+                poly, shocks = np.zeros(max(ar, default=0) + 1), np.zeros(max(ma, default=0))
+                poly[0], poly[ar] = 1.0, -phi
+                shocks[np.array(ma, dtype=int) - 1] = theta
+                p, q, sp, sq = order
+                s2 = rss / size
+                models.append({"p": p, "d": int(one), "q": q, "sp": sp, "sd": int(seasonal), "sq": sq, "const": c,
+                               "phi": (-np.convolve(poly, level)[1:]).tolist(), "theta": shocks.tolist(), "sigma2": float(s2),
+                               "aic": float(size * (math.log(2 * math.pi * s2) + 1) + 2 * (sum(order) + drift + 1)) if s2 > 0 else -math.inf})
+            found.append(models)
+        return pd.Series(found)
+
+    fits = join_null_safe(g, taken, keys)
+    fits = fits.select(*keys, F.explode(solve("n", "g", "d", "sd")).alias("r")).select(*keys, "r.*")
+    if not ma:
+        return fits.withColumn("etail", F.array().cast("array<double>"))
+    shocks = last_values(rows.filter(F.col("__e").isNotNull()), keys, index, "__e", max(ma)).select(*keys, F.col("tail").alias("etail"))
+    return join_null_safe(fits, shocks, keys)
+
+
+def fc_sarima(df, keys, index, y, h, orders=SEASONAL, diffs=(0, 0), period: int = 7, lam=None, constant: bool = True,
+              fits: DataFrame | None = None) -> DataFrame:
+    """Forecasts of every seasonal order in ``orders`` (or of the given fits)."""
+    rows = transformed(df, y, lam)
+    if fits is None:
+        fits = sarima_fits(rows, keys, index, y, orders, diffs, period, constant=constant)
+        reach = max(o[0] + period * o[2] for o in orders)
+    else:
+        reach = max(o[0] + period * o[2] for o in SEASONAL)
+    both = join_null_safe(fits, last_values(rows, keys, index, y, reach + period + 1), keys)
+    both = both.withColumn("path", _arima_path("tail", "etail", "const", "phi", "theta", "sigma2", F.lit(0), F.lit(h)))
+    name = F.format_string(f"arima(%d,%d,%d)(%d,%d,%d)[{period}]", "p", "d", "q", "sp", "sd", "sq")
+    return _unroll(both, keys, index, name)
+
+
+def auto_sarima(df, keys, index, y, h, period: int = 7, lam=None) -> DataFrame:
+    """Automatic seasonal orders per key: a seasonal difference by the strength of the season, a plain one by the
+    stationarity test of what is left, then the order of ``SEASONAL`` with the smallest AIC."""
+    rows = transformed(df, y, lam)
+    season = nsdiffs(rows, keys, index, y, F.pmod(F.unix_date(index), F.lit(period)), period)
+    season = season.select(*keys, F.coalesce("nsdiffs", F.lit(0)).alias("sd"))
+    left = join_null_safe(rows.select(*keys, index, F.col(y).alias("__y")), season, keys)
+    left = left.withColumn("__w", F.col("__y") - F.when(F.col("sd") == 0, 0.0).otherwise(F.lag("__y", period).over(along(keys, index))))
+    need = ndiffs(left.filter(F.col("__w").isNotNull()), keys, index, "__w", 1).select(*keys, F.col("ndiffs").alias("d"))
+    fits = sarima_fits(rows, keys, index, y, SEASONAL, join_null_safe(season, need, keys), period)
+    rest = [c for c in fits.columns if c not in keys]
+    best = fits.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("aic", "p", "q", "sp", "sq")).alias("r")).select(*keys, "r.*")
+    return fc_sarima(rows, keys, index, y, h, period=period, fits=best)
+
+
 # ---------------------------------------------------------------- smoothing
 
 def sorted_series(df, keys, index, y) -> DataFrame:

@@ -104,6 +104,21 @@ def fc_auto_arima_query(spark, d):
     return fc.auto_arima(train(spark, d), K, T, Y, 7)
 
 
+@query("fc_sarima", f"""WITH {TRAIN}, w AS (SELECT *, y - lag(y, 7) OVER (PARTITION BY key ORDER BY day) AS w FROM tr),
+l AS (SELECT *, lag(w, 7) OVER (PARTITION BY key ORDER BY day) AS w7 FROM w),
+b AS (SELECT key, sum(w * w7) / sum(w7 * w7) AS phi, (sum(w * w) - power(sum(w * w7), 2) / sum(w7 * w7)) / count(*) AS s2 FROM l WHERE w7 IS NOT NULL GROUP BY key), {hh(7)}
+SELECT b.key, 'arima(0,0,0)(1,1,0)[7]' AS model, h, DATE '2000-12-31' + h AS day, round(y + phi * w, 4) AS mean, round(sqrt(s2), 4) AS sd
+FROM b CROSS JOIN hh JOIN w ON w.key = b.key AND w.day = DATE '2000-12-31' + h - 7""")
+def fc_sarima_query(spark, d):
+    """A seasonal autoregression of seasonal differences, the order that SQL can solve."""
+    return short(fc.fc_sarima(train(spark, d), K, T, Y, 7, [(0, 0, 1, 0)], (0, 1), constant=False), 4)
+
+
+@query("fc_auto_sarima")
+def fc_auto_sarima_query(spark, d):
+    return fc.auto_sarima(train(spark, d), K, T, Y, 7)
+
+
 def _ses_sql():
     return f"""WITH {TRAIN}, a AS (SELECT key, list(y ORDER BY day) AS a FROM tr GROUP BY key),
 g AS (SELECT key, i, i / 10.0::DOUBLE AS al, list_reduce(list_transform(a, lambda y: {{'l': y, 's': 0.0::DOUBLE}}), lambda s, x: {{'l': s.l + i / 10.0::DOUBLE * (x.l - s.l), 's': s.s + (x.l - s.l) * (x.l - s.l)}}) AS r, len(a) AS n FROM a, range(1, 10) t(i)),

@@ -75,6 +75,51 @@ def test_arma_grid(spark):
     assert abs(far["mean"]) < 0.05 and far["sd"] == pytest.approx(np.sqrt(one.sigma2 * (1 + (one.phi[0] + one.theta[0]) ** 2 / (1 - one.phi[0] ** 2))), rel=1e-3)
 
 
+def weekly(n=900, phi=0.5, season=0.6, theta=0.0, seed=8):
+    """(1 - phi B)(1 - season B^7) y = e + theta e_(t-1)."""
+    rng = np.random.default_rng(seed)
+    e, y = rng.normal(size=n + 200), np.zeros(n + 200)
+    for t in range(8, n + 200):
+        y[t] = phi * y[t - 1] + season * y[t - 7] - phi * season * y[t - 8] + e[t] + theta * e[t - 1]
+    return y[200:]
+
+
+def test_seasonal_order_is_the_least_squares_product():
+    y = weekly()
+    x = np.column_stack([y[8 - k:len(y) - k] for k in (1, 7, 8, 0)])
+    m = np.column_stack([np.ones(len(x)), x])
+    c, phi, theta, rss = fc._seasonal_model(m.T @ m, [1, 7, 8], [], (1, 0, 1, 0), 7, False)
+    assert c == 0 and len(theta) == 0 and phi[2] == pytest.approx(-phi[0] * phi[1])
+    sse = lambda a, b: ((x[:, 3] - a * x[:, 0] - b * x[:, 1] + a * b * x[:, 2]) ** 2).sum()
+    assert rss == pytest.approx(sse(phi[0], phi[1]), rel=1e-9)
+    near = [sse(phi[0] + i / 500, phi[1] + j / 500) for i in range(-25, 26) for j in range(-25, 26)]
+    assert min(near) >= rss * (1 - 1e-9)
+    assert phi[0] == pytest.approx(0.5, abs=0.07) and phi[1] == pytest.approx(0.6, abs=0.07)
+
+
+def test_automatic_seasonal_orders(spark):
+    noise = np.random.default_rng(9).normal(size=900)
+    steps = np.tile([0, 9, 14, 3, -6, -12, -8.0], 129)[:900]
+    df = daily(spark, {"week": weekly(900, 0.3, 0.5, seed=11), "plain": ar_series(900), "fixed": steps + np.cumsum(noise) / 9}, dt.date(2010, 1, 1))
+    got = {r["k"]: r for r in fc.auto_sarima(df, K, T, Y, 14).filter("h = 1").collect()}
+    order = lambda k: [int(v) for v in got[k]["model"].replace("arima(", "").replace(")[7]", "").replace(")(", ",").split(",")]
+    assert order("week")[0] >= 1 and order("week")[1] == 0 and order("week")[3] == 1 and order("week")[4] == 0
+    assert order("plain")[4] == 0 and order("fixed")[4] == 1
+    y, one = weekly(900, 0.3, 0.5, seed=11), got["week"]
+    assert one["mean"] == pytest.approx(0.3 * y[-1] + 0.5 * y[-7] - 0.15 * y[-8], abs=0.4) and one["sd"] == pytest.approx(1, abs=0.1)
+
+
+def test_seasonal_shocks_are_found(spark):
+    rng = np.random.default_rng(10)
+    e = rng.normal(size=2007)
+    y = e[7:] + 0.5 * e[:-7]
+    df = daily(spark, {"m": y}, dt.date(2008, 1, 1))
+    fit = fc.sarima_fits(df, K, T, Y, [(0, 0, 0, 1), (0, 0, 1, 0)]).toPandas().set_index(["sp", "sq"])
+    assert fit.theta[(0, 1)][6] == pytest.approx(0.5, abs=0.08) and fit.aic[(0, 1)] < fit.aic[(1, 0)]
+    twice = fc.sarima_fits(df, K, T, Y, [(0, 0, 0, 0)], (1, 1)).first()
+    assert twice["const"] == 0 and [k + 1 for k, v in enumerate(twice["phi"]) if v] == [1, 7, 8]
+
+
 def test_ets_finds_a_season(spark):
     rng = np.random.default_rng(5)
     season = np.array([0, 5, 9, 3, -4, -8, -5.0])
