@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.nulls import join_null_safe
+from statloom.session import cut
 
 
 def hier_levels(df: DataFrame, index: list[str], sets: list[list[str]], value: Column, out: str = "y") -> DataFrame:
@@ -62,18 +63,49 @@ def recon_wls(leaf: DataFrame, total: DataFrame, at: list[str], leaf_var: str, t
     return rows.withColumn("reconciled", F.col(mean) + share * F.col("__gap")).drop("__t", "__gap", "__m", "__tv", "__lv")
 
 
-def _cross_norm(rows: DataFrame, k: int) -> DataFrame:
-    """One row ``norm2``: squared Frobenius norm of X'X for rows holding an array ``x`` of length ``k``."""
+def _cross_norm(rows: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """One row ``norm2``: squared Frobenius norm of X'X for rows holding an array ``x`` of length ``k``.
+
+    The columns are cut into blocks, and a task holds the products of one pair of blocks at a time, whatever ``k`` is.
+    Several pairs are dealt by pair and sorted, so each is summed in one run over its rows; a single one is summed where the rows are.
+    """
+    count = -(-k // block)
+    pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(count) for j in range(i, count)]
+    part = lambda c: F.slice("x", c * block + 1, F.lit(block))
+    dealt = rows.select("x", F.explode(F.array(*pairs)).alias("p")).select(
+        F.col("p.i").alias("i"), F.col("p.j").alias("j"), part(F.col("p.i")).alias("a"), part(F.col("p.j")).alias("b"))
+    if count > 1:
+        dealt = dealt.repartition(len(pairs), "i", "j").sortWithinPartitions("i", "j")
+
     def partial(batches):
-        held = np.zeros((k, k))
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            held += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(list(held), pa.list_(pa.float64()))], ["i", "v"])
+        pair, held = None, None
+
+        def table():
+            n = held.shape[0]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([pair[0]] * n, pa.int32()), pa.array([pair[1]] * n, pa.int32()), pa.array(range(n), pa.int32()),
+                 pa.array(list(held), pa.list_(pa.float64()))], ["i", "j", "r", "v"])
 
-    parts = rows.select("x").mapInArrow(partial, "i int, v array<double>")
-    cells = parts.select("i", F.posexplode("v").alias("j", "c")).groupBy("i", "j").agg(F.sum("c").alias("c"))
-    return cells.agg(F.sum(F.col("c") * F.col("c")).alias("norm2"))
+        for batch in batches:
+            i, j = (batch.column(c).to_numpy() for c in "ij")
+            cuts = np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(i)]):
+                if low == high:
+                    continue
+                a, b = (batch.column(c).slice(low, high - low).flatten().to_numpy(zero_copy_only=False).reshape(high - low, -1) for c in "ab")
+                now = (int(i[low]), int(j[low]))
+                if now != pair:
+                    if pair is not None:
+                        yield table()
+                    pair, held = now, np.zeros((a.shape[1], b.shape[1]))
+                held += a.T @ b
+        if pair is not None:
+            yield table()
+
+    parts = dealt.mapInArrow(partial, "i int, j int, r int, v array<double>")
+    cells = parts.select("i", "j", "r", F.posexplode("v").alias("s", "c")).groupBy("i", "j", "r", "s").agg(F.sum("c").alias("c"))
+    twice = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
+    return cells.agg(F.sum(twice * F.col("c") * F.col("c")).alias("norm2"))
 
 
 def _shrinkage(z: DataFrame, key: str, index: str) -> DataFrame:
@@ -104,8 +136,9 @@ def shrunk_weights(resid: DataFrame, key: str, index: str, e: str, total: str, s
 
     ``resid`` holds complete residual series of every leaf and of the total, whose key is
     ``total``.  With c = total - sum of leaves, the plain covariances with c need one more
-    series and no pairs.
+    series and no pairs.  The residuals are stored once, as each sum reads them.
     """
+    resid = cut(resid.select(key, index, F.col(e).cast("double").alias(e)))
     scale = resid.groupBy(key).agg(F.sqrt(F.avg(F.col(e) * F.col(e))).alias("__sd"))
     rows = join_null_safe(resid.select(key, index, F.col(e).alias("d")), scale, [key])
     if shrink is None:

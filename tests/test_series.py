@@ -165,6 +165,14 @@ def test_crps_of_a_perfect_wide_forecast(spark):
 
 
 @pytest.mark.parametrize("n_dates", [40, 4])
+def test_norm_by_blocks_of_columns(spark):
+    x = np.random.default_rng(12).normal(size=(90, 37))
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(4)
+    want = ((x.T @ x) ** 2).sum()
+    for block in (5, 8, 37, 512):
+        assert hierarchy._cross_norm(rows, 37, block).first()["norm2"] == pytest.approx(want)
+
+
 def test_reconciliation_equals_matrix_projection(spark, n_dates):
     """Also with fewer dates than series, where the other side of the cross product is used."""
     rng = np.random.default_rng(8)
