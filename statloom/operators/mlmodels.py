@@ -1,4 +1,4 @@
-"""Models fitted by pyspark.ml: logistic, trees, forests, clusters, mixtures."""
+"""Logistic models and their searches; trees, forests and mixtures fitted by pyspark.ml."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ import numpy as np
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.operators import logits
 from statloom.operators.regress import fold_column
 from statloom.operators.tabulate import confusion
 
@@ -31,74 +32,66 @@ def _local(spark, rows: list[tuple], schema: str) -> DataFrame:
 
 # ---------------------------------------------------------------- logistic
 
-def logistic_model(ready: DataFrame):
-    glr = GeneralizedLinearRegression(family="binomial", labelCol="label", featuresCol="features", maxIter=50, tol=1e-10)
-    return (glr.setWeightCol("weight") if "weight" in ready.columns else glr).fit(ready)
-
-
-def distinct_patterns(df: DataFrame, label: Column, cols: dict[str, Column]) -> DataFrame:
-    """One row for each combination of label and predictors, with the number of rows as ``weight``.
-
-    The iterations of a fit then read as many rows as there are patterns; the likelihood is the same.
-    """
-    names = [f"__f{i}" for i in range(len(cols))]
-    rows = df.select(label.cast("double").alias("label"), *[c.cast("double").alias(n) for n, c in zip(names, cols.values())]).dropna()
-    counted = rows.groupBy("label", *names).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return VectorAssembler(inputCols=names, outputCol="features").transform(counted).drop(*names)
-
-
 def logistic(df: DataFrame, flag: Column, cols: dict[str, Column]) -> DataFrame:
     """term, estimate, std_error, z, p_value, and the model's AIC on every line."""
-    ready = distinct_patterns(df, flag, cols).persist()
-    model = logistic_model(ready)
-    s = model.summary
-    coef = [float(v) for v in model.coefficients] + [float(model.intercept)]
-    lines = list(zip([*cols, "(Intercept)"], coef, s.coefficientStandardErrors, s.tValues, s.pValues))
-    ready.unpersist()
-    return _local(df.sparkSession, [(*map(lambda v: v if isinstance(v, str) else float(v), line), float(s.aic)) for line in lines],
-                  "term string, estimate double, std_error double, z double, p_value double, aic double")
+    lines = logits.patterns(df, flag, list(cols.values())).persist()
+    fit = logits.fit_all(lines, len(cols), [list(range(len(cols)))])[0]
+    lines.unpersist()
+    table = []
+    for i, name in [*enumerate(cols, 1), (0, "(Intercept)")]:
+        se = math.sqrt(max(fit.cov[i, i], 0.0))
+        z = float(fit.beta[i]) / se if se > 0 else math.nan
+        table.append((name, float(fit.beta[i]), se, z, math.erfc(abs(z) / math.sqrt(2)), fit.aic))
+    return _local(df.sparkSession, table, "term string, estimate double, std_error double, z double, p_value double, aic double")
 
 
 def step_logistic(df: DataFrame, flag: Column, terms: dict[str, dict[str, Column]]) -> DataFrame:
-    """Stepwise selection by AIC from the full model, dropping or restoring whole terms."""
-    every = {f"{t}.{n}": c for t, g in terms.items() for n, c in g.items()}
-    rows = df.select(flag.cast("double").alias("label"), *[c.cast("double").alias(n.replace(".", "__")) for n, c in every.items()])
-    rows = rows.dropna().persist()
-    seen: dict[tuple, float] = {}
-
-    def aic(kept: tuple) -> float:
-        if kept not in seen:
-            cols = {n: F.col(n.replace(".", "__")) for n in every if n.split(".", 1)[0] in kept}
-            if cols:
-                seen[kept] = float(logistic_model(distinct_patterns(rows, F.col("label"), cols)).summary.aic)
-            else:
-                one = rows.agg(F.sum("label"), F.count(F.lit(1))).first()
-                p = one[0] / one[1]
-                seen[kept] = 2 - 2 * one[1] * (p * math.log(p) + (1 - p) * math.log(1 - p))
-        return seen[kept]
+    """Stepwise selection by AIC from the full model, dropping or restoring whole terms.
+
+    The source is read once; all moves of a step are fitted by the same passes over its distinct patterns, each from
+    the coefficients of the model it leaves.
+    """
+    every = [(t, c) for t, g in terms.items() for c in g.values()]
+    lines = logits.patterns(df, flag, [c for _, c in every]).persist()
+    fits: dict[tuple, logits.Fit] = {}
+    columns = lambda kept: [i for i, (t, _) in enumerate(every) if t in kept]
+
+    def need(sets: list[tuple], near: tuple | None = None):
+        new = [k for k in dict.fromkeys(sets) if k not in fits]
+        starts = None
+        if near is not None:
+            known = dict(zip(columns(near), fits[near].beta[1:]))
+            starts = [np.array([fits[near].beta[0], *[known.get(i, 0.0) for i in columns(k)]]) for k in new]
+        for k, fit in zip(new, logits.fit_all(lines, len(every), [columns(k) for k in new], starts) if new else []):
+            fits[k] = fit
 
     kept = tuple(terms)
-    trace = [(0, "start", "", aic(kept))]
+    need([kept])
+    trace = [(0, "start", "", fits[kept].aic)]
     while True:
-        moves = [(aic(tuple(t for t in kept if t != d)), "drop", d) for d in kept]
-        moves += [(aic(tuple(t for t in terms if t in kept or t == a)), "add", a) for a in terms if a not in kept]
-        best = min(moves, default=None)
+        moves = [("drop", t, tuple(o for o in kept if o != t)) for t in kept]
+        moves += [("add", t, tuple(o for o in terms if o in kept or o == t)) for t in terms if t not in kept]
+        need([m[2] for m in moves], kept)
+        best = min(((fits[k].aic, action, t, k) for action, t, k in moves), default=None)
         if best is None or best[0] >= trace[-1][3] - 1e-7:
             break
-        kept = tuple(t for t in terms if (t in kept or t == best[2]) and not (best[1] == "drop" and t == best[2]))
+        kept = best[3]
         trace.append((len(trace), best[1], best[2], best[0]))
-    rows.unpersist()
+    lines.unpersist()
     now = trace[-1][3]
     trace += [(len(trace), "keep", t, now) for t in kept]
     return _local(df.sparkSession, trace, "step int, action string, term string, aic double")
 
 
 def predict_class(train: DataFrame, test: DataFrame, flag: Column, cols: dict[str, Column], cut: float = 0.5) -> DataFrame:
-    """Confusion counts of a logistic model on test rows."""
-    model = logistic_model(distinct_patterns(train, flag, cols))
-    scored = model.transform(assemble(test, cols, {"label": flag.cast("double")}))
-    rows = scored.select((F.col("prediction") > cut).cast("int").alias("predicted"), F.col("label").cast("int").alias("actual"))
-    return confusion(rows, "predicted", "actual")
+    """Confusion counts of a logistic model on test rows; rows without a predictor are left out."""
+    lines = logits.patterns(train, flag, list(cols.values())).persist()
+    beta = logits.fit_all(lines, len(cols), [list(range(len(cols)))])[0].beta
+    lines.unpersist()
+    names = [f"__f{i}" for i in range(len(cols))]
+    rows = test.select(flag.cast("int").alias("actual"), *[c.cast("double").alias(n) for n, c in zip(names, cols.values())]).dropna(subset=names)
+    eta = sum((F.lit(float(b)) * F.col(n) for b, n in zip(beta[1:], names)), F.lit(float(beta[0])))
+    return confusion(rows.select((1 / (1 + F.exp(-eta)) > cut).cast("int").alias("predicted"), "actual"), "predicted", "actual")
 
 
 # ---------------------------------------------------------------- trees

@@ -14,8 +14,6 @@ from typing import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +22,7 @@ from statloom.functions.ordered import long_values, weighted_quantiles
 from statloom.functions.scalars import INV_SQRT_2PI, expit, logit
 from statloom.functions.tails import f_p, t_p, z_p
 from statloom.functions.vectors import vector_udf
+from statloom.operators import logits
 from statloom.operators.linear import gram, pack, unpack
 from statloom.operators.recode import levels_of
 from statloom.operators.tabulate import add_share, histogram
@@ -280,7 +279,7 @@ def svy_lm(df: DataFrame, design: SurveyDesign, y: Column, cols: dict[str, Colum
 
 def svy_logit(df: DataFrame, design: SurveyDesign, flag: Column, cols: dict[str, Column],
               domain: Column | None = None) -> DataFrame:
-    """Weighted logistic regression; sandwich errors from one more pass at the fitted coefficients.
+    """Weighted logistic regression on distinct patterns; sandwich errors from one more pass at the fitted coefficients.
 
     ``cols`` holds the predictors without the intercept.
     """
@@ -289,10 +288,9 @@ def svy_logit(df: DataFrame, design: SurveyDesign, flag: Column, cols: dict[str,
     rows = df.select(F.col(design.strata).alias("__h"), F.col(design.psu).alias("__c"), w.alias("__w"),
                      flag.cast("double").alias("__y"),
                      *[c.cast("double").alias(n) for n, c in zip(names, cols.values())]).dropna()
-    ready = VectorAssembler(inputCols=names, outputCol="__f").transform(rows)
-    model = GeneralizedLinearRegression(family="binomial", featuresCol="__f", labelCol="__y", weightCol="__w",
-                                        tol=1e-10, maxIter=50).fit(ready.filter("__w > 0"))
-    beta = [float(model.intercept), *[float(b) for b in model.coefficients]]
+    lines = logits.patterns(rows, F.col("__y"), [F.col(n) for n in names], F.col("__w")).persist()
+    beta = [float(b) for b in logits.fit_all(lines, len(names), [list(range(len(names)))])[0].beta]
+    lines.unpersist()
     xs = [F.lit(1.0), *[F.col(n) for n in names]]
     eta = sum((F.lit(b) * x for b, x in zip(beta, xs)), F.lit(0.0))
     mu = expit(eta)

@@ -230,6 +230,33 @@ def test_cluster_queries_cover_the_whole_range(spark):
     assert [r.k for r in models_ml.gmm_bic_query(spark, folder).orderBy("k").collect()] == list(range(1, 10))
 
 
+def test_logistic_models_of_one_pass(spark, data):
+    from pyspark.ml.regression import GeneralizedLinearRegression
+    from statloom.operators import logits
+    df = spark.createDataFrame(data).withColumns({"w": F.col("id") % 3 + 1.0, "two": F.round("a"), "half": F.round("b")})
+    xs = {"two": F.col("two"), "half": F.col("half"), "c": F.col("c")}
+    lines = logits.patterns(df, Y > 1, list(xs.values()), F.col("w"))
+    sets = [[], [0], [1, 2], [0, 1, 2]]
+    for columns, fit in zip(sets, logits.fit_all(lines, 3, sets)):
+        names = [list(xs)[i] for i in columns]
+        ready = mlmodels.assemble(df, {n: xs[n] for n in names}, {"label": (Y > 1).cast("double"), "w": F.col("w")})
+        if names:
+            model = GeneralizedLinearRegression(family="binomial", weightCol="w", maxIter=50, tol=1e-12).fit(ready)
+            assert fit.beta == pytest.approx([model.intercept, *model.coefficients], abs=1e-6)
+            s = model.summary
+            errors = s.coefficientStandardErrors
+            assert np.sqrt(np.diag(fit.cov)) == pytest.approx([errors[-1], *errors[:-1]], rel=1e-5)
+            assert fit.aic == pytest.approx(s.aic, rel=1e-9)
+        else:
+            share = ready.agg(F.sum(F.col("w") * F.col("label")) / F.sum("w")).first()[0]
+            assert fit.beta[0] == pytest.approx(math.log(share / (1 - share)))
+    twin = mlmodels.logistic(df, Y > 1, {"two": xs["two"], "again": xs["two"]}).toPandas().set_index("term")
+    alone = mlmodels.logistic(df, Y > 1, {"two": xs["two"]}).toPandas().set_index("term")
+    assert twin.estimate["two"] + twin.estimate["again"] == pytest.approx(alone.estimate["two"], rel=1e-6)
+    apart = mlmodels.predict_class(df, df, F.col("a") > 0, {"a": F.when(F.col("a") > 0, 1.0).otherwise(0.0)}).toPandas()
+    assert (apart.predicted == apart.actual).all()
+
+
 def test_forest_and_stepwise_logistic(spark, data):
     df = spark.createDataFrame(data).withColumn("late", F.col("id") >= 180)
     pred, weights = mlmodels.forest(df.filter("NOT late"), df.filter("late"), Y, COLS, trees=20)
