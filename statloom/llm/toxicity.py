@@ -139,7 +139,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                  sample: int = SAMPLE, n_features: int = FEATURES) -> ToxicityModel:
     """Learn from the labelled rows given; the sample's bound is ``sample`` texts a class.
 
-    Without both classes among the labels the model gives every text 0.
+    Without both classes among the labels the model gives every text 0.  Where no feature tells the classes apart, or the
+    classifier gives none a weight, every text gets the share of toxic labels.
     """
     chosen, sizes = labelled_sample(docs, labels, id_col, text_col, label_col, sample)
     counts = chosen.select("text", "toxic").mapInArrow(_count, "f string, clean long, bad long").groupBy("f").agg(
@@ -151,6 +152,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     deviation = lift / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("clean") + 0.5))
     table = (counts.select("f", lift.alias("lift"), deviation.alias("z")).filter((F.col("lift") > LIFT) & (F.col("z") > CERTAIN))
              .orderBy(F.desc("z"), "f").limit(n_features).collect())
+    if not table:
+        return ToxicityModel({}, float(np.log(sizes[1] / sizes[0])))
     number = {r["f"]: i for i, r in enumerate(table)}
 
     def run(batches):
@@ -189,7 +192,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     for (f, n), p in zip(lists, posterior):
         target.append(int(p >= 0.5))
         sure = abs(2 * p - 1)
-        examples.append((np.append(f, len(table)), np.append(np.minimum(n, 3) * 1.0, 1.0) * max(sure, 0.1)))
+        examples.append((np.append(f, len(table)), np.append(n * 1.0, 1.0) * max(sure, 0.1)))
     weights, bias = _follow(examples, np.array(target), len(table), 2, passes=12, alpha=0.3, l1=0.05, l2=0.05)
     w, b = weights[:, 1] - weights[:, 0], float(bias[1] - bias[0])
     raw = np.array([w[f] @ n + b for f, n in lists])
@@ -200,15 +203,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def _calibrate(raw: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift that make the classifier's output a log odds for the labelled sample, by Newton steps."""
-    x = np.stack([raw / max(raw.std(), 1e-9), np.ones(len(raw))], 1)
+    """Slope and shift that make the classifier's output a log odds for the labelled sample, by Newton steps.
+
+    An output that is the same for all texts gets slope 0 and the log odds of the sample.
+    """
+    if raw.std() < 1e-9:  # the same for all texts: no evidence, and the odds of the sample
+        return 0.0, float(np.log(toxic.sum() / max((toxic == 0).sum(), 1)))
+    x = np.stack([raw / raw.std(), np.ones(len(raw))], 1)
     theta = np.array([1.0, 0.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
         hessian = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(hessian, x.T @ (toxic - p) - 1e-3 * theta)
         theta = theta + np.clip(step, -1, 1)
-    return float(max(theta[0], 1e-3) / max(raw.std(), 1e-9)), float(theta[1])
+    return float(max(theta[0], 1e-3) / raw.std()), float(theta[1])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:

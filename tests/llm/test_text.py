@@ -80,6 +80,26 @@ def test_toxicity_edge_cases(spark):
     assert [(r.predicted, r.score < 0.5) for r in toxicity.score_toxicity(docs, none).collect()] == [(0, True)] * 3
 
 
+def test_toxicity_without_evidence_is_the_share_of_toxic_labels(spark):
+    """No word tells the classes apart: nobody gets 1.0, every text gets the prior."""
+    words = "sun moon star sea wind rain snow leaf".split()
+    docs = spark.createDataFrame([(i, " ".join(words[(i + j) % 8] for j in range(4)) + f" {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in (3, 22))) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert [r.score for r in toxicity.score_toxicity(docs, model).collect()] == pytest.approx([0.05] * 40)
+    slope, shift = toxicity._calibrate(np.full(40, 0.7), np.array([1, 1] + [0] * 38))
+    assert slope == 0 and shift == pytest.approx(np.log(2 / 38))
+
+
+def test_toxicity_of_texts_without_words_under_a_fitted_model(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels)
+    odd = spark.createDataFrame([(None,), ("",), ("  \n",), ("12 + 3",), ("zzqx " * 500_000,)], "text string")
+    scores = [r.score for r in toxicity.score_toxicity(odd, model).collect()]
+    assert scores == pytest.approx([scores[0]] * 5) and scores[0] < 0.5
+
+
 def test_label_model_weighs_good_voters_and_discounts_copies():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
