@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.llm.langid import smallest
+
 SAMPLE = 600  # pages to train on
 PATHS, TERMS, NUMBERS = 64, 64, 10  # hashed tag-path features, hashed words, and plain measures of a block
 MISNAMED = 0.15  # share of the names in rebuilt training pages that say the opposite
@@ -254,6 +256,7 @@ class Labeller:
         self.p["o"] = rng.normal(0, 1 / np.sqrt(2 * hidden), 2 * hidden)
         self.p["c"] = np.zeros(1)
         self.hidden = hidden
+        self.trained = False
 
     def _pass(self, x, mask, d, keep):
         """One direction over (pages, blocks, features); states stay put where the mask is 0."""
@@ -327,6 +330,7 @@ class Labeller:
                 if 3 * turn >= 2 * rounds:
                     mean, last = {k: mean[k] + v for k, v in self.p.items()}, last + 1
         self.p = {k: v / last for k, v in mean.items()} if last else self.p
+        self.trained = True
         return self
 
 
@@ -391,9 +395,16 @@ def training_pages(raw: list, seed: int = 3) -> list:
 
 
 def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Labeller:
-    """Train on the ``sample`` pages whose ids have the smallest hashes."""
+    """Train on the ``sample`` pages whose ids have the smallest hashes.
+
+    Where no such page has a block whose names tell what it is, as in an empty table, there is nothing to learn from: the
+    labeller stays untrained, and ``main_text`` then keeps every block.
+    """
     rows = pages.filter(F.col(html_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html"))
-    raw = [r["html"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
+    rows = rows.withColumn("draw", F.xxhash64("id"))
+    picked = smallest(rows.withColumn("all", F.lit(1)), "all", F.col("draw"), sample)
+    near = rows.filter(F.col("draw") <= picked["1"]) if picked else rows.limit(0)  # so no task sends more than its part of the sample
+    raw = [r["html"] for r in near.orderBy("draw", "id", "html").limit(sample).collect()]
     model = Labeller(PATHS + TERMS + NUMBERS)
     examples = training_pages(raw)
     return model.fit(examples) if examples else model
@@ -402,10 +413,12 @@ def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 def main_text(pages: list, model: Labeller, batch: int = 256, steps: int = 2000) -> list[str]:
     """Main text of each page: the blocks that the network takes for it, joined by empty lines.
 
-    Names in the markup are inputs of the network and decide nothing by themselves.  Pages are labelled in batches of similar
-    length; a page of more than ``steps`` blocks is read in windows that overlap by half.
+    Names in the markup are inputs of the network and decide nothing by themselves.  An untrained network decides nothing
+    either: all blocks are main text.  Pages are labelled in batches of similar length; a page of more than ``steps`` blocks is read in windows that overlap by half.
     """
     parsed = [blocks(h) for h in pages]
+    if not model.trained:
+        return ["\n\n".join(b.text for b in page) for page in parsed]
     scores = [np.zeros(len(p)) for p in parsed]
     jobs = []
     for i, page in enumerate(parsed):

@@ -200,6 +200,17 @@ def test_main_text_of_pages(spark):
         assert got[r.page_id] == inside
 
 
+def test_main_text_without_pages_to_learn_from(spark):
+    """No page's names tell what is main text, or there is no page: nothing is thrown away by an untrained network."""
+    page = "<html><body><div><p>one  two</p><div>three</div></div><script>x</script></body></html>"
+    pages = spark.createDataFrame([(i, page, "x") for i in range(5)] + [(None, None, "x"), (7, "", "x")], "page_id long, html string, text string")
+    model = extract.fit_labeller(pages)
+    assert not model.trained
+    assert sorted(r.text for r in extract.extract_main_text(pages, model).collect()) == ["", "", *["one two\n\nthree"] * 5]
+    empty = pages.limit(0)
+    assert extract.extract_main_text(empty, extract.fit_labeller(empty)).collect() == []
+
+
 def test_a_page_that_says_nothing_is_read_by_its_words(spark):
     """Without telling names, the trained network still separates running text from link lists."""
     raw = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").orderBy("page_id").collect()]
