@@ -12,6 +12,7 @@ import corpus_pipeline
 from statloom.llm import queries
 from statloom.llm.decontaminate import contaminated
 from statloom.llm.minhash import near_duplicates
+from statloom.llm import mixing
 from statloom.llm.mixing import mix_sources
 from statloom.llm.neighbours import nearest_neighbours
 
@@ -41,6 +42,22 @@ def test_every_source_stays_within_a_block_of_its_weight(spark):
         assert all(abs(seen[s] - w * (r.mix_slot + 1)) < 1 for s, w in weight.items())
 
 
+def test_given_weights_are_kept_and_zero_stays_zero(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], "x" * 10) for i in range(90)], "doc_id long, source string, text string")
+    got = mix_sources(docs, {"a": 1.0, "c": 0.0}, block=10).collect()
+    assert sorted(r.mix_slot for r in got if r.source == "a") == list(range(30))
+    assert len(got) == 90 and all(r.mix_slot is None for r in got if r.source != "a")
+    rare = {r.mix_block: r.mix_slot for r in mix_sources(docs, {"a": 0.0006, "b": 0.9994}, block=10).collect() if r.source == "a"}
+    assert all(rare[k] // 5000 == k // 3 for k in rare) and rare[3] - rare[0] == 5000  # 3 of 5000 slots
+    assert mixing._whole({"a": 0.123456789, "b": 0.876543211}, 1000)[1] is False and mixing._whole({}, 1000) == ({}, True)
+
+
+def test_many_sources_are_mixed(spark):
+    docs = spark.createDataFrame([(i, f"s{i:04d}", "x" * 50) for i in range(400)], "doc_id long, source string, text string")
+    slots = sorted(r.mix_slot for r in mix_sources(docs, block=10).collect())
+    assert len(set(slots)) == 400
+
+
 def test_mixing_edge_cases(spark):
     rows = [(1, None, None, 5), (1, None, None, 5), (None, "a", "", 6), (2, "a", "long" * 100, 7)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_slot int")
