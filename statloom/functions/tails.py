@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import pandas as pd
 from statloom.functions.vectors import vector_udf
@@ -73,10 +72,6 @@ def f_sf(f, d1, d2):
     return _beta_lower(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * max(f, 0.0)))
 
 
-def norm_quantile(p):
-    return NormalDist().inv_cdf(p)
-
-
 def t_quantile(p: float, df: float) -> float:
     """Upper quantile of Student's t by bisection on the tail."""
     lo, hi = 0.0, 1e6
@@ -111,8 +106,3 @@ def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
 @vector_udf("double")
 def z_p(z: pd.Series) -> pd.Series:
     return _series(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)), z)
-
-
-@vector_udf("double")
-def normal_score(p: pd.Series) -> pd.Series:
-    return _series(lambda v: None if pd.isna(v) or not 0 < v < 1 else norm_quantile(v), p)

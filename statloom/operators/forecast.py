@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.nulls import join_null_safe
-from statloom.functions.scalars import box_cox, inv_box_cox, norm_cdf, norm_pdf
-from statloom.functions.tails import normal_score
+from statloom.functions.scalars import box_cox, inv_box_cox, norm_cdf, norm_pdf, normal_score
 from statloom.functions.vectors import vector_udf
 from statloom.operators.linear import gram, least_squares, linear_predictor, quadratic_form, unpack
 from statloom.operators.series import _levinson, acf, along, autocov, lagged, ndiffs, nsdiffs, portmanteau
@@ -484,18 +483,19 @@ def fc_lag_ml(df, keys, index, y, h, lags: int = 7, trees: int = 20, depth: int
     model = RandomForestRegressor(labelCol="__y", numTrees=trees, maxDepth=depth, seed=seed).fit(learn)
     err = model.transform(learn).groupBy(*keys).agg(F.sqrt(F.avg((F.col("__y") - F.col("prediction")) ** 2)).alias("__e"))
     state = join_null_safe(join_null_safe(last_values(rows, keys, index, "__y", lags), scale, keys), err, keys)
-    state = state.select(*keys, "__last", "__m", "__s", "__e", *[F.col("tail")[lags - k].alias(f"lag{k}") for k in range(1, lags + 1)])
-    made = []
-    for step in range(1, h + 1):
-        scored = model.transform(put.transform(state)).drop("features")
-        made.append(scored.select(*keys, F.lit(step).alias("h"), F.date_add("__last", step).alias(index),
-                                  (F.col("prediction") * F.col("__s") + F.col("__m")).alias("mean"),
-                                  (F.col("__e") * F.col("__s") * math.sqrt(step)).alias("sd")))
-        state = scored.withColumns({f"__n{k}": F.col(f"lag{k - 1}") if k > 1 else F.col("prediction") for k in range(1, lags + 1)})
-        state = state.select(*keys, "__last", "__m", "__s", "__e", *[F.col(f"__n{k}").alias(f"lag{k}") for k in range(1, lags + 1)])
-    out = made[0]
-    for m in made[1:]:
-        out = out.unionByName(m)
+    past = [f"lag{k}" for k in range(1, lags + 1)]
+    state = state.select(*keys, "__last", "__m", "__s", "__e", *[F.col("tail")[lags - k].alias(f"lag{k}") for k in range(1, lags + 1)],
+                         F.array().cast("array<double>").alias("__path"))
+    for _ in range(h):  # one row a series goes through all steps and carries its path, so the plan grows by one model a step
+        scored = model.transform(put.transform(state))
+        state = scored.select(*keys, "__last", "__m", "__s", "__e", F.col("prediction").alias("lag1"),
+                              *[F.col(a).alias(b) for a, b in zip(past, past[1:])],
+                              F.concat("__path", F.array("prediction")).alias("__path"))
+    rows = state.select(*keys, "__last", "__m", "__s", "__e", F.posexplode("__path").alias("__at", "__p"))
+    step = F.col("__at") + 1
+    out = rows.select(*keys, step.alias("h"), F.date_add("__last", step).alias(index),
+                      (F.col("__p") * F.col("__s") + F.col("__m")).alias("mean"),
+                      (F.col("__e") * F.col("__s") * F.sqrt(step)).alias("sd"))
     return _shape(out, keys, "lag_forest", index)
 
 

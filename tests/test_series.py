@@ -120,6 +120,24 @@ def test_seasonal_shocks_are_found(spark):
     assert twice["const"] == 0 and [k + 1 for k, v in enumerate(twice["phi"]) if v] == [1, 7, 8]
 
 
+def test_normal_scores_are_quantiles(spark):
+    from statistics import NormalDist
+    from statloom.functions.scalars import normal_score
+    ps = [1e-300, 1e-12, 1e-5, 0.01, 0.0749, 0.076, 0.3, 0.5, 0.7, 0.925, 0.99, 1 - 1e-9]
+    rows = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0, None]], "p double").select("p", normal_score(F.col("p")).alias("z")).collect()
+    for r in rows:
+        assert r.z is None if r.p in (0.0, 1.0, None) else r.z == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-9, abs=1e-12)
+
+
+def test_lag_forest_plan_grows_with_the_steps(spark):
+    df = daily(spark, {"a": ar_series(60), "b": ar_series(60, seed=3)})
+    size = {h: len(fc.fc_lag_ml(df, K, T, Y, h, lags=3, trees=2, depth=2)._jdf.queryExecution().optimizedPlan().toString()) for h in (4, 8, 12)}
+    assert size[12] - size[8] <= 1.5 * (size[8] - size[4])
+    got = fc.fc_lag_ml(df, K, T, Y, 5, lags=3, trees=2, depth=2).collect()
+    assert sorted((r.k, r.h) for r in got) == [(k, h) for k in "ab" for h in range(1, 6)]
+    assert all(r.day == dt.date(2020, 2, 29) + dt.timedelta(days=r.h) for r in got)
+
+
 def test_norm_by_blocks_of_columns(spark):
     x = np.random.default_rng(12).normal(size=(90, 37))
     rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(4)
