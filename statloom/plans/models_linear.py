@@ -87,6 +87,20 @@ def ols_cv_query(spark, d):
     return regress.ols_cv(rows, F.col(Y), wide(rows), regress.fold_column(KEYS))
 
 
+@query("kfold_cv", f"""WITH b AS (SELECT (l_orderkey % 10)::INTEGER AS fold, l_quantity::DOUBLE AS x, {Y}::DOUBLE AS y FROM lineitem),
+s AS (SELECT fold, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM b GROUP BY 1),
+t AS (SELECT s.fold, a.n - s.n AS n, a.sx - s.sx AS sx, a.sy - s.sy AS sy, a.sxx - s.sxx AS sxx, a.sxy - s.sxy AS sxy
+  FROM s, (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM s) a),
+c AS (SELECT fold, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1, sx / n AS mx, sy / n AS my FROM t),
+r AS (SELECT b.fold, y, my + b1 * (x - mx) AS p FROM b JOIN c ON b.fold = c.fold)
+SELECT fold, count(*) AS n, round(sqrt(avg((y - p) * (y - p))), 4) AS rmse, round(power(corr(y, p), 2), 8) AS r2, round(avg(abs(y - p)), 4) AS mae FROM r GROUP BY 1""")
+def kfold_cv_query(spark, d):
+    """Whole orders are dealt to ten folds by their key; each fold is scored by the fit on the other nine."""
+    rows = Tables(spark, d).lineitem
+    out = regress.ols_cv(rows, F.col(Y), one(), F.pmod(F.col("l_orderkey"), F.lit(10)).cast("int"))
+    return rounded(rounded(out.select("fold", "n", "rmse", "r2", "mae"), 4, "rmse", "mae"), 8, "r2")
+
+
 @query("anova_lm", MOM + """, o AS (SELECT *, n * (syy - s1y * s1y / s11) AS rss1 FROM h)
 SELECT 'x1' AS term, 1::BIGINT AS df, round((n * syy - rss1) / s2, 4) AS f FROM o UNION ALL SELECT 'x2', 1, round((rss1 - rss) / s2, 4) FROM o
 UNION ALL SELECT 'Residuals', n - 3, NULL FROM o""")

@@ -80,6 +80,13 @@ def eacf_query(spark, d):
     return series.eacf(panel(spark, d), K, T, Y)
 
 
+@query("eacf_row0", f"""WITH {ACF} SELECT key, CAST(lag - 1 AS INTEGER) AS ma, round(acf, 8) AS eacf, abs(acf) > 2.0::DOUBLE / sqrt(n - lag + 1) AS significant FROM r WHERE lag <= 8""")
+def eacf_row0_query(spark, d):
+    """The row without an autoregression, which is the plain autocorrelations."""
+    out = series.eacf(panel(spark, d), K, T, Y).filter("ar = 0")
+    return rounded(out.select("key", "ma", "eacf", "significant"), 8, "eacf")
+
+
 @query("portmanteau", f"""WITH {ACF} SELECT key, round(max(n) * sum(acf * acf), 5) AS box_pierce, round(max(n) * (max(n) + 2) * sum(acf * acf / (n - lag)), 5) AS ljung_box,
   10::BIGINT AS df FROM r WHERE lag <= 10 GROUP BY key""")
 def portmanteau_query(spark, d):
