@@ -27,7 +27,7 @@ def test_query_matches_sql(spark, key):
 
 def test_all_operators_are_registered():
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in names if k.startswith("op") and k[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in names if k.startswith("op") and k[2].isdigit()}
     assert "pipeline" in names and set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
