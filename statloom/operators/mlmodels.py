@@ -1,18 +1,17 @@
-"""Logistic models and their searches; trees, forests and mixtures fitted by pyspark.ml."""
+"""Logistic models and their searches; trees and forests fitted by pyspark.ml; mixtures by number of classes."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.operators import logits
+from statloom.operators import logits, mixtures
 from statloom.operators.regress import fold_column
 from statloom.operators.tabulate import confusion
 
@@ -206,6 +205,14 @@ def gmm_models(df: DataFrame, cols: dict[str, Column], ks: list[int], seed: int
     ready = ready.persist()
     n, d = ready.count(), len(names)
     shift = n * sum(math.log(units[f"s{i}"] or 1.0) for i in range(d))  # back to the original units
+    points = [f"__p{i}" for i in range(d)]
+    vector = vector_to_array("features")
+    rows = ready.select(*names, *[vector[i].alias(p) for i, p in enumerate(points)])
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    rows = (rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows).persist()
+    several = [k for k in ks if k > 1]
+    fits = mixtures.fit_all(rows.select(*points), mixtures.starts(ready, several, seed))
+    found = iter(zip(fits, mixtures.certainties(rows.select(*points), fits)))
     lines, best = [], None
     for k in ks:
         free = k - 1 + k * d + k * d * (d + 1) // 2
@@ -214,16 +221,15 @@ def gmm_models(df: DataFrame, cols: dict[str, Column], ks: list[int], seed: int
             det = np.linalg.slogdet(np.array(r).reshape(d, d))[1] + d * math.log((n - 1) / n)
             model, ll, entropy = None, float(-n / 2 * (d * math.log(2 * math.pi) + det + d)) - shift, 0.0
         else:
-            model = GaussianMixture(k=k, seed=seed, maxIter=100, tol=1e-4).fit(ready)
-            ll = float(model.summary.logLikelihood) - shift
-            top = F.array_max(vector_to_array("probability"))
-            entropy = model.transform(ready).agg(F.sum(F.log(F.greatest(top, F.lit(1e-300))))).first()[0]
+            model, entropy = next(found)
+            ll = model.loglik - shift
         bic = 2 * ll - free * math.log(n)
         lines.append((k, ll, free, bic, bic + 2 * float(entropy)))
         if best is None or bic > best[0]:
             best = (bic, model)
+    ready.unpersist()
     if best[1] is None:
-        labelled = ready.select(*names, F.lit(0).alias("mclust"))
+        labelled = rows.select(*names, F.lit(0).alias("mclust"))
     else:
-        labelled = best[1].transform(ready).select(*names, F.col("prediction").cast("int").alias("mclust"))
+        labelled = mixtures.labelled(rows, points, names, best[1], "mclust")
     return _local(df.sparkSession, lines, "k int, loglik double, df int, bic double, icl double"), labelled

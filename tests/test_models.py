@@ -167,6 +167,34 @@ def test_clusters(spark):
     assert table.toPandas().set_index("k").loglik[1] == pytest.approx(ll)
 
 
+def test_mixtures_are_the_library_with_one_pass_a_round_for_all(spark, monkeypatch):
+    from pyspark.ml.clustering import GaussianMixture
+    from statloom.operators import mixtures
+    rng = np.random.default_rng(19)
+    points = rng.normal(0, 1, (900, 2)) + rng.integers(0, 3, (900, 1)) * [4, -3]
+    pdf = pd.DataFrame(points, columns=["a", "b"])
+    df = spark.createDataFrame(pdf).repartition(3).persist()
+    cols = {"a": F.col("a"), "b": F.col("b")}
+    passes = []
+    inner = mixtures._moments
+    monkeypatch.setattr(mixtures, "_moments", lambda *x: passes.append(1) or inner(*x))
+    table, labelled = mlmodels.gmm_models(df, cols, [1, 2, 3, 4])
+    got = table.toPandas().set_index("k")
+    m, s = pdf.mean(), pdf.std()
+    ready = mlmodels.assemble(df, {c: (F.col(c) - float(m[c])) / float(s[c]) for c in "ab"}, {c: F.col(c) for c in "ab"})
+    rounds = []
+    for k in (2, 3, 4):
+        want = GaussianMixture(k=k, seed=1, maxIter=100, tol=1e-4).fit(ready.persist())
+        rounds.append(want.summary.numIter)
+        assert got.loglik[k] == pytest.approx(want.summary.logLikelihood - 900 * np.log(s).sum(), rel=1e-9)
+        probability = np.array([r[0].toArray() for r in want.transform(ready).select("probability").collect()])
+        assert got.icl[k] - got.bic[k] == pytest.approx(2 * np.log(probability.max(1)).sum(), rel=1e-5)
+        if k == got.bic.idxmax():
+            pairs = [(r["a"], r["prediction"]) for r in want.transform(ready).select("a", "prediction").collect()]
+            assert sorted(pairs) == sorted((r["a"], r["mclust"]) for r in labelled.collect())
+    assert len(passes) == max(rounds) < sum(rounds)
+
+
 def test_lloyd_is_the_library_from_the_same_start(spark):
     from pyspark.mllib.clustering import KMeans, KMeansModel
     rng = np.random.default_rng(3)
