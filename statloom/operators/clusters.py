@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 
 CHUNK = 256  # points assigned together
 MADE = 8192  # uniform points that one seed makes
+HELD = 128 * MADE  # points of one set that a task sorts into cells together
+SPREAD = 16 * MADE  # as few points are not sorted
+CELL = 1024  # points of a cell, about
+LEEWAY = 1e-6  # a centre this close to taking part in a cell does, so rounding never leaves one out
 SAMPLE = 2000  # distinct rows that starting centres are drawn from
 
 
@@ -83,6 +87,30 @@ def uniform_points(box: Box, points: int, piece: int, seed: int) -> np.ndarray:
     return box.low + rng.random((size, len(box.low))) * (box.high - box.low) - box.middle
 
 
+def _cells(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The points sorted by the cell of a grid over their ranges, and the edges of the cells that have points."""
+    low, high = points.min(0), points.max(0)
+    side = max(1, int((len(points) / CELL) ** (1 / points.shape[1])))
+    cell = np.zeros(len(points), np.int64)
+    for c in range(points.shape[1]):
+        wide = (high[c] - low[c]) or 1.0
+        cell = cell * side + np.minimum(((points[:, c] - low[c]) / wide * side).astype(np.int64), side - 1)
+    cell = np.unique(cell, return_inverse=True)[1].ravel() if side ** points.shape[1] > 65536 else cell
+    order = np.argsort(cell.astype(np.uint16 if cell.max() < 65536 else np.int64), kind="stable")
+    return points.take(order, axis=0), np.append(np.flatnonzero(np.diff(cell.take(order), prepend=-1)), len(points))
+
+
+def _shares(far: np.ndarray, values: np.ndarray, kind) -> np.ndarray:
+    """Sums of the values of the points that are nearest to each centre; ``far`` is by model, centre and point."""
+    nearest = far == far.min(axis=1, keepdims=True)
+    found = nearest.reshape(-1, far.shape[2]).astype(kind) @ values
+    if found[:, 0].sum() > far.shape[0] * far.shape[2]:  # equally near centres: the first one counts
+        nearest[:] = False
+        np.put_along_axis(nearest, far.argmin(axis=1)[:, None], True, axis=1)
+        found = nearest.reshape(-1, far.shape[2]).astype(kind) @ values
+    return found
+
+
 class _Sums:
     """Sizes, sums and squared lengths of the clusters of one set's models, grouped by k.
 
@@ -108,17 +136,64 @@ class _Sums:
             ahead = np.vstack([part.T, np.ones(len(part))]).astype(self.kind)
             for k, numbers, sides, sums in self.groups:
                 far = (sides @ ahead).reshape(len(numbers), k, len(part))
-                nearest = far == far.min(axis=1, keepdims=True)
-                found = nearest.reshape(-1, len(part)).astype(self.kind) @ values
-                if found[:, 0].sum() > len(part) * len(numbers):  # equally near centres: the first one counts
-                    nearest[:] = False
-                    np.put_along_axis(nearest, far.argmin(axis=1)[:, None], True, axis=1)
-                    found = nearest.reshape(-1, len(part)).astype(self.kind) @ values
+                found = _shares(far, values, self.kind)
                 if not self.exact:
                     found[:, -1] = 0
                     sums[::k, -1] += square.sum()
                 sums += found
 
+    def add_many(self, points: np.ndarray) -> None:
+        """Like ``add``, by cells of neighbouring points: a centre takes part in a cell only if it can be the nearest for a point of
+        the cell's box, and a cell that one centre has whole is added as its sums."""
+        if len(points) < SPREAD:
+            return self.add(points)
+        points, edges = _cells(points)
+        values = np.column_stack([np.ones(len(points)), points, (points * points).sum(1)])
+        whole = np.add.reduceat(values, edges[:-1])
+        low, high = np.minimum.reduceat(points, edges[:-1]), np.maximum.reduceat(points, edges[:-1])
+        middle, half = (low + high) / 2, (high - low) / 2
+        alive, counts, single = [], [], []
+        for k, numbers, sides, _ in self.groups:
+            centres = sides[:, :-1].astype(np.float64).reshape(len(numbers), k, -1) / -2
+            near = ((centres * centres).sum(2)[None] - 2 * (middle @ centres.reshape(len(numbers) * k, -1).T).reshape(len(middle), len(numbers), k))
+            first = near.argmin(2)
+            own = centres[np.arange(len(numbers)), first]
+            near -= near.min(2, keepdims=True)
+            near -= LEEWAY * (np.abs(centres).max() + np.abs(middle).max() + 1) ** 2
+            for c in range(half.shape[1]):
+                near -= 2 * np.abs(centres[None, :, :, c] - own[:, :, None, c]) * half[:, c, None, None]
+            can = near <= 0
+            alive.append(can.reshape(len(middle), -1))
+            counts.append(can.sum(2))
+            single.append((can & (counts[-1] == 1)[:, :, None]).reshape(len(middle), -1).T.astype(np.float64) @ whole)
+        alive, sums = np.concatenate(alive, axis=1), np.concatenate(single)
+        counts = np.concatenate([np.repeat(n, k, axis=1) for (k, *_), n in zip(self.groups, counts)], axis=1)  # for each centre
+        sides = np.concatenate([g[2] for g in self.groups])
+        ahead = np.vstack([points.T, np.ones(len(points))]).astype(self.kind)
+        values = values.astype(self.kind)
+        for cell, (start, end) in enumerate(zip(edges[:-1], edges[1:])):
+            here, line = alive[cell], values[start:end]
+            for c in np.unique(counts[cell][here]):
+                if c == 1:
+                    continue
+                at = np.flatnonzero(here & (counts[cell] == c)).reshape(-1, c)
+                if c == 2:
+                    second = (sides[at[:, 1]] - sides[at[:, 0]]) @ ahead[:, start:end] < 0
+                    found = second.astype(self.kind) @ line
+                    sums[at[:, 1]] += found
+                    sums[at[:, 0]] += whole[cell] - found
+                else:
+                    far = (sides[at.ravel()] @ ahead[:, start:end]).reshape(len(at), c, end - start)
+                    sums[at.ravel()] += _shares(far, line, self.kind)
+        low = 0
+        for k, _, own, into in self.groups:
+            part = sums[low:low + len(own)]
+            if not self.exact:
+                part[:, -1] = 0
+                part[::k, -1] += whole[:, -1].sum()
+            into += part
+            low += len(own)
+
     def lines(self):
         for k, numbers, _, sums in self.groups:
             yield np.repeat(numbers, k), np.tile(np.arange(k), len(numbers)), sums
@@ -135,8 +210,15 @@ def _batch(kept: list[_Sums], width: int):
 def _of_rows(shared, middle: np.ndarray):
     def run(batches):
         sums = _Sums(shared.value[0], True)
+        held, n = [], 0
         for batch in batches:
-            sums.add(np.column_stack([np.asarray(c, np.float64) for c in batch.columns]) - middle)
+            held.append(np.column_stack([np.asarray(c, np.float64) for c in batch.columns]) - middle)
+            n += batch.num_rows
+            if n >= HELD:
+                sums.add_many(np.concatenate(held))
+                held, n = [], 0
+        for points in [np.concatenate(held)] if n >= SPREAD else held:
+            sums.add_many(points)
         yield from _batch([sums], len(middle))
     return run
 
@@ -144,14 +226,30 @@ def _of_rows(shared, middle: np.ndarray):
 def _of_box(shared, box: Box, pieces: int, seed: int):
     def run(batches):
         kept: dict = {}
+        held: list = []
+
+        def put(points):
+            if held:
+                if len(held) * MADE < SPREAD:
+                    for i in held:
+                        kept[points].add(uniform_points(box, points, i, seed))
+                else:
+                    kept[points].add_many(np.concatenate([uniform_points(box, points, i, seed) for i in held]))
+                held.clear()
+
+        last = None
         for batch in batches:
             for i in batch.column(0).to_pylist():
                 points = i // pieces + 1
                 models = shared.value.get(points)
                 if models:
+                    if points != last or len(held) * MADE >= HELD:
+                        put(last)
+                        last = points
                     if points not in kept:
                         kept[points] = _Sums(models, False)
-                    kept[points].add(uniform_points(box, points, i % pieces, seed))
+                    held.append(i % pieces)
+        put(last)
         yield from _batch(list(kept.values()), len(box.low))
     return run
 
@@ -170,7 +268,7 @@ def _round(rows: DataFrame, box: Box, models: list[Model], live: list[int], seed
     sets = max(by_set)
     if sets:
         pieces = -(-box.n // MADE)
-        tasks = min(sets * pieces, max(spark.sparkContext.defaultParallelism, sets * pieces // 64))
+        tasks = min(sets * pieces, max(spark.sparkContext.defaultParallelism, sets * pieces * MADE // HELD))
         parts.append(spark.range(0, sets * pieces, 1, tasks).mapInArrow(_of_box(shared, box, pieces, seed), schema))
     lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     found = lines.groupBy("model", "cluster").agg(*[F.sum(f"s{c}").alias(f"s{c}") for c in range(width + 2)]).toArrow()

@@ -221,6 +221,25 @@ def test_lloyd_is_the_library_from_the_same_start(spark):
         assert mine == pytest.approx(ClusteringEvaluator().evaluate(named))
 
 
+def test_cells_leave_no_centre_out(monkeypatch):
+    monkeypatch.setattr(clusters, "SPREAD", 5000)
+    monkeypatch.setattr(clusters, "CELL", 40)
+    rng = np.random.default_rng(23)
+    even = rng.random((9000, 3)) * [10, 40, 1]
+    for points in (even, np.exp(2 * rng.normal(size=(9000, 3))), np.round(even), np.ones((6000, 2)), np.vstack([even] * 2)):
+        models = [(i, points[rng.permutation(len(points))[:k]]) for i, k in enumerate([1, 2, 2, 3, 5, 9, 9])]
+        for exact in (True, False):
+            plain, cells = clusters._Sums(models, exact), clusters._Sums(models, exact)
+            plain.add(points)
+            cells.add_many(points)
+            for a, b in zip(plain.groups, cells.groups):
+                if exact:
+                    assert (a[3][:, 0] == b[3][:, 0]).all()
+                    assert np.allclose(a[3], b[3], rtol=1e-9)
+                else:
+                    assert np.abs(a[3][:, 0] - b[3][:, 0]).max() <= 2 and np.allclose(a[3], b[3], rtol=1e-3)
+
+
 def test_uniform_sets_take_part_like_tables(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame(pd.DataFrame(rng.normal(0, 1, (9000, 2)), columns=["a", "b"]))
