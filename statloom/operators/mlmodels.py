@@ -1,4 +1,4 @@
-"""Logistic models and their searches; trees and forests fitted by pyspark.ml; mixtures by number of classes."""
+"""Logistic models and their searches; trees fitted by pyspark.ml; forests; mixtures by number of classes."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ import math
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.operators import logits, mixtures
+from statloom.operators import forests, logits, mixtures
 from statloom.operators.regress import fold_column
 from statloom.operators.tabulate import confusion
 
@@ -98,12 +98,12 @@ def predict_class(train: DataFrame, test: DataFrame, flag: Column, cols: dict[st
 def forest(train: DataFrame, test: DataFrame, y: Column, cols: dict[str, Column], trees: int = 500, depth: int = 8,
            seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(test rows with ``label`` and ``prediction``, importance table sorted from the top)."""
-    keep = {"label": y.cast("double")}
-    model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0,
-                                  featureSubsetStrategy="onethird").fit(assemble(train, cols, keep))
-    weights = model.featureImportances.toArray()
-    table = _local(train.sparkSession, [(n, float(w)) for n, w in zip(cols, weights)], "term string, importance double")
-    return model.transform(assemble(test, cols, keep)).select("label", "prediction"), table.orderBy(F.col("importance").desc())
+    names = [f"__f{i}" for i in range(len(cols))]
+    plain = lambda df: df.select(y.cast("double").alias("label"), *[
+        c.cast("double").alias(n) for n, c in zip(names, cols.values())]).dropna(subset=names)
+    model = forests.fit(plain(train), trees, depth, seed)
+    table = _local(train.sparkSession, [(n, float(w)) for n, w in zip(cols, model.importances())], "term string, importance double")
+    return model.predict(plain(test)), table.orderBy(F.col("importance").desc())
 
 
 def _tree_nodes(model, cols: list[str]) -> list[dict]:
