@@ -8,7 +8,7 @@ other, so that its sums stay in the processor's cache; they are then added up by
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from statloom.session import fresh_path
 BINS = 32
 PIECE = 2048  # rows stored together while they are dealt to tasks
 BLOCK = 32768  # rows that are weighed together
-SHARE = 1 << 20  # rows of a task
+SHARE = 1 << 21  # rows of a task at most; it sends as many sums whatever their number
 NOISE = 1e-12  # a gain below this part of the sums it is the difference of is none
 
 # Poisson(1) by a table over 16 random bits; cells that hold a step of the distribution function are marked and drawn finer
@@ -36,22 +36,22 @@ class Tree:
     """Nodes in the order of their making; a row goes from ``child`` to ``child + 1`` if its bin is above the cut.  A leaf is its
     own child."""
 
-    feature: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    feature: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int32))
     cut: np.ndarray = field(default_factory=lambda: np.full(1, BINS, np.uint8))
-    child: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    value: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    live: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # nodes that may be split next
+    child: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int32))
+    value: np.ndarray | None = field(default_factory=lambda: np.zeros(1))
+    live: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int32))  # nodes that may be split next
     gains: np.ndarray | None = None  # by column
     depth: int = 0
 
     def find(self, flat: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
         """Deepest node of each of the rows; ``flat`` holds the bins of n rows, one column after the other."""
-        node, places = np.zeros(len(rows), np.int64), self.feature * n
+        node, places, child = np.zeros(len(rows), np.int64), self.feature * np.int64(n), self.child.astype(np.int64)
         for _ in range(self.depth):
             at = places.take(node)
             at += rows
             above = flat.take(at) > self.cut.take(node)
-            node = self.child.take(node)
+            node = child.take(node)
             node += above
         return node
 
@@ -64,8 +64,12 @@ class _Level:
         own = sizes[slots]
         self.starts = np.cumsum([0, *own.ravel()[:-1]]).reshape(own.shape)
         self.cells = int(own.sum())
-        self.lines = np.repeat(np.arange(own.size), own.ravel())
-        self.bins = np.arange(self.cells) - np.repeat(self.starts.ravel(), own.ravel())
+        self.own = own
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each cell, which column of which node it belongs to, counted on, and its bin."""
+        lines = np.repeat(np.arange(self.own.size), self.own.ravel())
+        return lines, np.arange(self.cells) - self.starts.ravel()[lines]
 
 
 def draws(seed: int, tree: int, block: int, n: int) -> np.ndarray:
@@ -166,12 +170,13 @@ def _blocks(pieces: DataFrame, width: int, mean: float) -> DataFrame:
 
 # ---------------------------------------------------------------- levels
 
-def _sums(shared, seed: int):
+def _sums(shared, sizes: np.ndarray, seed: int):
     """For each tree the sums of weights and of weighted labels in the cells of its level, one line a task."""
     def run(batches):
         blocks = [(i, np.frombuffer(y, np.float64), np.frombuffer(x, np.uint8))
                   for b in batches for i, y, x in zip(*(b.column(c).to_pylist() for c in range(3)))]
-        for number, (tree, level) in (shared.value.items() if blocks else ()):
+        for number, (tree, slots) in (shared.value.items() if blocks else ()):
+            level = _Level(sizes, slots)
             nodes, width = len(tree.child), level.slots.shape[1]
             columns, starts = np.zeros((width, nodes), np.int64), np.full((width, nodes), level.cells)  # rows of leaves go behind the cells
             columns[:, tree.live], starts[:, tree.live] = level.slots.T, level.starts.T
@@ -202,7 +207,8 @@ def best(level: _Level, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """A line a node: column (-1: no split), cut, gain, rows and sum of the node, rows and sum of its lower part."""
     nodes, width = level.slots.shape
     n, s = np.zeros((nodes * width, BINS)), np.zeros((nodes * width, BINS))
-    n[level.lines, level.bins], s[level.lines, level.bins] = counts, totals
+    places = level.places()
+    n[places], s[places] = counts, totals
     n, s = (np.cumsum(a, axis=1).reshape(nodes, width, BINS) for a in (n, s))
     rows, total = n[:, :, -1:], s[:, :, -1:]
     low_n, low_s = n[:, :, :-1], s[:, :, :-1]
@@ -217,7 +223,7 @@ def best(level: _Level, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
                             low_n[each, slot, step], low_s[each, slot, step]])
 
 
-def _splits(shared):
+def _splits(shared, sizes: np.ndarray):
     """Adds up the lines of each tree as they come, then looks for its splits."""
     def run(batches):
         sums: dict[int, list[np.ndarray]] = {}
@@ -231,7 +237,7 @@ def _splits(shared):
                     sums[number] = [p.copy() for p in parts]
         for number, (counts, totals) in sums.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int32()), pa.array([best(shared.value[number][1], counts, totals).tobytes()])], ["tree", "found"])
+                [pa.array([number], pa.int32()), pa.array([best(_Level(sizes, shared.value[number][1]), counts, totals).tobytes()])], ["tree", "found"])
     return run
 
 
@@ -242,15 +248,15 @@ def _split(tree: Tree, found: np.ndarray, mean: float) -> None:
     cleft = found[:, 0] >= 0
     at, found = tree.live[cleft], found[cleft]
     first, made = len(tree.child), 2 * len(at)
-    tree.feature = np.append(tree.feature, np.zeros(made, np.int64))
+    tree.feature = np.append(tree.feature, np.zeros(made, np.int32))
     tree.cut = np.append(tree.cut, np.full(made, BINS, np.uint8))
-    tree.child = np.append(tree.child, first + np.arange(made))
+    tree.child = np.append(tree.child, first + np.arange(made, dtype=np.int32))
     n = np.column_stack([found[:, 5], found[:, 3] - found[:, 5]]).ravel()
     s = np.column_stack([found[:, 6], found[:, 4] - found[:, 6]]).ravel()
     tree.value = np.append(tree.value, mean + s / n)
     tree.feature[at], tree.cut[at], tree.child[at] = found[:, 0], found[:, 1], first + np.arange(0, made, 2)
     np.add.at(tree.gains, found[:, 0].astype(int), found[:, 2])
-    tree.live = first + np.flatnonzero(n > 1)
+    tree.live = (first + np.flatnonzero(n > 1)).astype(np.int32)
     tree.depth += bool(made)
 
 
@@ -284,7 +290,7 @@ def fit(rows: DataFrame, trees: int, depth: int, seed: int) -> Forest:
     """Rows are the label, then the columns, all double and without nulls; a node sees a third of the columns."""
     spark, width = rows.sparkSession, len(rows.columns) - 1
     cuts, n, mean = _cuts(rows)
-    tasks = max(min(spark.sparkContext.defaultParallelism, -(-n // PIECE)), -(-n // SHARE))
+    tasks = max(min(spark.sparkContext.defaultParallelism, -(-n // BLOCK)), -(-n // SHARE))
     kept = fresh_path(spark, "forest")  # stored, so that a block has the same rows and draws in all passes
     _blocks(_coded(rows, cuts, tasks), width, mean).write.parquet(kept)
     blocks = spark.read.schema("block bigint, label binary, codes binary").parquet(kept)
@@ -295,12 +301,12 @@ def fit(rows: DataFrame, trees: int, depth: int, seed: int) -> Forest:
         for i, tree in enumerate(grown):
             if len(tree.live):
                 order = np.random.default_rng([seed & 0xFFFFFFFF, i, height]).random((len(tree.live), width)).argsort(axis=1)
-                live[i] = tree, _Level(sizes, order[:, :third])
+                live[i] = replace(tree, value=None, gains=None), order[:, :third].astype(np.int32)
         if not live:
             break
         shared = spark.sparkContext.broadcast(live)
-        sums = blocks.mapInArrow(_sums(shared, seed), "tree int, n binary, s binary")
-        for r in sums.repartition(min(tasks, trees), "tree").mapInArrow(_splits(shared), "tree int, found binary").collect():
+        sums = blocks.mapInArrow(_sums(shared, sizes, seed), "tree int, n binary, s binary")
+        for r in sums.repartition(min(tasks, trees), "tree").mapInArrow(_splits(shared, sizes), "tree int, found binary").collect():
             _split(grown[r["tree"]], np.frombuffer(r["found"], np.float64).reshape(-1, 7), mean)
-        shared.unpersist()
+        shared.destroy()
     return Forest(grown, cuts, tasks)

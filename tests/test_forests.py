@@ -45,7 +45,8 @@ def test_draws_are_poisson_and_repeat():
     assert np.abs(share - want).max() < 0.002 and got.max() < 19 and got.var() == pytest.approx(1, abs=0.01)
 
 
-def test_many_tasks_and_values_give_the_forest_of_the_library(spark):
+def test_many_tasks_and_values_give_the_forest_of_the_library(spark, monkeypatch):
+    monkeypatch.setattr(forests, "BLOCK", 2500)  # rows for a task
     rng = np.random.default_rng(9)
     x = rng.normal(size=(12000, 4))
     pdf = pd.DataFrame(x, columns=list("abcd")).assign(e=rng.integers(0, 3, 12000), y=3 * x[:, 0] + x[:, 1] ** 2 + rng.normal(size=12000) / 4)
