@@ -201,24 +201,30 @@ def gmm_models(df: DataFrame, cols: dict[str, Column], ks: list[int], seed: int
     units = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols.values())],
                     *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols.values())]).first()
     scaled = {n: (c - units[f"m{i}"]) / (units[f"s{i}"] or 1.0) for i, (n, c) in enumerate(cols.items())}
-    ready = assemble(df, scaled, {n: c.cast("double") for n, c in cols.items()})
-    ready = ready.persist()
-    n, d = ready.count(), len(names)
-    shift = n * sum(math.log(units[f"s{i}"] or 1.0) for i in range(d))  # back to the original units
+    d = len(names)
     points = [f"__p{i}" for i in range(d)]
-    vector = vector_to_array("features")
-    rows = ready.select(*names, *[vector[i].alias(p) for i, p in enumerate(points)])
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    rows = (rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows).persist()
+    rows = df.select(*[c.cast("double").alias(n) for n, c in cols.items()],
+                     *[c.cast("double").alias(p) for p, c in zip(points, scaled.values())]).dropna(subset=points)
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.corr(a, b) for a in names for b in names]).alias("r")).first()
+    n = one["n"]
+    shift = n * sum(math.log(units[f"s{i}"] or 1.0) for i in range(d))  # back to the original units
     several = [k for k in ks if k > 1]
-    fits = mixtures.fit_all(rows.select(*points), mixtures.starts(ready, several, seed))
-    found = iter(zip(fits, mixtures.certainties(rows.select(*points), fits)))
+    stored = mixtures.pieces(rows.select(*points), n).persist()
+    if n > mixtures.LIBRARY:
+        begun = mixtures.drawn_starts(stored, d, several, seed)
+    else:
+        # the library wants arrays whose type has no nulls
+        ready = rows.select(F.array(*[F.coalesce(p, F.lit(0.0)) for p in points]).alias("features")).persist()
+        begun = mixtures.starts(ready, several, seed)
+        ready.unpersist()
+    fits = mixtures.fit_all(stored, d, begun) if several else []
+    found = iter(zip(fits, mixtures.certainties(stored, d, fits)))
+    stored.unpersist()
     lines, best = [], None
     for k in ks:
         free = k - 1 + k * d + k * d * (d + 1) // 2
         if k == 1:  # one normal: the likelihood follows from the correlation matrix, and no class is uncertain
-            r = ready.agg(F.array(*[F.corr(a, b) for a in names for b in names]).alias("r")).first()["r"]
-            det = np.linalg.slogdet(np.array(r).reshape(d, d))[1] + d * math.log((n - 1) / n)
+            det = np.linalg.slogdet(np.array(one["r"]).reshape(d, d))[1] + d * math.log((n - 1) / n)
             model, ll, entropy = None, float(-n / 2 * (d * math.log(2 * math.pi) + det + d)) - shift, 0.0
         else:
             model, entropy = next(found)
@@ -227,9 +233,10 @@ def gmm_models(df: DataFrame, cols: dict[str, Column], ks: list[int], seed: int
         lines.append((k, ll, free, bic, bic + 2 * float(entropy)))
         if best is None or bic > best[0]:
             best = (bic, model)
-    ready.unpersist()
     if best[1] is None:
         labelled = rows.select(*names, F.lit(0).alias("mclust"))
     else:
+        tasks = df.sparkSession.sparkContext.defaultParallelism
+        rows = rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
         labelled = mixtures.labelled(rows, points, names, best[1], "mclust")
     return _local(df.sparkSession, lines, "k int, loglik double, df int, bic double, icl double"), labelled

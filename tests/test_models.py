@@ -195,6 +195,53 @@ def test_mixtures_are_the_library_with_one_pass_a_round_for_all(spark, monkeypat
     assert len(passes) == max(rounds) < sum(rounds)
 
 
+def test_densities_by_features_are_those_by_directions(monkeypatch):
+    from statloom.operators import mixtures
+    rng = np.random.default_rng(29)
+    points = rng.normal(size=(3, 700)) * 3
+    spreads = [np.cov(rng.normal(size=(3, 9))) for _ in range(5)]
+    some = [mixtures.Mixture(np.full(2, 0.5), rng.normal(size=(2, 3)), np.array(spreads[:2])),
+            mixtures.Mixture(np.array([0.2, 0.3, 0.5]), rng.normal(size=(3, 3)), np.array(spreads[2:]))]
+    classes, features = mixtures._Classes(some), mixtures._features(points)
+    got, total = (x.copy() for x in classes.posteriors(features))
+    monkeypatch.setattr(mixtures, "CLOSE", 0.0)
+    want, sums = classes.posteriors(features)
+    assert np.allclose(got, want, rtol=1e-9, atol=0) and np.allclose(total, sums, rtol=1e-9, atol=0)
+    assert got.max() > 0.99 and want.min() < 1e-9
+    monkeypatch.undo()
+    # a class too narrow for the sums over features, and one without spread in a direction
+    narrow = mixtures._Classes([mixtures.Mixture(np.full(2, 0.5), points[:, :2].T.copy(), np.array([np.eye(3) * 1e-20, np.diag([1.0, 1.0, 0.0])]))])
+    found, _ = narrow.posteriors(features)
+    assert found[0, 0] == pytest.approx(1) and np.isfinite(found).all()
+    u = np.linspace(-89.9, 60, 20001)
+    out = np.empty_like(u)
+    mixtures._exp(u * mixtures.STEPS, np.empty_like(u), out)
+    assert np.abs(out / np.exp(u) - 1).max() < 1e-12
+
+
+def test_starts_of_a_large_table_take_two_passes_for_all(spark, monkeypatch):
+    from statloom.operators import mixtures
+    monkeypatch.setattr(mixtures, "LIBRARY", 1000)
+    rng = np.random.default_rng(31)
+    pdf = pd.DataFrame(rng.integers(0, 4, (6000, 1)) * [7.0, -5.0] + rng.normal(size=(6000, 2)), columns=["a", "b"])
+    df, cols = spark.createDataFrame(pdf).repartition(3).persist(), {"a": F.col("a"), "b": F.col("b")}
+    stored = mixtures.pieces(df, 6000).persist()
+    assert stored.count() >= 3
+    taken = []
+    for ks in ([2], [2, 3, 4, 5]):
+        spark.sparkContext.setJobGroup(tag := f"starts-{len(ks)}", tag)
+        begun = mixtures.drawn_starts(stored, 2, ks, 1)
+        taken.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag)))
+        assert [len(m.weights) for m in begun] == ks and all((np.diagonal(m.covs, axis1=1, axis2=2) > 0).all() for m in begun)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert taken[0] == taken[1] > 0
+    some = np.concatenate([m.means for m in begun])
+    assert (np.abs(some - pdf.to_numpy().mean(0)) < pdf.to_numpy().std(0) * 2).all() and len(np.unique(some, axis=0)) == 14
+    table, labelled = mlmodels.gmm_models(df, cols, [1, 2, 3, 4])
+    bic = table.toPandas().set_index("k").bic
+    assert bic.idxmax() > 1 and labelled.count() == 6000
+
+
 def test_lloyd_is_the_library_from_the_same_start(spark):
     from pyspark.mllib.clustering import KMeans, KMeansModel
     rng = np.random.default_rng(3)
