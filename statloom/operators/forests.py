@@ -21,7 +21,10 @@ from statloom.session import fresh_path
 BINS = 32
 PIECE = 2048  # rows stored together while they are dealt to tasks
 BLOCK = 32768  # rows that are weighed together
-SHARE = 1 << 21  # rows of a task at most; it sends as many sums whatever their number
+SHARE = 1 << 22  # rows of a task at most; it sends as many sums whatever their number
+TOP = 4  # levels that all rows go down together
+CELLS = 1 << 15  # cells of a group of columns over the nodes of a tree, as many as the processor keeps close
+JOINT = 1.7  # a row is added this many times faster to a group's cells than to the cells of a column of its node
 NOISE = 1e-12  # a gain below this part of the sums it is the difference of is none
 
 # Poisson(1) by a table over 16 random bits; cells that hold a step of the distribution function are marked and drawn finer
@@ -45,14 +48,36 @@ class Tree:
     depth: int = 0
 
     def find(self, flat: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
-        """Deepest node of each of the rows; ``flat`` holds the bins of n rows, one column after the other."""
-        node, places, child = np.zeros(len(rows), np.int64), self.feature * np.int64(n), self.child.astype(np.int64)
-        for _ in range(self.depth):
-            at = places.take(node)
-            at += rows
-            above = flat.take(at) > self.cut.take(node)
-            node = child.take(node)
-            node += above
+        """Deepest node of each of the rows; ``flat`` holds the bins of n rows, one column after the other.
+
+        Down the first ``TOP`` levels all n rows go together, a node after the other by comparisons of bytes; below, each row looks
+        up its own way.
+        """
+        heap, place = np.zeros(1, np.int64), np.zeros(n, np.uint8)  # the nodes of a level, and the place of each row in it
+        here, above, turn = np.empty(n, bool), np.empty(n, bool), np.empty(n, bool)
+        top = min(self.depth, TOP)
+        for _ in range(top):
+            split = self.child[heap] != heap
+            turn[:] = False
+            for j in np.flatnonzero(split).tolist():
+                low = int(self.feature[heap[j]]) * n
+                np.greater(flat[low:low + n], self.cut[heap[j]], out=above)
+                if len(heap) > 1:
+                    np.equal(place, j, out=here)
+                    above &= here
+                turn |= above
+            place += place
+            place |= turn.view(np.uint8)
+            heap = np.column_stack([self.child[heap], self.child[heap] + split]).ravel()
+        node = heap.take(place.take(rows))
+        if self.depth > top:
+            places, child, at = self.feature * np.int64(n), self.child.astype(np.int64), np.empty(len(rows), np.int64)
+            for _ in range(self.depth - top):
+                np.take(places, node, out=at, mode="clip")
+                at += rows
+                above = flat.take(at) > self.cut.take(node)
+                np.take(child, node, out=at, mode="clip")
+                np.add(at, above, out=node)
         return node
 
 
@@ -75,7 +100,7 @@ class _Level:
 def draws(seed: int, tree: int, block: int, n: int) -> np.ndarray:
     """Poisson(1) weights of a block's rows in one tree, the same in every pass."""
     rng = np.random.Generator(np.random.SFC64([seed & 0xFFFFFFFF, tree, block]))
-    bits = np.frombuffer(rng.bytes(2 * n), np.uint16)
+    bits = rng.bit_generator.random_raw((n + 3) // 4).view(np.uint16)[:n]  # what rng.bytes(2 * n) gives, sooner
     found = _DRAWS.take(bits)
     marked = np.flatnonzero(found == _MARK)
     found[marked] = np.searchsorted(_STEPS, (bits[marked] + rng.random(len(marked))) / 65536, side="right")
@@ -170,36 +195,117 @@ def _blocks(pieces: DataFrame, width: int, mean: float) -> DataFrame:
 
 # ---------------------------------------------------------------- levels
 
+def _groups(sizes: np.ndarray, nodes: int) -> list[list[int]]:
+    """Columns whose bins are counted together: as many as keep the cells of the nodes within ``CELLS``."""
+    groups: list[list[int]] = []
+    room: list[int] = []
+    for c in np.argsort(-sizes, kind="stable").tolist():
+        at = next((i for i, r in enumerate(room) if r >= sizes[c]), len(groups))
+        if at == len(groups):
+            groups.append([])
+            room.append(CELLS // nodes)
+        groups[at].append(c)
+        room[at] //= int(sizes[c])
+    return groups
+
+
+class _Joint:
+    """Sums of a tree's live nodes over the joint cells of groups of columns: a row is added once a group, for all columns of it.
+
+    What a node does not see is counted too, so this serves if there are few groups.
+    """
+
+    def __init__(self, groups: list[list[int]], sizes: np.ndarray):
+        self.groups, self.sizes = groups, sizes
+        self.cells = [int(np.prod(sizes[g])) for g in groups]
+
+    def codes(self, flat: np.ndarray, n: int) -> list[np.ndarray]:
+        """The joint cell of each row in each group."""
+        columns, out = flat.reshape(-1, n), []
+        for group in self.groups:
+            code = columns[group[0]].astype(np.uint16 if np.prod(self.sizes[group]) <= 65536 else np.int64)
+            for c in group[1:]:
+                code = code * code.dtype.type(self.sizes[c]) + columns[c]
+            out.append(code)
+        return out
+
+    def start(self, tree: Tree, level: _Level) -> None:
+        self.line = np.full(len(tree.child), len(tree.live))  # rows of leaves go behind the cells
+        self.line[tree.live] = np.arange(len(tree.live))
+        self.level, self.live = level, len(tree.live)
+        self.sums = [np.zeros((2, (self.live + 1) * c)) for c in self.cells]
+
+    def add(self, codes: list[np.ndarray], node: np.ndarray, rows: np.ndarray, weights: np.ndarray, labels: np.ndarray) -> None:
+        line = self.line.take(node)
+        at = np.empty_like(line)
+        for code, cells, sums in zip(codes, self.cells, self.sums):
+            np.multiply(line, cells, out=at)
+            at += code.take(rows)
+            sums[0] += np.bincount(at, weights, sums.shape[1])
+            sums[1] += np.bincount(at, labels, sums.shape[1])
+
+    def found(self) -> np.ndarray:
+        """The two sums in the cells of the level."""
+        out = np.zeros((2, self.level.cells))
+        for group, sums in zip(self.groups, self.sums):
+            joint = sums.reshape(2, self.live + 1, *self.sizes[group])[:, :self.live]
+            for i, c in enumerate(group):
+                lines, slots = np.nonzero(self.level.slots == c)
+                if len(lines):
+                    own = joint.sum(axis=tuple(2 + j for j in range(len(group)) if j != i))
+                    out[:, self.level.starts[lines, slots][:, None] + np.arange(self.sizes[c])] = own[:, lines]
+        return out
+
+
+class _Apart:
+    """The same sums, a row added for each column that its node sees."""
+
+    def codes(self, flat: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+        return flat, n
+
+    def start(self, tree: Tree, level: _Level) -> None:
+        nodes, width = len(tree.child), level.slots.shape[1]
+        self.level, self.columns, self.starts = level, np.zeros((width, nodes), np.int64), np.full((width, nodes), level.cells)
+        self.columns[:, tree.live], self.starts[:, tree.live] = level.slots.T, level.starts.T
+        self.sums = np.zeros((2, level.cells + BINS))  # rows of leaves go behind the cells
+
+    def add(self, codes: tuple[np.ndarray, int], node: np.ndarray, rows: np.ndarray, weights: np.ndarray, labels: np.ndarray) -> None:
+        flat, n = codes
+        for places, first in zip(self.columns * n, self.starts):
+            at = places.take(node)
+            at += rows
+            bins = flat.take(at)
+            at = first.take(node)
+            at += bins
+            self.sums[0] += np.bincount(at, weights, self.sums.shape[1])
+            self.sums[1] += np.bincount(at, labels, self.sums.shape[1])
+
+    def found(self) -> np.ndarray:
+        return self.sums[:, :self.level.cells]
+
+
 def _sums(shared, sizes: np.ndarray, seed: int):
     """For each tree the sums of weights and of weighted labels in the cells of its level, one line a task."""
     def run(batches):
         blocks = [(i, np.frombuffer(y, np.float64), np.frombuffer(x, np.uint8))
                   for b in batches for i, y, x in zip(*(b.column(c).to_pylist() for c in range(3)))]
-        for number, (tree, slots) in (shared.value.items() if blocks else ()):
-            level = _Level(sizes, slots)
-            nodes, width = len(tree.child), level.slots.shape[1]
-            columns, starts = np.zeros((width, nodes), np.int64), np.full((width, nodes), level.cells)  # rows of leaves go behind the cells
-            columns[:, tree.live], starts[:, tree.live] = level.slots.T, level.starts.T
-            size = level.cells + BINS
-            counts, totals = np.zeros(size), np.zeros(size)
-            for block, labels, flat in blocks:
+        if not blocks:
+            return
+        groups = _groups(sizes, max(len(tree.live) + 1 for tree, _ in shared.value.values()))
+        seen = next(iter(shared.value.values()))[1].shape[1]
+        cells = _Joint(groups, sizes) if len(groups) <= JOINT * seen else _Apart()
+        codes = [cells.codes(flat, len(labels)) for _, labels, flat in blocks]
+        for number, (tree, slots) in shared.value.items():
+            cells.start(tree, _Level(sizes, slots))
+            for (block, labels, flat), own in zip(blocks, codes):
                 n = len(labels)
                 weights = draws(seed, number, block, n)
                 rows = np.flatnonzero(weights != 0)
                 weights = weights.take(rows).astype(np.float64)
                 labels = labels.take(rows)
                 labels *= weights
-                node = tree.find(flat, n, rows)
-                for places, first in zip(columns * n, starts):
-                    at = places.take(node)
-                    at += rows
-                    bins = flat.take(at)
-                    at = first.take(node)
-                    at += bins
-                    counts += np.bincount(at, weights, size)
-                    totals += np.bincount(at, labels, size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int32()), *(pa.array([a[:level.cells].tobytes()]) for a in (counts, totals))], ["tree", "n", "s"])
+                cells.add(own, tree.find(flat, n, rows), rows, weights, labels)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([a.tobytes()]) for a in cells.found())], ["tree", "n", "s"])
     return run
 
 
@@ -290,7 +396,8 @@ def fit(rows: DataFrame, trees: int, depth: int, seed: int) -> Forest:
     """Rows are the label, then the columns, all double and without nulls; a node sees a third of the columns."""
     spark, width = rows.sparkSession, len(rows.columns) - 1
     cuts, n, mean = _cuts(rows)
-    tasks = max(min(spark.sparkContext.defaultParallelism, -(-n // BLOCK)), -(-n // SHARE))
+    cores = spark.sparkContext.defaultParallelism
+    tasks = min(cores * -(-n // (cores * SHARE)), -(-n // BLOCK))  # as many for each core
     kept = fresh_path(spark, "forest")  # stored, so that a block has the same rows and draws in all passes
     _blocks(_coded(rows, cuts, tasks), width, mean).write.parquet(kept)
     blocks = spark.read.schema("block bigint, label binary, codes binary").parquet(kept)

@@ -89,3 +89,27 @@ def test_rows_that_take_no_part_and_rows_that_must(spark):
         mlmodels.forest(df.withColumn("x", F.lit(float("inf"))), df, y, cols, trees=3)
     with pytest.raises(ValueError, match="at least one row"):
         mlmodels.forest(df.filter("y > 100"), df, y, cols, trees=3)
+
+
+def test_joint_cells_give_the_sums_of_each_column(monkeypatch):
+    """A node's sums are the same by groups of columns and column by column, for many rows at once and for each row's own way."""
+    rng = np.random.default_rng(7)
+    sizes, n = np.array([32, 2, 5, 32, 3, 2, 1]), 5000
+    flat = np.concatenate([rng.integers(0, s, n) for s in sizes]).astype(np.uint8)
+    labels, weights = rng.normal(size=n), rng.integers(1, 4, n).astype(float)
+    assert sorted(sum(forests._groups(sizes, 1), [])) == list(range(7)) and len(forests._groups(sizes, 1)) < len(forests._groups(sizes, 500))
+    tree, rows = forests.Tree(gains=np.zeros(7)), np.flatnonzero(rng.random(n) < 0.6)
+    for height in range(7):
+        slots = rng.random((len(tree.live), 7)).argsort(axis=1)[:, :3].astype(np.int32)
+        level, node, sums = forests._Level(sizes, slots), tree.find(flat, n, rows), []
+        monkeypatch.setattr(forests, "TOP", 0)
+        assert (tree.find(flat, n, rows) == node).all()
+        monkeypatch.undo()
+        for cells in (forests._Joint(forests._groups(sizes, len(tree.live) + 1), sizes), forests._Apart()):
+            cells.start(tree, level)
+            for _ in range(2):
+                cells.add(cells.codes(flat, n), node, rows, weights[rows], (labels * weights)[rows])
+            sums.append(cells.found())
+        assert (sums[0][0] == sums[1][0]).all() and np.allclose(sums[0][1], sums[1][1], atol=1e-9)
+        forests._split(tree, forests.best(level, *sums[0]), 0.0)
+    assert tree.depth > forests.TOP
