@@ -2,13 +2,15 @@
 
 A model is a set of points, a k and the centres it starts from.  One pass assigns each point to a centre in every model
 of its set and adds up sizes and sums inside the tasks; what reaches the driver is as large as the models.  Set 0 is the table.
-The other sets are uniform points over the ranges of its columns, made anew in each pass from the seed, so they are never stored.
+The other sets are uniform points over the ranges of its columns, made anew in each pass from the seed, so they are never stored;
+those of large sets are made part by part of the box, so that a task has neighbouring ones.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,11 +82,40 @@ def box_starts(box: Box, sets: int, ks: list[int], starts: int, seed: int) -> li
     return [Model(b, k, box.low + rng.random((k, len(wide))) * wide - box.middle) for b in range(1, sets + 1) for k in ks for _ in range(starts)]
 
 
+def _region(box: Box, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of the box that a piece of a large uniform set lies in: halved time and again, so all are equally large and
+    neighbouring pieces lie together."""
+    low, high = np.zeros(len(box.low)), np.ones(len(box.low))
+    first, pieces = 0, -(-box.n // MADE)
+    while pieces > 1:
+        side, half = int((high - low).argmax()), pieces // 2
+        at = low[side] + (high[side] - low[side]) * half / pieces
+        if piece < first + half:
+            high[side], pieces = at, half
+        else:
+            low[side], first, pieces = at, first + half, pieces - half
+    wide = box.high - box.low
+    return box.low + low * wide, box.low + high * wide
+
+
+@lru_cache(maxsize=64)
+def _piece_sizes(n: int, points: int, seed: int) -> np.ndarray:
+    """How many of n uniform points lie in each of as many equal parts as there are pieces."""
+    pieces = -(-n // MADE)
+    return np.random.Generator(np.random.Philox(key=[seed, points << 40 | 1 << 39])).multinomial(n, np.full(pieces, 1 / pieces))
+
+
 def uniform_points(box: Box, points: int, piece: int, seed: int) -> np.ndarray:
-    """Points ``piece * MADE`` and on of one uniform set; the same ones whenever and wherever they are made."""
+    """A piece of one uniform set, ``MADE`` points or so; the same ones whenever and wherever they are made.
+
+    A piece of a large set lies in its own part of the box: how many of the set's points do is drawn first.
+    """
     rng = np.random.Generator(np.random.Philox(key=[seed, (points << 40) + piece]))
-    size = min(MADE, box.n - piece * MADE)
-    return box.low + rng.random((size, len(box.low))) * (box.high - box.low) - box.middle
+    if box.n <= SPREAD:
+        low, high, size = box.low, box.high, min(MADE, box.n - piece * MADE)
+    else:
+        (low, high), size = _region(box, piece), int(_piece_sizes(box.n, points, seed)[piece])
+    return low + rng.random((size, len(low))) * (high - low) - box.middle
 
 
 def _cells(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,12 +173,14 @@ class _Sums:
                     sums[::k, -1] += square.sum()
                 sums += found
 
-    def add_many(self, points: np.ndarray) -> None:
+    def add_many(self, points: np.ndarray, edges: np.ndarray | None = None) -> None:
         """Like ``add``, by cells of neighbouring points: a centre takes part in a cell only if it can be the nearest for a point of
-        the cell's box, and a cell that one centre has whole is added as its sums."""
-        if len(points) < SPREAD:
+        the cell's box, and a cell that one centre has whole is added as its sums.  ``edges`` are those of cells that the points
+        already lie in."""
+        if edges is None and len(points) < SPREAD:
             return self.add(points)
-        points, edges = _cells(points)
+        if edges is None:
+            points, edges = _cells(points)
         values = np.column_stack([np.ones(len(points)), points, (points * points).sum(1)])
         whole = np.add.reduceat(values, edges[:-1])
         low, high = np.minimum.reduceat(points, edges[:-1]), np.maximum.reduceat(points, edges[:-1])
@@ -230,7 +263,11 @@ def _of_box(shared, box: Box, pieces: int, seed: int):
 
         def put(points):
             if held:
-                if len(held) * MADE < SPREAD:
+                if box.n > SPREAD:  # a piece is a cell
+                    parts = [p for i in held if len(p := uniform_points(box, points, i, seed))]
+                    if parts:
+                        kept[points].add_many(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
+                elif len(held) * MADE < SPREAD:
                     for i in held:
                         kept[points].add(uniform_points(box, points, i, seed))
                 else:

@@ -305,6 +305,32 @@ def test_uniform_sets_take_part_like_tables(spark):
         assert m.wss == pytest.approx(cost, rel=1e-4) and np.allclose(m.centres, centres, atol=1e-3)
 
 
+def test_pieces_of_large_uniform_sets_are_parts_of_the_box(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "MADE", 500)
+    monkeypatch.setattr(clusters, "SPREAD", 3000)
+    clusters._piece_sizes.cache_clear()
+    box = clusters.Box(["a", "b"], np.array([0.0, -4.0]), np.array([2.0, 4.0]), np.array([1.0, 0.5]), 20300)
+    for number in (1, 2):
+        parts = [clusters.uniform_points(box, number, i, 3) for i in range(41)]
+        every = (np.vstack(parts) + box.middle - box.low) / (box.high - box.low)
+        assert len(every) == 20300 and len({len(p) for p in parts}) > 5
+        assert all((a == clusters.uniform_points(box, number, i, 3)).all() for i, a in enumerate(parts))
+        # each piece in a part of its own, and all of them together uniform
+        assert max(np.prod(np.ptp(p, axis=0)) for p in parts) < 16 / 30
+        counts = np.histogram2d(*every.T, bins=10, range=[[0, 1], [0, 1]])[0]
+        assert every.min() >= 0 and every.max() <= 1 and abs(((counts - 203) ** 2 / 203).sum() - 99) < 60
+    monkeypatch.undo()
+    clusters._piece_sizes.cache_clear()
+    rows, box = clusters.numeric_rows(spark.range(140000), {"a": F.col("id") % 1000, "b": F.col("id") / 100})
+    points = np.vstack([clusters.uniform_points(box, 1, i, 7) for i in range(18)])
+    for m, start in zip(clusters.lloyd(rows, box, clusters.box_starts(box, 1, [3], 2, 7), 4, seed=7), clusters.box_starts(box, 1, [3], 2, 7)):
+        centres = start.centres
+        for _ in range(m.rounds):
+            label = ((points[:, None] - centres) ** 2).sum(2).argmin(1)
+            centres = np.array([points[label == j].mean(0) for j in range(3)])
+        assert m.sizes.sum() == len(points) == 140000 and np.allclose(m.centres, centres, rtol=1e-4, atol=0.1)
+
+
 def test_clusters_of_repeated_rows_and_nulls(spark):
     rows = [(1.0, 1.0)] * 500 + [(2.0, 5.0)] * 3 + [(None, 1.0)] * 4
     df, cols = spark.createDataFrame(rows, "a double, b double"), {"a": F.col("a"), "b": F.col("b")}
