@@ -91,25 +91,36 @@ def test_rows_that_take_no_part_and_rows_that_must(spark):
         mlmodels.forest(df.filter("y > 100"), df, y, cols, trees=3)
 
 
-def test_joint_cells_give_the_sums_of_each_column(monkeypatch):
-    """A node's sums are the same by groups of columns and column by column, for many rows at once and for each row's own way."""
+def test_rows_go_down_together_as_each_goes_alone(monkeypatch):
     rng = np.random.default_rng(7)
     sizes, n = np.array([32, 2, 5, 32, 3, 2, 1]), 5000
-    flat = np.concatenate([rng.integers(0, s, n) for s in sizes]).astype(np.uint8)
-    labels, weights = rng.normal(size=n), rng.integers(1, 4, n).astype(float)
-    assert sorted(sum(forests._groups(sizes, 1), [])) == list(range(7)) and len(forests._groups(sizes, 1)) < len(forests._groups(sizes, 500))
-    tree, rows = forests.Tree(gains=np.zeros(7)), np.flatnonzero(rng.random(n) < 0.6)
-    for height in range(7):
-        slots = rng.random((len(tree.live), 7)).argsort(axis=1)[:, :3].astype(np.int32)
-        level, node, sums = forests._Level(sizes, slots), tree.find(flat, n, rows), []
+    codes = np.stack([rng.integers(0, s, n) for s in sizes]).astype(np.uint8)
+    flat, rows = codes.ravel(), np.flatnonzero(rng.random(n) < 0.6)
+    labels, tree = rng.normal(size=n), forests.Tree(gains=np.zeros(7))
+    for height in range(forests.TOP + 3):
+        node = tree.find(flat, n, rows)
+        for at, row in list(zip(node, rows))[::50]:
+            alone = 0
+            while tree.child[alone] != alone:
+                alone = tree.child[alone] + (codes[tree.feature[alone], row] > tree.cut[alone])
+            assert at == alone
         monkeypatch.setattr(forests, "TOP", 0)
         assert (tree.find(flat, n, rows) == node).all()
         monkeypatch.undo()
-        for cells in (forests._Joint(forests._groups(sizes, len(tree.live) + 1), sizes), forests._Apart()):
-            cells.start(tree, level)
-            for _ in range(2):
-                cells.add(cells.codes(flat, n), node, rows, weights[rows], (labels * weights)[rows])
-            sums.append(cells.found())
-        assert (sums[0][0] == sums[1][0]).all() and np.allclose(sums[0][1], sums[1][1], atol=1e-9)
-        forests._split(tree, forests.best(level, *sums[0]), 0.0)
+        level = forests._Level(sizes, rng.random((len(tree.live), 7)).argsort(axis=1)[:, :3].astype(np.int32))
+        counts, totals = np.zeros(level.cells), np.zeros(level.cells)
+        for line, own in enumerate(tree.live):
+            for slot, c in enumerate(level.slots[line]):
+                inside = rows[node == own]
+                np.add.at(counts, level.starts[line, slot] + codes[c, inside], 1.0)
+                np.add.at(totals, level.starts[line, slot] + codes[c, inside], labels[inside])
+        forests._split(tree, forests.best(level, counts, totals), 0.0)
     assert tree.depth > forests.TOP
+    assert 2 ** forests.TOP <= 256
+
+
+def test_draws_are_the_bytes_of_the_generator():
+    for n in (1, 2, 5, 701, 32768):
+        bits = np.frombuffer(np.random.Generator(np.random.SFC64([1, 2, 3])).bytes(2 * n), np.uint16)
+        plain = forests._DRAWS.take(bits)
+        assert (forests.draws(1, 2, 3, n)[plain != forests._MARK] == plain[plain != forests._MARK]).all()
